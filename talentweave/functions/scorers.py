@@ -23,8 +23,7 @@ class JaccardScorer:
     model_name = "token-jaccard"
 
     def prepare(self, c: Column) -> Column:
-        tokens = F.array_distinct(F.split(F.lower(X.collapse_ws(c)), " "))
-        return F.filter(tokens, lambda t: t != "")
+        return F.array_remove(F.array_distinct(F.split(F.lower(X.collapse_ws(c)), " ")), "")
 
     def score(self, rows: DataFrame, left: str, right: str, out: str) -> DataFrame:
         common = F.size(F.array_intersect(left, right))

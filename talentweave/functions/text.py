@@ -53,17 +53,17 @@ def ordered_distinct(c: Column) -> Column:
 
 def truncate(c: Column, n: int) -> Column:
     """Cut to n code points, then strip the right end; shorter text is only stripped."""
-    s = strip(c)
-    return F.when(F.char_length(s) <= n, s).otherwise(rstrip(F.substring(s, 1, n)))
+    return rstrip(F.substring(strip(c), 1, n))
 
 
 def labelled(label: str, c: Column) -> Column:
     """``label：value`` or NULL, so that ``concat_ws`` leaves the part out."""
-    return F.when(_not_empty(c), F.concat(F.lit(label + "："), c))
+    return F.concat(F.lit(label + "："), F.nullif(c, F.lit("")))
 
 
 def labelled_list(label: str, c: Column) -> Column:
-    return F.when(F.size(c) > 0, F.concat(F.lit(label + "："), F.array_join(c, "；")))
+    """``label：`` and the items joined, or NULL for an empty list; the items themselves are not empty."""
+    return F.concat(F.lit(label + "："), F.nullif(F.array_join(c, "；"), F.lit("")))
 
 
 def split_clean(c: Column, pattern: str) -> Column:

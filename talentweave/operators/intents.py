@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talentweave.config import TITLE_SUFFIXES
 from talentweave.functions import text as X
+from talentweave.functions.rows import explode_rows
 
 
 def normalize_intents(
@@ -37,7 +38,7 @@ def normalize_intents(
 
 def explode_targets(intents: DataFrame) -> DataFrame:
     """``(resume_id, target_id, target_pos, requested_job_title)``, targets numbered from 1."""
-    return intents.select("resume_id", F.posexplode("job_titles").alias("pos", "requested_job_title")).select(
+    return explode_rows(intents, ["resume_id"], "job_titles", "requested_job_title", "pos").select(
         "resume_id",
         F.concat(F.lit("target_"), (F.col("pos") + 1).cast("string")).alias("target_id"),
         (F.col("pos") + 1).alias("target_pos"),

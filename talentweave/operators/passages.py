@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talentweave.config import SECTION_PRIORITY, PassageConfig
 from talentweave.functions import text as X
+from talentweave.functions.rows import explode_rows
 
 _PASSAGES = "array<struct<section:string,text:string>>"
 
@@ -84,7 +85,7 @@ def jd_documents(jd: DataFrame, cfg: PassageConfig = PassageConfig()) -> DataFra
 
 
 def jd_passages(documents: DataFrame) -> DataFrame:
-    return documents.select("jd_id", F.posexplode("passages").alias("passage_pos", "p")).select(
+    return explode_rows(documents, ["jd_id"], "passages", "p", "passage_pos").select(
         "jd_id", "passage_pos", "p.section", "p.text"
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talentweave.functions.rows import explode_rows
 from talentweave.schemas import RESUME
 
 _ISSUE = (
@@ -96,7 +97,7 @@ def issue_array() -> Column:
 
 
 def resume_issues(resumes: DataFrame) -> DataFrame:
-    return resumes.select("resume_id", F.explode(issue_array()).alias("i")).select("resume_id", "i.*")
+    return explode_rows(resumes, ["resume_id"], issue_array(), "i").select("resume_id", "i.*")
 
 
 def resume_quality(resumes: DataFrame) -> DataFrame:
@@ -168,4 +169,4 @@ def schema_errors(rows: DataFrame, column: str, schema: T.StructType = RESUME) -
         ]))
     issues = F.concat(*[p for p in parts if p is not None])
     keep = [c for c in rows.columns if c != column]
-    return parsed.select(*keep, F.explode(issues).alias("i")).select(*keep, "i.*")
+    return explode_rows(parsed, keep, issues, "i").select(*keep, "i.*")

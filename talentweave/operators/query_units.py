@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from talentweave.config import PROJECT, SKILLS, TITLE, WORK, QueryConfig
 from talentweave.functions import text as X
+from talentweave.functions.rows import explode_rows
 
 # Warnings for query kinds that could not be built.
 NO_WORK = "未构造出工作经历检索单元"
@@ -98,9 +99,11 @@ def project_units(cfg: QueryConfig = QueryConfig()) -> Column:
 
 def skills_units(cfg: QueryConfig = QueryConfig()) -> Column:
     skills = X.clean_list(F.col("knowledge_and_experience.skills.skill"))
-    evidence = F.coalesce(X.labelled_list("技能与能力", skills), F.lit(""))
-    unit = _evidence_unit(cfg, F.lit("skills"), SKILLS, "候选人技能", evidence, F.lit(None))
-    return F.when(F.char_length(evidence) >= cfg.min_chars, F.array(unit).cast(_UNIT)).otherwise(F.array().cast(_UNIT))
+    evidence = F.array(X.labelled_list("技能与能力", skills))
+    valid = F.filter(evidence, lambda e: F.char_length(e) >= cfg.min_chars)
+    return F.transform(
+        valid, lambda e: _evidence_unit(cfg, F.lit("skills"), SKILLS, "候选人技能", e, F.lit(None))
+    ).cast(_UNIT)
 
 
 def query_units(targets: DataFrame, resumes: DataFrame, cfg: QueryConfig = QueryConfig()) -> DataFrame:
@@ -135,10 +138,8 @@ def unit_arrays(targets: DataFrame, resumes: DataFrame, cfg: QueryConfig = Query
 
 
 def explode_units(arrays: DataFrame) -> DataFrame:
-    return arrays.select(
-        "resume_id", "target_id", F.col("clean_title").alias("requested_job_title"),
-        F.posexplode("units").alias("query_order", "u"),
-    ).select("resume_id", "target_id", "requested_job_title", "query_order", "u.*")
+    keep = ["resume_id", "target_id", F.col("clean_title").alias("requested_job_title")]
+    return explode_rows(arrays, keep, "units", "u", "query_order").select("resume_id", "target_id", "requested_job_title", "query_order", "u.*")
 
 
 def units_of_kind(targets: DataFrame, resumes: DataFrame, kind: str, cfg: QueryConfig = QueryConfig()) -> DataFrame:
@@ -150,12 +151,11 @@ def units_of_kind(targets: DataFrame, resumes: DataFrame, kind: str, cfg: QueryC
     joined = targets.join(resumes.select("resume_id", "knowledge_and_experience"), "resume_id").withColumn(
         "_title", _title()
     ).where(F.col("_title") != "")
-    return joined.select(
-        "resume_id", "target_id", F.col("_title").alias("requested_job_title"), F.explode(arrays[kind]()).alias("u")
-    ).select("resume_id", "target_id", "requested_job_title", "u.*")
+    keep = ["resume_id", "target_id", F.col("_title").alias("requested_job_title")]
+    return explode_rows(joined, keep, arrays[kind](), "u").select("resume_id", "target_id", "requested_job_title", "u.*")
 
 
 def check_required_text(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """One row per blank or NULL required field, naming the field."""
     missing = F.array_compact(F.array(*[F.when(X.is_blank(F.col(f)), F.lit(f)) for f in fields]))
-    return rows.select(*keys, F.explode(missing).alias("field"))
+    return explode_rows(rows, keys, missing, "field")

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from talentweave.config import DIMENSION_WEIGHTS
 from talentweave.functions import pointers
 from talentweave.functions import text as X
+from talentweave.functions.rows import explode_rows
 from talentweave.operators.recall import _by_value
 
 
@@ -17,7 +18,7 @@ def dimension_rows(reports: DataFrame) -> DataFrame:
     kinds = F.array(*[
         F.struct(F.lit(name).alias("dimension"), F.col(f"dimensions.{name}").alias("a")) for name in DIMENSION_WEIGHTS
     ])
-    return reports.select("report_id", F.explode(kinds).alias("d")).select("report_id", "d.dimension", "d.a.*")
+    return explode_rows(reports, ["report_id"], kinds, "d").select("report_id", "d.dimension", "d.a.*")
 
 
 def _sources(evidence: Column) -> Column:
@@ -56,7 +57,7 @@ def check_reports(reports: DataFrame) -> DataFrame:
         F.when(F.col("overall_score").isNotNull() & unscored, F.lit("overall_without_dimensions")),
         F.when(F.coalesce("n_questions", F.lit(0)) < 1, F.lit("no_question")),
     ))
-    return reports.select("report_id", F.explode(rules).alias("rule"))
+    return explode_rows(reports, ["report_id"], rules, "rule")
 
 
 def check_outputs(reports: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def check_outputs(reports: DataFrame, inputs: DataFrame) -> DataFrame:
     jds = reports.groupBy("resume_id", "jd_id").count().where("count > 1").select(
         "resume_id", F.lit("duplicate_jd").alias("rule"), F.col("jd_id").cast("string").alias("value")
     )
-    targets = reports.select("resume_id", F.explode("target_ids").alias("t")).groupBy("resume_id", "t").count()
+    targets = explode_rows(reports, ["resume_id"], "target_ids", "t").groupBy("resume_id", "t").count()
     twice = targets.where("count > 1").select(
         "resume_id", F.lit("duplicate_target").alias("rule"), F.col("t").alias("value")
     )
@@ -162,6 +163,6 @@ def report_evidence(reports: DataFrame) -> DataFrame:
     rest = F.flatten(F.concat(*[
         F.transform(c, lambda x: x["evidence"]) for c in ("strengths", "gaps", "interview_questions")
     ]))
-    return reports.select("resume_id", "jd_id", F.explode(F.concat(dims, rest)).alias("e")).select(
+    return explode_rows(reports, ["resume_id", "jd_id"], F.concat(dims, rest), "e").select(
         "resume_id", "jd_id", "e.*"
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from talentweave.config import SECTION_PRIORITY, TARGET_KEYS, TITLE, RerankConfig
 from talentweave.functions import text as X
+from talentweave.functions.rows import explode_rows
 from talentweave.functions.scorers import JaccardScorer
 from talentweave.operators.passages import selected_passages
 from talentweave.operators.recall import RANK_DIGITS, _by_value
@@ -32,37 +33,50 @@ def missing_documents(recalled: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def title_pairs(recalled: DataFrame, documents: DataFrame) -> DataFrame:
-    """Requested title against the JD header, one pair per recalled JD with a document."""
-    return recalled.select(*CANDIDATE_KEYS, "requested_job_title").join(
-        documents.select("jd_id", F.col("title_passage").alias("right_text")), "jd_id"
-    ).withColumn("left_text", F.concat(F.lit("申请岗位："), F.col("requested_job_title"))).drop("requested_job_title")
+    """Recalled JDs that have a document, with the requested title and the JD header to compare."""
+    heads = documents.select("jd_id", "job_title", "department", F.col("title_passage").alias("right_text"))
+    return recalled.join(heads, "jd_id").withColumn(
+        "left_text", F.concat(F.lit("申请岗位："), F.col("requested_job_title"))
+    )
+
 
+def document_passages(documents: DataFrame, cfg: RerankConfig = RerankConfig(), prepare=None) -> DataFrame:
+    """``(jd_id, query_type, chosen)``: the passages each query kind is scored against.
 
-def document_passages(documents: DataFrame, cfg: RerankConfig = RerankConfig()) -> DataFrame:
-    """``(jd_id, query_type, passages)``: the passages each query kind is scored against."""
+    With ``prepare`` each passage also gets ``right_ready``, the form its scorer works on.
+    """
+    passages = F.col("passages")
+    if prepare is not None:
+        passages = F.transform(passages, lambda p: p.withField("right_ready", prepare(p["text"])))
     choices = F.array(*[
         F.struct(F.lit(kind).alias("query_type"),
-                 selected_passages(F.col("passages"), kind, cfg.max_passages).alias("chosen"))
+                 selected_passages(F.col("_passages"), kind, cfg.max_passages).alias("chosen"))
         for kind in SECTION_PRIORITY
     ])
-    return documents.select("jd_id", F.explode(choices).alias("c")).select("jd_id", "c.*")
+    return explode_rows(documents.withColumn("_passages", passages), ["jd_id"], choices, "c").select("jd_id", "c.*")
 
 
 def support_pairs(
-    recalled: DataFrame, queries: DataFrame, documents: DataFrame, cfg: RerankConfig = RerankConfig()
+    recalled: DataFrame, queries: DataFrame, documents: DataFrame, cfg: RerankConfig = RerankConfig(), prepare=None
 ) -> DataFrame:
-    """Résumé evidence against chosen JD passages, at most ``max_passages`` per (query, JD)."""
+    """Résumé evidence against chosen JD passages, at most ``max_passages`` per (query, JD).
+
+    With ``prepare`` both sides carry the form their scorer works on (``left_ready``, ``right_ready``),
+    made once per evidence text and once per passage, before pairs exist.
+    """
     asked = queries.where((F.col("query_type") != TITLE) & ~X.is_blank(F.col("resume_evidence_text"))).select(
         *TARGET_KEYS, "query_id", "query_type", "query_order", F.col("resume_evidence_text").alias("left_text")
     )
-    return (
-        recalled.select(*CANDIDATE_KEYS).join(asked, TARGET_KEYS)
-        .join(document_passages(documents, cfg), ["jd_id", "query_type"])
-        .select(
-            *CANDIDATE_KEYS, "query_id", "query_type", "query_order", "left_text",
-            F.posexplode("chosen").alias("passage_pos", "p"),
-        )
-        .select("*", F.col("p.section").alias("section"), F.col("p.text").alias("right_text")).drop("p")
+    ready_left, ready_right = [], []
+    if prepare is not None:
+        asked = asked.withColumn("left_ready", prepare(F.col("left_text")))
+        ready_left, ready_right = ["left_ready"], [F.col("p.right_ready").alias("right_ready")]
+    pairs = recalled.select(*CANDIDATE_KEYS).join(asked, TARGET_KEYS).join(
+        document_passages(documents, cfg, prepare), ["jd_id", "query_type"]
+    )
+    keep = [*CANDIDATE_KEYS, "query_id", "query_type", "query_order", "left_text", *ready_left]
+    return explode_rows(pairs, keep, "chosen", "p", "passage_pos").select(
+        *keep, "passage_pos", F.col("p.section").alias("section"), F.col("p.text").alias("right_text"), *ready_right
     )
 
 
@@ -79,24 +93,29 @@ def score_pairs(pairs: DataFrame, scorer=None, out: str = "score") -> DataFrame:
     """Add a score in [0, 1] to every pair of non-blank texts."""
     scorer = scorer or JaccardScorer()
     ready = pairs.where(~X.is_blank(F.col("left_text")) & ~X.is_blank(F.col("right_text")))
-    prepared = ready.withColumn("_left", scorer.prepare(F.col("left_text"))).withColumn(
-        "_right", scorer.prepare(F.col("right_text"))
-    )
-    return scorer.score(prepared, "_left", "_right", out).drop("_left", "_right")
+    for side in ("left", "right"):
+        if f"{side}_ready" not in ready.columns:
+            ready = ready.withColumn(f"{side}_ready", scorer.prepare(F.col(f"{side}_text")))
+    return scorer.score(ready, "left_ready", "right_ready", out).drop("left_ready", "right_ready")
+
+
+def title_scores(recalled: DataFrame, documents: DataFrame, scorer=None) -> DataFrame:
+    """Recalled JDs that have a document, with ``title_similarity``."""
+    return score_pairs(title_pairs(recalled, documents), scorer, "title_similarity").drop("left_text", "right_text")
+
+
+def best_scores(scored: DataFrame) -> DataFrame:
+    """Best score of each (target, JD, query): all that the support score needs, by hash aggregation."""
+    return scored.groupBy(*CANDIDATE_KEYS, "query_id", "query_type").agg(F.max("score").alias("score"))
 
 
 def best_passages(scored: DataFrame) -> DataFrame:
-    """Best passage of each (target, JD, query); of equal scores the first passage wins."""
-    ranked = scored.groupBy(*CANDIDATE_KEYS, "query_id").agg(
-        F.first("query_type").alias("query_type"),
-        F.first("query_order").alias("query_order"),
-        F.max(F.struct("score", (-F.col("passage_pos")).alias("neg_pos"), "section")).alias("_best"),
-    )
-    return ranked.select(
-        *CANDIDATE_KEYS, "query_id", "query_type", "query_order",
-        (-F.col("_best.neg_pos")).alias("passage_pos"), F.col("_best.section").alias("section"),
-        F.col("_best.score").alias("score"),
-    )
+    """Best passage of each (target, JD, query), for display; of equal scores the first passage wins."""
+    order = Window.partitionBy(*CANDIDATE_KEYS, "query_id").orderBy(F.col("score").desc(), "passage_pos")
+    return scored.select(
+        *CANDIDATE_KEYS, "query_id", "query_type", "query_order", "passage_pos", "section", "score",
+        F.row_number().over(order).alias("_r"),
+    ).where(F.col("_r") == 1).drop("_r")
 
 
 def support_type_scores(best: DataFrame, cfg: RerankConfig = RerankConfig()) -> DataFrame:
@@ -127,14 +146,13 @@ def support_evidence(best: DataFrame, cfg: RerankConfig = RerankConfig()) -> Dat
 
 
 def rerank_candidates(
-    recalled: DataFrame, title_scores: DataFrame, type_scores: DataFrame, cfg: RerankConfig = RerankConfig()
+    title_scored: DataFrame, type_scores: DataFrame, cfg: RerankConfig = RerankConfig()
 ) -> DataFrame:
     """The three scores, their weighted sum and the threshold flag of every candidate with a document."""
-    rows = recalled.join(title_scores.select(*CANDIDATE_KEYS, F.col("score").alias("title_similarity")), CANDIDATE_KEYS)
     floor = cfg.minimum_title_similarity
     passes = F.lit(True) if floor is None else F.col("title_similarity") >= floor
     return (
-        support_scores(rows, type_scores)
+        support_scores(title_scored, type_scores)
         .withColumn("recall_score", X.clamp01(F.col("aggregate_score")))
         .withColumn("resolution_score", X.clamp01(
             F.col("title_similarity") * cfg.title_weight

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentweave.config import TARGET_KEYS
+from talentweave.functions.rows import explode_rows
 from talentweave.plans.storage import materialize
 
 BLOCK_ROWS = 8192  # chunks per block and queries per shard
@@ -29,7 +30,7 @@ MAX_CELLS = 1024  # pivots; at 1024 dimensions they take 8 MB
 STRIP_ROWS = 512  # queries multiplied at a time inside a task
 ANGLE_SLACK = 1e-6
 QUERY_KEYS = [*TARGET_KEYS, "query_id"]
-HIT_COLUMNS = [*QUERY_KEYS, "chunk_id", "jd_id", "chunk_type", "distance"]
+LISTS = ["chunk_ids", "jd_ids", "distances"]
 
 
 def embeddable(chunks: DataFrame, chunk_types: Sequence[str] | None = None) -> DataFrame:
@@ -65,7 +66,6 @@ def _top_k(queries: pd.DataFrame, chunks: pd.DataFrame, unit_chunks: np.ndarray,
         return
     excluded = queries["excluded_jd_ids"] if "excluded_jd_ids" in queries else None
     chunk_ids, jd_ids = chunks["chunk_id"].to_numpy(), chunks["jd_id"].to_numpy()
-    types = chunks["chunk_type"].to_numpy()
     k = min(k, len(chunks))
     for start in range(0, len(kept), STRIP_ROWS):
         strip = kept[start:start + STRIP_ROWS]
@@ -82,14 +82,26 @@ def _top_k(queries: pd.DataFrame, chunks: pd.DataFrame, unit_chunks: np.ndarray,
         first = np.searchsorted(r, np.arange(len(strip)))
         keep = np.arange(len(r)) - first[r] < k
         r, c = r[keep], c[keep]
-        out = queries[QUERY_KEYS].iloc[strip[r]].reset_index(drop=True)
-        yield out.assign(chunk_id=chunk_ids[c], jd_id=jd_ids[c], chunk_type=types[c], distance=distance[r, c])
+        cuts = np.searchsorted(r, np.arange(1, len(strip)))
+        out = queries[QUERY_KEYS].iloc[strip].reset_index(drop=True)
+        for name, values in zip(LISTS, (chunk_ids[c], jd_ids[c], distance[r, c]), strict=True):
+            out[name] = pd.Series(np.split(values, cuts), dtype=object)
+        yield out
 
 
 def _hit_schema(queries: DataFrame) -> str:
     kinds = dict(queries.dtypes)
     keys = ", ".join(f"{c} {kinds[c]}" for c in QUERY_KEYS)
-    return f"{keys}, chunk_id bigint, jd_id bigint, chunk_type string, distance double"
+    return f"{keys}, chunk_ids array<bigint>, jd_ids array<bigint>, distances array<double>"
+
+
+def _hit_rows(lists: DataFrame) -> DataFrame:
+    """One row per hit; ``chunk_rank`` is its place in the list it comes from."""
+    hits = F.arrays_zip(*[F.col(n) for n in LISTS])
+    return explode_rows(lists, QUERY_KEYS, hits, "h", "rank").select(
+        *QUERY_KEYS, F.col("h.chunk_ids").alias("chunk_id"), F.col("h.jd_ids").alias("jd_id"),
+        F.col("h.distances").alias("distance"), (F.col("rank") + 1).alias("chunk_rank"),
+    )
 
 
 def _one_block(queries: DataFrame, chunks: DataFrame, k: int, dim: int) -> DataFrame:
@@ -104,7 +116,7 @@ def _one_block(queries: DataFrame, chunks: DataFrame, k: int, dim: int) -> DataF
         for batch in batches:
             yield from _top_k(batch, rows, vectors, k, dim)
 
-    return queries.mapInPandas(visit, _hit_schema(queries))
+    return _hit_rows(queries.mapInPandas(visit, _hit_schema(queries)))
 
 
 def _pick_pivots(chunks: DataFrame, n_cells: int, dim: int) -> np.ndarray:
@@ -164,9 +176,10 @@ def _grid_join(queries: DataFrame, chunks: DataFrame, blocks: dict[int, int], k:
         c = c.sort_values("chunk_id", ignore_index=True)
         unit, kept = _matrix(c["embedding"], dim)
         found = list(_top_k(q, c.drop(columns="embedding").iloc[kept], unit, k, dim))
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=HIT_COLUMNS)
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=[*QUERY_KEYS, *LISTS])
 
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(multiply, _hit_schema(queries))
+    lists = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(multiply, _hit_schema(queries))
+    return _hit_rows(lists).drop("chunk_rank")
 
 
 def _cells(queries: DataFrame, chunks: DataFrame, n_chunks: int, block_rows: int, k: int, dim: int) -> DataFrame:
@@ -216,7 +229,7 @@ def _cells(queries: DataFrame, chunks: DataFrame, n_chunks: int, block_rows: int
     )
     far = _grid_join(materialize(onward, "onward-queries"), placed, blocks, k, dim)
     ranked = near.unionByName(far).repartition(*TARGET_KEYS)
-    return ranked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+    return ranked.withColumn("chunk_rank", F.row_number().over(order)).where(F.col("chunk_rank") <= k)
 
 
 def nearest_chunks(
@@ -228,14 +241,14 @@ def nearest_chunks(
     chunk_types: Sequence[str] | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """``resume_id, target_id, query_id, chunk_id, jd_id, chunk_type, distance, similarity, chunk_rank``.
+    """``resume_id, target_id, query_id, chunk_id, jd_id, distance, chunk_rank, similarity``.
 
     Queries carry ``embedding`` and, optionally, ``excluded_jd_ids``. Query and chunk vectors that are
     NULL, of another dimension, not finite or of length zero take no part; ``check_vectors`` lists them.
     """
     if top_k <= 0:
         raise ValueError(f"top_k must be greater than 0, got {top_k}")
-    usable = embeddable(chunks, chunk_types).select("chunk_id", "jd_id", "chunk_type", "embedding")
+    usable = embeddable(chunks, chunk_types).select("chunk_id", "jd_id", "embedding")
     extra = [c for c in ("excluded_jd_ids",) if c in queries.columns]
     asked = queries.select(*QUERY_KEYS, "embedding", *extra)
     n_chunks = usable.select("chunk_id").count()
@@ -243,9 +256,4 @@ def nearest_chunks(
         hits = _one_block(asked, usable, top_k, dim)
     else:
         hits = _cells(asked, usable, n_chunks, block_rows, top_k, dim)
-    order = Window.partitionBy(*QUERY_KEYS).orderBy("distance", "chunk_id")
-    return (
-        hits.repartition(*TARGET_KEYS)
-        .withColumn("chunk_rank", F.row_number().over(order))
-        .withColumn("similarity", F.lit(1.0) - F.col("distance"))
-    )
+    return hits.withColumn("similarity", F.lit(1.0) - F.col("distance"))

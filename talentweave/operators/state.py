@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentweave.config import TARGET_KEYS
@@ -194,11 +194,14 @@ def check_match_state(state: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def target_bindings(state: DataFrame) -> DataFrame:
-    """Resolved targets with their JD, and the scope of the analysis of their résumé."""
+    """Resolved targets with their JD, and the scope of the analysis of their résumé.
+
+    A résumé names few positions, so the window over its targets stays small.
+    """
     resolved = (F.col("status") == "resolved") & F.col("selected_jd_id").isNotNull()
-    open_ = state.groupBy("resume_id").agg(F.bool_or(~resolved).alias("_open"))
+    any_open = F.bool_or(~resolved).over(Window.partitionBy("resume_id"))
     return (
-        state.where(resolved).join(open_, "resume_id")
+        state.withColumn("_open", any_open).where(resolved)
         .select(
             *TARGET_KEYS, "target_pos", "requested_job_title", "selected_jd_id", X.source_name(F.col("source")).alias("source"),
             F.when(F.col("_open"), "partial").otherwise("complete").alias("analysis_scope"),

@@ -13,6 +13,7 @@ from talentweave.config import (
 )
 from talentweave.functions import pointers
 from talentweave.functions import text as X
+from talentweave.functions.rows import explode_rows
 from talentweave.functions.scorers import JaccardScorer
 from talentweave.operators import (
     assemble, exact, intents, passages, quality, query_units, recall, reports, rerank, runs, similarity, state,
@@ -41,12 +42,11 @@ def rerank_targets(
 ) -> DataFrame:
     """Decision per target from its recalled JDs; ``recalled`` is read several times, so pass a stored table."""
     scorer = scorer or JaccardScorer()
-    documents = passages.jd_documents(jd, passage_cfg)
-    known = recalled.join(documents.select("jd_id", "job_title", "department"), "jd_id")
-    titles = rerank.score_pairs(rerank.title_pairs(recalled, documents), scorer)
-    support = rerank.score_pairs(rerank.support_pairs(recalled, queries, documents, cfg), scorer)
-    types = rerank.support_type_scores(rerank.best_passages(support), cfg)
-    ranked = rerank.ranked_rerank(rerank.rerank_candidates(known, titles, types, cfg), cfg)
+    documents = materialize(passages.jd_documents(jd, passage_cfg), "jd-documents")
+    titles = rerank.title_scores(recalled, documents, scorer)
+    pairs = rerank.support_pairs(recalled, queries, documents, cfg, scorer.prepare)
+    types = rerank.support_type_scores(rerank.best_scores(rerank.score_pairs(pairs, scorer)), cfg)
+    ranked = rerank.ranked_rerank(rerank.rerank_candidates(titles, types, cfg), cfg)
     missing = rerank.missing_documents(recalled, documents)
     return rerank.rerank_decision(targets, recalled, missing, ranked, cfg)
 
@@ -180,8 +180,9 @@ def judge_responses(stored: DataFrame, inputs: DataFrame) -> DataFrame:
     jd_type = inputs.schema["matched_jds"].dataType.elementType
     own = inputs.select(
         "resume_id", pointers.text_leaves(F.col("resume"), inputs.schema["resume"].dataType).alias("resume_text"),
-        "target_matches", F.explode("matched_jds").alias("jd"),
-    ).select(
+        "target_matches", "matched_jds",
+    )
+    own = explode_rows(own, ["resume_id", "resume_text", "target_matches"], "matched_jds", "jd").select(
         "resume_id", F.col("jd.jd_id").alias("jd_id"), "resume_text",
         pointers.text_leaves(F.col("jd"), jd_type).alias("jd_text"),
         F.transform(F.filter("target_matches", lambda t: t["selected_jd_id"] == F.col("jd.jd_id")), lambda t: t["target_id"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talentweave.functions import text as X
+from talentweave.functions.rows import explode_rows
 
 
 def triage_responses(responses: DataFrame, schema: T.StructType) -> DataFrame:
@@ -38,7 +39,7 @@ def triage_responses(responses: DataFrame, schema: T.StructType) -> DataFrame:
 
 def analysis_requests(inputs: DataFrame) -> DataFrame:
     """One JSON payload per (résumé, JD): the résumé, that JD and the bindings of that JD only."""
-    per_jd = inputs.select("resume_id", "resume", "target_matches", F.explode("matched_jds").alias("jd"))
+    per_jd = explode_rows(inputs, ["resume_id", "resume", "target_matches"], "matched_jds", "jd")
     own = F.filter("target_matches", lambda t: t["selected_jd_id"] == F.col("jd.jd_id"))
     return per_jd.select(
         "resume_id", F.col("jd.jd_id").alias("jd_id"), F.size(own).alias("n_bindings"),

@@ -19,6 +19,9 @@ from pyspark.sql import SparkSession
 from workload.fixtures import BASE
 
 
+TIMES: list[float] = []  # seconds to build, to run on Spark, to run on DuckDB
+
+
 def session(cores: str = "8") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName("talentweave-tests")
@@ -52,10 +55,15 @@ def rows_of(columns, rows) -> tuple[list[str], Counter]:
 
 def difference(spark, con, folder: str, build, sql: str) -> str | None:
     """None when both sides give the same columns and rows, else what differs."""
+    marks = [time.time()]
     df = build(spark, folder)
+    marks.append(time.time())
     names, got = rows_of(df.columns, df.collect())
+    marks.append(time.time())
     cursor = con.execute(sql)
     wanted_names, wanted = rows_of([c[0] for c in cursor.description], cursor.fetchall())
+    marks.append(time.time())
+    TIMES[:] = [b - a for a, b in zip(marks, marks[1:])]
     if names != wanted_names:
         return f"columns {names} != {wanted_names}"
     if got != wanted:
@@ -82,7 +90,7 @@ if __name__ == "__main__":
             result = difference(spark, con, folder, build, oracles[name]) if name in oracles else "no oracle"
         except Exception as exc:  # noqa: BLE001
             result = f"{type(exc).__name__}: {str(exc)[:700]}"
-        print(f"{name:28s} {time.time() - start:6.1f}s  {'ok' if result is None else result}", flush=True)
+        print(f"{name:28s} {time.time() - start:6.1f}s {' '.join(f'{t:.1f}' for t in TIMES):>14s}  {'ok' if result is None else result}", flush=True)
         if result not in (None, "no oracle"):
             bad.append(name)
     print("bad:", bad)

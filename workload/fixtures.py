@@ -94,7 +94,7 @@ SELECT event_id, ts, user_id AS resume_id,
   CASE WHEN event_type = 'error' THEN '  ' ELSE event_type END AS reason
 FROM events""",
     "fx_attempts": """
-SELECT user_id AS resume_id, event_id % 40 AS jd_id, event_id, ts,
+SELECT CAST(floor(event_id / 5.0) AS BIGINT) AS resume_id, event_id % 2 AS jd_id, event_id, ts,
   event_type = 'purchase' AS succeeded, event_type <> 'signup' AS retryable
 FROM events""",
     "fx_reports": """

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from talentweave.config import PROJECT, SKILLS, TITLE, WORK, RecallConfig
 from talentweave.functions import text as X
 from talentweave.functions import vectors as V
+from talentweave.functions.scorers import JaccardScorer
 from talentweave.operators import (
     assemble, exact, intents, passages, quality, query_units, recall, reports, rerank, runs, similarity, state,
 )
 from talentweave.plans import pipelines
+from talentweave.plans.storage import materialize
 from talentweave.schemas import BASIC_INFO
 from talentweave.sources import intake, responses, tables
 from workload import fixtures as fx
@@ -84,16 +86,18 @@ class Work:
     candidates = cached_property(lambda self: recall.recall_candidates(self.evidence))
     titles = cached_property(lambda self: self.vectors.where(F.col("query_type") == TITLE).select(
         "resume_id", "target_id", "requested_job_title"))
-    recalled = cached_property(lambda self: recall.ranked_candidates(self.candidates, 10).join(
-        self.titles, ["resume_id", "target_id"]))
+    recalled = cached_property(lambda self: materialize(recall.ranked_candidates(self.candidates, 10).join(
+        self.titles, ["resume_id", "target_id"]), "recalled"))
     documents = cached_property(lambda self: passages.jd_documents(self.jd))
-    title_pairs = cached_property(lambda self: rerank.title_pairs(self.recalled, self.documents))
+    title_pairs = cached_property(lambda self: rerank.title_pairs(self.recalled, self.documents).select(
+        "resume_id", "target_id", "jd_id", "left_text", "right_text"))
     support_pairs = cached_property(lambda self: rerank.support_pairs(self.recalled, self.vectors, self.documents))
-    best_passages = cached_property(lambda self: rerank.best_passages(rerank.score_pairs(self.support_pairs)))
-    type_scores = cached_property(lambda self: rerank.support_type_scores(self.best_passages))
+    scored = cached_property(lambda self: rerank.score_pairs(rerank.support_pairs(
+        self.recalled, self.vectors, self.documents, prepare=JaccardScorer().prepare)))
+    best_passages = cached_property(lambda self: rerank.best_passages(self.scored))
+    type_scores = cached_property(lambda self: rerank.support_type_scores(rerank.best_scores(self.scored)))
     rerank_candidates = cached_property(lambda self: rerank.rerank_candidates(
-        self.recalled.join(self.documents.select("jd_id", "job_title", "department"), "jd_id"),
-        rerank.score_pairs(self.title_pairs), self.type_scores))
+        rerank.title_scores(self.recalled, self.documents), self.type_scores))
 
     judged = cached_property(lambda self: state.judged_decisions(self.state, self.exact_candidates, self.view("fx_decisions")))
 
@@ -113,7 +117,7 @@ class Work:
 
     @cached_property
     def bindings(self) -> DataFrame:
-        return state.target_bindings(self.after_review())
+        return state.target_bindings(materialize(self.after_review(), "reviewed"))
 
     @cached_property
     def inputs(self) -> DataFrame:
