@@ -32,9 +32,11 @@ def missing_documents(recalled: DataFrame, documents: DataFrame) -> DataFrame:
     return recalled.join(documents.select("jd_id"), "jd_id", "left_anti")
 
 
-def title_pairs(recalled: DataFrame, documents: DataFrame) -> DataFrame:
+def title_pairs(recalled: DataFrame, documents: DataFrame, prepare=None) -> DataFrame:
     """Recalled JDs that have a document, with the requested title and the JD header to compare."""
     heads = documents.select("jd_id", "job_title", "department", F.col("title_passage").alias("right_text"))
+    if prepare is not None:
+        heads = heads.withColumn("right_ready", prepare(F.col("right_text")))
     return recalled.join(heads, "jd_id").withColumn(
         "left_text", F.concat(F.lit("申请岗位："), F.col("requested_job_title"))
     )
@@ -100,8 +102,10 @@ def score_pairs(pairs: DataFrame, scorer=None, out: str = "score") -> DataFrame:
 
 
 def title_scores(recalled: DataFrame, documents: DataFrame, scorer=None) -> DataFrame:
-    """Recalled JDs that have a document, with ``title_similarity``."""
-    return score_pairs(title_pairs(recalled, documents), scorer, "title_similarity").drop("left_text", "right_text")
+    """Recalled JDs that have a document, with ``title_similarity``; headers are prepared once per JD."""
+    scorer = scorer or JaccardScorer()
+    pairs = title_pairs(recalled, documents, scorer.prepare)
+    return score_pairs(pairs, scorer, "title_similarity").drop("left_text", "right_text")
 
 
 def best_scores(scored: DataFrame) -> DataFrame:

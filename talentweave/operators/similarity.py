@@ -223,11 +223,14 @@ def _cells(queries: DataFrame, chunks: DataFrame, n_chunks: int, block_rows: int
             out.iat[row] = np.flatnonzero(visit[i]).tolist()
         return out
 
-    onward = (
+    # Stored with one row per query; the copy per visited cell exists only in the shuffle.
+    onward = materialize(
         asked.drop("angle").join(reached, QUERY_KEYS, "left")
-        .withColumn("cell", F.explode(others("embedding", "cell", "kth"))).drop("kth")
+        .withColumn("cells", others("embedding", "cell", "kth")).drop("kth", "cell"),
+        "onward-queries",
     )
-    far = _grid_join(materialize(onward, "onward-queries"), placed, blocks, k, dim)
+    visits = onward.withColumn("cell", F.explode("cells")).drop("cells")
+    far = _grid_join(visits, placed, blocks, k, dim)
     ranked = near.unionByName(far).repartition(*TARGET_KEYS)
     return ranked.withColumn("chunk_rank", F.row_number().over(order)).where(F.col("chunk_rank") <= k)
 

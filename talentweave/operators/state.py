@@ -193,6 +193,26 @@ def check_match_state(state: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
+def agent_payloads(state: DataFrame) -> DataFrame:
+    """Per résumé: match status, scope, the resolved targets and the ids of the open ones.
+
+    Résumés without any resolved target give no payload.
+    """
+    resolved = (F.col("status") == "resolved") & F.col("selected_jd_id").isNotNull()
+    target = F.struct("target_pos", "target_id", "requested_job_title", "source", "resolution_method", "selected_jd_id")
+    lists = state.groupBy("resume_id").agg(
+        F.array_sort(F.collect_list(F.when(resolved, target))).alias("selected_targets"),
+        F.array_sort(F.collect_list(F.when(F.col("status") != "resolved", F.struct("target_pos", "target_id"))))["target_id"]
+        .alias("pending_target_ids"),
+    ).where(F.size("selected_targets") > 0)
+    partial = F.size("pending_target_ids") > 0
+    return lists.select(
+        "resume_id", F.when(partial, "partially_ready").otherwise("ready").alias("match_status"),
+        F.when(partial, "partial").otherwise("complete").alias("analysis_scope"),
+        F.transform("selected_targets", lambda t: t.dropFields("target_pos")).alias("selected_targets"), "pending_target_ids",
+    )
+
+
 def target_bindings(state: DataFrame) -> DataFrame:
     """Resolved targets with their JD, and the scope of the analysis of their résumé.
 

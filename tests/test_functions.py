@@ -135,3 +135,12 @@ def test_ingest_distinguishes_errors(spark):
 def test_parameters_are_checked(make):
     with pytest.raises(ValueError):
         make()
+
+
+def test_strict_mode_fails_on_the_first_problem(spark):
+    from talentweave.functions.rows import raise_on
+
+    rows = spark.createDataFrame([(1, None), (2, "blank_title")], "id int, reason string")
+    assert raise_on(rows.where("id = 1"), "reason", ["id"]).count() == 1
+    with pytest.raises(Exception, match="blank_title id=2"):
+        raise_on(rows, "reason", ["id"]).collect()

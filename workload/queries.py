@@ -192,12 +192,13 @@ def _(w):
     return intake.with_hash(w.table("documents"), "text").select("doc_id", "document_hash")
 
 
-_PROCESSED = "(SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 3 = 0)"
+_PROCESSED = "(SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"
 
 
 def _processed(w) -> DataFrame:
-    """The run before this one: it saw every third document."""
-    return intake.with_hash(w.table("documents").where("doc_id % 3 = 0"), "text").select("document_hash")
+    """The run before this one: it saw the labelled documents."""
+    labelled = w.table("documents").join(w.table("labels"), "doc_id", "left_semi")
+    return intake.with_hash(labelled, "text").select("document_hash")
 
 
 @query("incremental_new_docs", f"SELECT min(doc_id) AS doc_id, sha256(text) AS document_hash FROM documents WHERE sha256(text) NOT IN {_PROCESSED} GROUP BY sha256(text)")
@@ -424,9 +425,10 @@ def _(w):
     return exact.lookup_by_titles(w.jd, w.targets, "requested_job_title").select("id", "job_title")
 
 
-@query("lookup_chunk", "SELECT e.event_id, c.chunk_id, c.jd_id, c.chunk_type, c.content FROM events e JOIN fx_chunks c ON c.chunk_id = e.event_id % 700")
+@query("lookup_chunk", "SELECT e.event_id, c.chunk_id, c.jd_id, c.chunk_type, c.content FROM events e JOIN fx_chunks c ON c.chunk_id = e.event_id % (SELECT count(*) + 50 FROM embeddings)")
 def _(w):
-    asked = w.table("events").select("event_id", (F.col("event_id") % 700).alias("chunk_id"))
+    n = w.table("embeddings").count() + 50
+    asked = w.table("events").select("event_id", (F.col("event_id") % n).alias("chunk_id"))
     return asked.join(w.chunks.select("chunk_id", "jd_id", "chunk_type", "content"), "chunk_id")
 
 
@@ -463,11 +465,10 @@ def _(w):
     return _hit_rows(w.hits(chunk_types=["responsibility", " competency ", ""]))
 
 
-@query("knn_exclude", _HIT_SQL.format(p="x_"), R.recall_tables("x_", "fx_vqueries", hit_filter="(q.resume_id, c.jd_id) NOT IN (SELECT event_id % 100, CAST(floor(event_id / 100.0) AS BIGINT) % 40 FROM events)"))
+@query("knn_exclude", _HIT_SQL.format(p="x_"), R.recall_tables("x_", "fx_vqueries", hit_filter="(q.resume_id, c.jd_id) NOT IN (SELECT user_id, event_id % 40 FROM events)"))
 def _(w):
     rejected = w.table("events").select(
-        (F.col("event_id") % 100).alias("resume_id"), F.lit("target_1").alias("target_id"),
-        (F.floor(F.col("event_id") / 100.0) % 40).alias("jd_id"))
+        F.col("user_id").alias("resume_id"), F.lit("target_1").alias("target_id"), (F.col("event_id") % 40).alias("jd_id"))
     queries = similarity.with_exclusions(w.vectors, rejected)
     return _hit_rows(similarity.nearest_chunks(queries, w.chunks, top_k=30, dim=DIM))
 
@@ -869,6 +870,20 @@ def _(w):
     return w.bindings
 
 
+@query("agent_payload", """
+SELECT resume_id, CASE WHEN pending = '' THEN 'ready' ELSE 'partially_ready' END AS match_status, CASE WHEN pending = '' THEN 'complete' ELSE 'partial' END AS analysis_scope,
+  selected_targets, pending AS pending_target_ids
+FROM (SELECT resume_id, string_agg(CASE WHEN status = 'resolved' THEN target_id || '=' || selected_jd_id || ' ' || resolution_method END, ',' ORDER BY target_pos) AS selected_targets,
+  coalesce(string_agg(CASE WHEN status <> 'resolved' THEN target_id END, ',' ORDER BY target_pos), '') AS pending FROM after_review GROUP BY resume_id)
+WHERE selected_targets IS NOT NULL""", _winner_sql("TRUE"))
+def _(w):
+    chosen = F.transform("selected_targets", lambda t: F.concat(
+        t["target_id"], F.lit("="), t["selected_jd_id"].cast("string"), F.lit(" "), t["resolution_method"]))
+    return state.agent_payloads(w.after_review()).select(
+        "resume_id", "match_status", "analysis_scope", F.array_join(chosen, ",").alias("selected_targets"),
+        joined("pending_target_ids", ","))
+
+
 # ---- analysis inputs ------------------------------------------------------------------------------
 
 _INPUT_CTES = {**_winner_sql("TRUE"), "bindings": _BINDINGS}
