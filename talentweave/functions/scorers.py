@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talentweave.config import TITLE
 from talentweave.functions import text as X
 
 
@@ -97,10 +98,12 @@ class NgramEmbedder:
 
 
 def embed_texts(rows: DataFrame, factory: Callable[[], Callable[[Sequence[str]], np.ndarray]], column: str = "text",
-                batch_size: int = 8) -> DataFrame:
-    """Add ``embedding`` to every row, computing each distinct text once.
+                batch_size: int = 8, distinct: bool = True) -> DataFrame:
+    """Add ``embedding``, a unit vector per text.
 
-    ``factory`` makes the model, once per Python worker and task.
+    ``factory`` makes the model, once per Python worker and task. With ``distinct`` each different text
+    is computed once and joined back; without it rows are mapped in place and nothing is shuffled,
+    which is cheaper where texts seldom repeat.
     """
 
     @F.pandas_udf("array<float>")
@@ -109,11 +112,19 @@ def embed_texts(rows: DataFrame, factory: Callable[[], Callable[[Sequence[str]],
         for texts in batches:
             values = texts.tolist()
             parts = [np.asarray(model(values[i:i + batch_size])) for i in range(0, len(values), batch_size)]
-            matrix = np.concatenate(parts) if parts else np.empty((0, 0))
-            norms = np.linalg.norm(matrix, axis=1, keepdims=True) if len(matrix) else 1.0
+            matrix = np.concatenate(parts) if parts else np.empty((0, 1))
+            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
             yield pd.Series(list((matrix / np.where(norms == 0, 1, norms)).astype("float32")))
 
+    if not distinct:
+        return rows.withColumn("embedding", run(column))
     keyed = rows.withColumn("_text_key", F.sha2(F.col(column), 256))
-    distinct = keyed.select("_text_key", column).dropDuplicates(["_text_key"])
-    vectors = distinct.select("_text_key", run(column).alias("embedding"))
-    return keyed.join(vectors, "_text_key").drop("_text_key")
+    once = keyed.select("_text_key", column).dropDuplicates(["_text_key"])
+    return keyed.join(once.select("_text_key", run(column).alias("embedding")), "_text_key").drop("_text_key")
+
+
+def embed_units(units: DataFrame, factory: Callable[[], Callable[[Sequence[str]], np.ndarray]], batch_size: int = 8) -> DataFrame:
+    """Embed query units: popular titles once for all who ask for them, evidence texts in place."""
+    is_title = F.col("query_type") == TITLE
+    titles = embed_texts(units.where(is_title), factory, batch_size=batch_size)
+    return titles.unionByName(embed_texts(units.where(~is_title), factory, batch_size=batch_size, distinct=False))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from talentweave.functions import text as X
 
-# Identifiers per bucket when the rows of one title are numbered.
-ID_BUCKET = 1 << 16
+# Bits of an identifier that are looked at together when the rows of one title are numbered.
+KEY_BITS = 21
 
 
 def title_index(jd: DataFrame) -> DataFrame:
@@ -71,24 +71,36 @@ def unresolved(matches: DataFrame) -> DataFrame:
     return matches.where(F.col("status") == "unresolved")
 
 
-def rank_in_group(rows: DataFrame, group: str, key: str, out: str) -> DataFrame:
+def rank_in_group(rows: DataFrame, group: str, key: str, out: str, bits: int = KEY_BITS, levels: int = 3) -> DataFrame:
     """Number the rows of each group by a unique integer key, however large one group is.
 
-    Rows are numbered inside (group, key range); the ranges hold at most ID_BUCKET rows each. The
-    offsets come from counts per range, so no task ever sees a whole group.
+    The key is read in pieces of ``bits`` bits, as a tree with at most 2**bits children per node. A rank
+    is the sum of what stands before a row on each level, so every window holds the children of one
+    node and no task sees a whole group; three levels of 21 bits cover all positive 64-bit keys.
     """
-    bucketed = rows.withColumn("_bucket", F.floor(F.col(key) / F.lit(ID_BUCKET)))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    )
-    inside = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(key))
+    def parent(c: Column) -> Column:
+        return F.shiftright(c, bits)
+
+    level = rows.groupBy(group, parent(F.col(key)).alias("_node")).agg(F.count("*").alias("_n"))
+    offsets = None
+    for depth in range(1, levels):
+        up = parent(F.col("_node"))
+        node = [group] if depth == levels - 1 else [group, "_up"]
+        before = Window.partitionBy(*node).orderBy("_node").rowsBetween(Window.unboundedPreceding, -1)
+        counted = level.withColumn("_up", up).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        if offsets is None:
+            offsets = counted.select(group, F.col("_node").alias("_leaf"), F.col("_up").alias("_next"), F.col("_before").alias("_offset"))
+        else:
+            step = counted.select(group, F.col("_node").alias("_next"), F.col("_up").alias("_after"), "_before")
+            offsets = offsets.join(step, [group, "_next"]).select(
+                group, "_leaf", F.col("_after").alias("_next"), (F.col("_offset") + F.col("_before")).alias("_offset")
+            )
+        level = level.withColumn("_up", up).groupBy(group, F.col("_up").alias("_node")).agg(F.sum("_n").alias("_n"))
+    leaf = rows.withColumn("_leaf", parent(F.col(key)))
+    inside = F.row_number().over(Window.partitionBy(group, "_leaf").orderBy(key))
     return (
-        bucketed.withColumn("_inside", inside)
-        .join(offsets, [group, "_bucket"])
-        .withColumn(out, (F.col("_offset") + F.col("_inside")).cast("long"))
-        .drop("_bucket", "_offset", "_inside")
+        leaf.withColumn("_inside", inside).join(offsets.drop("_next"), [group, "_leaf"])
+        .withColumn(out, (F.col("_offset") + F.col("_inside")).cast("long")).drop("_leaf", "_offset", "_inside")
     )
 
 

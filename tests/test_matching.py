@@ -11,12 +11,13 @@ from talentweave.operators import exact, passages, query_units, recall, rerank,
 from talentweave.schemas import RESPONSIBILITY, RESUME
 
 
-def test_rank_in_hot_group_needs_no_whole_group(spark, monkeypatch):
-    monkeypatch.setattr(exact, "ID_BUCKET", 7)
-    rows = spark.range(0, 300, 3).withColumn("g", F.when(F.col("id") % 5 < 4, "hot").otherwise("cold"))
+@pytest.mark.parametrize("bits,levels", [(21, 3), (2, 6), (3, 3), (2, 2)])
+def test_rank_in_hot_group_needs_no_whole_group(spark, bits, levels):
+    ids = spark.range(0, 300, 3).unionByName(spark.createDataFrame([(-5,), (-1,), (2**40,), (2**62,)], "id long"))
+    rows = ids.withColumn("g", F.when(F.col("id") % 5 < 4, "hot").otherwise("cold"))
     order = Window.partitionBy("g").orderBy("id")
-    wrong = exact.rank_in_group(rows, "g", "id", "r").withColumn("w", F.row_number().over(order)).where("r <> w")
-    assert wrong.count() == 0
+    ranked = exact.rank_in_group(rows, "g", "id", "r", bits, levels).withColumn("w", F.row_number().over(order))
+    assert ranked.count() == 104 and ranked.where("r <> w").count() == 0
 
 
 def test_alias_only_counts_with_jds_and_direct_wins(spark):

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentweave.functions.scorers import NgramEmbedder, embed_texts
+from talentweave.functions.scorers import NgramEmbedder, embed_texts, embed_units
 from talentweave.operators import assemble, state
 from talentweave.plans import pipelines
 from talentweave.schemas import RESPONSIBILITY, RESUME
@@ -45,7 +45,7 @@ def test_match_with_the_bundled_models(spark):
                      (2, "cook", "cook", "meals", "knife"), (3, None, "x", "y", "z"), (4, "chef", "cook", "meals", "knife"))
     alias = spark.createDataFrame([("chef", "cook")], "alias_title string, standard_title string")
     got = {(r.resume_id, r.target_id): r for r in pipelines.match_resumes(
-        people, jd, alias, chunks(spark, jd), lambda u: embed_texts(u, lambda: NgramEmbedder(256)), dim=256).collect()}
+        people, jd, alias, chunks(spark, jd), lambda u: embed_units(u, lambda: NgramEmbedder(256)), dim=256).collect()}
     assert (got[1, "target_1"].status, got[1, "target_1"].selected_jd_id) == ("resolved", 1)
     assert (got[1, "target_2"].status, got[1, "target_2"].source) == ("needs_confirmation", "semantic")
     assert got[2, "target_1"].n_candidates == got[4, "target_1"].n_candidates == 2
