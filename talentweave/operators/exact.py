@@ -115,6 +115,23 @@ def exact_candidates(matches: DataFrame, jd: DataFrame) -> DataFrame:
     ).join(ranked, F.col("normalized_title") == F.col("job_title")).drop("normalized_title")
 
 
+def listed_candidates(pairs: DataFrame, matches: DataFrame, jd: DataFrame) -> DataFrame:
+    """Those (resume_id, target_id, jd_id) of ``pairs`` whose JD is an exact candidate of the target.
+
+    The JD's own title is compared with the title the target resolved to, so the candidates of a
+    popular title are never expanded.
+    """
+    asked = pairs.where(F.col("jd_id").isNotNull()).select(
+        "resume_id", X.strip(F.col("target_id")).alias("target_id"), "jd_id"
+    ).distinct()
+    resolved = matches.where(F.col("status") == "matched").select("resume_id", "target_id", "normalized_title")
+    titles = jd.select(F.col("id").alias("jd_id"), "job_title")
+    return (
+        asked.join(resolved, ["resume_id", "target_id"]).join(titles, "jd_id")
+        .where(F.col("job_title") == F.col("normalized_title")).select("resume_id", "target_id", "jd_id")
+    )
+
+
 def lookup_by_titles(jd: DataFrame, titles: DataFrame, column: str = "job_title") -> DataFrame:
     """JDs whose title is in a (small or large) table of titles; blanks dropped, order by title, id."""
     wanted = titles.select(X.strip(F.col(column)).alias("job_title")).where(F.col("job_title") != "").distinct()

@@ -75,6 +75,7 @@ def with_semantic(state: DataFrame, decisions: DataFrame) -> DataFrame:
 def judged_decisions(state: DataFrame, candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     """Every review event with ``reason_code``: NULL when it would be accepted on the initial state.
 
+    ``candidates`` needs only the (resume_id, target_id, jd_id) that the events name.
     ``decisions``: event_id, ts, resume_id, target_id, action (confirm | reject), jd_id, reason.
     """
     events = decisions.withColumn("target_id", X.strip(F.col("target_id")))
@@ -123,7 +124,10 @@ def rejected_candidate_lists(candidates: DataFrame, winners: DataFrame) -> DataF
 
 
 def apply_decisions(state: DataFrame, candidates: DataFrame, winners: DataFrame) -> DataFrame:
-    """State after the winning review events; all other targets stay as they are."""
+    """State after the winning review events; all other targets stay as they are.
+
+    ``candidates`` needs only the targets whose candidates were rejected.
+    """
     w = winners.select(*TARGET_KEYS, F.col("action").alias("_action"), "chosen_jd_id", F.col("reason").alias("_reason"))
     rows = state.join(w, TARGET_KEYS, "left").join(rejected_candidate_lists(candidates, winners), TARGET_KEYS, "left")
     confirmed, rejected = F.col("_action") == "confirm", F.col("_action") == "reject"

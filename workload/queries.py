@@ -99,7 +99,10 @@ class Work:
     rerank_candidates = cached_property(lambda self: rerank.rerank_candidates(
         rerank.title_scores(self.recalled, self.documents), self.type_scores))
 
-    judged = cached_property(lambda self: state.judged_decisions(self.state, self.exact_candidates, self.view("fx_decisions")))
+    @cached_property
+    def judged(self) -> DataFrame:
+        events = self.view("fx_decisions")
+        return state.judged_decisions(self.state, exact.listed_candidates(events, self.matches, self.jd), events)
 
     def embed(self, units: DataFrame) -> DataFrame:
         """Stand-in for a model: a stored vector per unit."""
@@ -113,7 +116,10 @@ class Work:
 
     def after_review(self, action: str | None = None) -> DataFrame:
         judged = self.judged if action is None else self.judged.where(F.col("action") == action)
-        return state.apply_decisions(self.state, self.exact_candidates, state.winning_decisions(judged))
+        winners = materialize(state.winning_decisions(judged), "winners")
+        rejected = winners.where("action = 'reject'").select("resume_id", "target_id")
+        lost = exact.exact_candidates(self.matches.join(rejected, ["resume_id", "target_id"], "left_semi"), self.jd)
+        return state.apply_decisions(self.state, lost, winners)
 
     @cached_property
     def bindings(self) -> DataFrame:
@@ -856,7 +862,8 @@ LEFT JOIN o_exact_cands c ON c.resume_id = s.resume_id AND c.target_id = s.targe
 def _(w):
     r = F.col("resume_id")
     broken = w.state.withColumn("selected_jd_id", F.when(r % 5 == 0, r).when(r % 5 != 1, F.col("selected_jd_id")))
-    return state.check_match_state(broken, w.exact_candidates)
+    chosen = broken.withColumnRenamed("selected_jd_id", "jd_id")
+    return state.check_match_state(broken, exact.listed_candidates(chosen, w.matches, w.jd))
 
 
 _BINDINGS = """
