@@ -117,3 +117,14 @@ def backoff(retry: Column, hint: Column, base: float = 1.0, cap: float = 30.0) -
 def source_name(c: Column) -> Column:
     """Short name of a match source; NULL for one that is not known."""
     return F.when(c.isin("exact", "semantic", "manual_search"), c)
+
+
+def is_json(c: Column) -> Column:
+    """True for text that is exactly one JSON value.
+
+    Spark's parser stops after the first value. Text that continues is told apart by putting it into
+    a list of one and into an object: whatever follows the value breaks at least one of the two.
+    """
+    listed = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
+    wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return F.coalesce(listed, F.lit(False)) & wrapped.isNotNull()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talentweave.functions import text as X
 from talentweave.functions.rows import explode_rows
 from talentweave.schemas import RESUME
 
@@ -148,7 +149,7 @@ def schema_errors(rows: DataFrame, column: str, schema: T.StructType = RESUME) -
     Text that is no JSON gives one issue at ``$``. Fields are checked by type down to the sections'
     own fields; entries of lists are checked for their required names. Unknown fields are allowed.
     """
-    parsed = rows.withColumn("_v", F.try_parse_json(column))
+    parsed = rows.withColumn("_v", F.when(X.is_json(F.col(column)), F.try_parse_json(column)))
     parts = [
         _when(F.col("_v").isNull(), _issue(F.lit("$"), "schema_error", "invalid_json", "error", True, F.col(column))),
         _type_errors(F.col("_v"), schema, F.lit("$")),

@@ -42,7 +42,8 @@ def rerank_targets(
 ) -> DataFrame:
     """Decision per target from its recalled JDs; ``recalled`` is read several times, so pass a stored table."""
     scorer = scorer or JaccardScorer()
-    documents = materialize(passages.jd_documents(jd, passage_cfg), "jd-documents")
+    wanted = jd.join(recalled.select(F.col("jd_id").alias("id")), "id", "left_semi")
+    documents = materialize(passages.jd_documents(wanted, passage_cfg), "jd-documents")
     titles = rerank.title_scores(recalled, documents, scorer)
     pairs = rerank.support_pairs(recalled, queries, documents, cfg, scorer.prepare)
     types = rerank.support_type_scores(rerank.best_scores(rerank.score_pairs(pairs, scorer)), cfg)

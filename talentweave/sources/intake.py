@@ -59,7 +59,7 @@ def ingest_json(rows: DataFrame, column: str, schema: T.StructType = RESUME, req
         missing = missing | F.col(f"_record.{name}").isNull()
     status = (
         F.when(F.col("_json").isNull(), "empty_output")
-        .when(F.try_parse_json("_json").isNull(), "invalid_json")
+        .when(~X.is_json(F.col("_json")), "invalid_json")
         .when(F.col("_record._corrupt_record").isNotNull() | F.col("_record").isNull() | missing, "invalid_schema")
         .otherwise("ok")
     )

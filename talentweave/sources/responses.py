@@ -24,7 +24,7 @@ def triage_responses(responses: DataFrame, schema: T.StructType) -> DataFrame:
         .when(finish == "length", "output_truncated")
         .when((finish != "stop") | F.coalesce("has_tool_calls", F.lit(False)), "unexpected_finish")
         .when(X.is_blank(F.col("content")), "empty_output")
-        .when(F.try_parse_json("content").isNull(), "invalid_json")
+        .when(~X.is_json(F.col("content")), "invalid_json")
         .when(F.col("_parsed").isNull() | F.col("_parsed._corrupt_record").isNotNull(), "invalid_schema")
     )
     stage = F.when(F.col("code") == "model_refusal", "llm_call").when(

@@ -63,6 +63,13 @@ def test_intents(spark, title, titles, multi):
     assert (got.job_titles, got.is_multi_intent) == (titles, multi)
 
 
+def test_json_text_is_one_value(spark):
+    values = ['{"k":1}', '{"k":1}}', '{"k":1}]', '{"k":1},{"k":2}', '{"k":1},', '{"k":1} x', "[1]", "null", "3", '{"k":', "", None,
+              '{"k":1}],[', '{"k":1}},{"a":{', ' {"k": "}]"} ']
+    assert column(spark, X.is_json, values) == [
+        True, False, False, False, False, False, True, True, True, False, False, False, False, False, True]
+
+
 def test_vectors(spark):
     values = [[1.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [0.0, 0.0], [], [1.0], None]
     assert column(spark, lambda c: V.vector_problem(c, 2), values, "array<float>") == [

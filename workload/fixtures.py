@@ -118,9 +118,10 @@ SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN 'other' ELSE 'resume' END AS sourc
     ELSE substring(text, CAST(1 + doc_id % 50 AS INT), 20) END AS quote
 FROM documents""",
     "fx_raw_json": """
-SELECT event_id, CASE event_id % 7 WHEN 0 THEN concat('```json', chr(10), props, chr(10), '```')
+SELECT event_id, CASE event_id % 9 WHEN 0 THEN concat('```json', chr(10), props, chr(10), '```')
   WHEN 1 THEN concat('```', props, '```') WHEN 2 THEN '   ' WHEN 3 THEN substring(props, 1, length(props) - 1)
-  WHEN 4 THEN concat('{"k": "', event_type, '"}') WHEN 5 THEN concat('[', props, ']') ELSE props END AS output_text
+  WHEN 4 THEN concat('{"k": "', event_type, '"}') WHEN 5 THEN concat('[', props, ']')
+  WHEN 6 THEN concat(props, '}') WHEN 7 THEN concat(props, '] x') ELSE props END AS output_text
 FROM events""",
     "fx_responses": """
 SELECT event_id, CASE event_id % 11 WHEN 0 THEN 0 ELSE 1 END AS n_choices,
