@@ -12,7 +12,9 @@ SPACES = "".join(
     map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
               0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
-_SPACE_RUN = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in SPACES) + "]+"
+_SPACE_RUN = (
+    r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+)
 STRONG_SEPARATORS = "[、，,；;|]+"
 SLASHES = "[/／]+"
 
