@@ -85,8 +85,8 @@ def test_pointers(spark):
         T.StructField("n", T.IntegerType()), T.StructField("o", T.StructType([T.StructField("p", T.StringType())])),
     ])
     paths = ["/a/0", "/a/1", "/a/00", "/a/2", "/x~1y~0z", "/a~2b", "a", "/n", "/o/p", "/o", "/a/-1", None]
-    rows = spark.createDataFrame([(["v", " "], "w", 3, ("q",))], kind).select(F.struct("*").alias("d")).crossJoin(
-        spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, path string"))
+    rows = spark.createDataFrame([(["v", " "], "w", 3, ("q",))], kind).select(F.struct("*").alias("d"))
+    rows = rows.select("d", F.posexplode(F.array(*[F.lit(p) for p in paths])).alias("i", "path"))
     leaf = F.try_element_at(pointers.text_leaves(F.col("d"), kind), F.col("path"))
     got = [tuple(r) for r in rows.withColumn("leaf", leaf).orderBy("i").select(
         "leaf", pointers.pointer_problem(F.col("path"), F.col("leaf"))).collect()]
