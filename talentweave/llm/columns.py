@@ -33,9 +33,20 @@ def running_total(rows: DataFrame, key: str, bucket: str, order: list[str], valu
     totals = rows.groupBy(key, bucket).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(
-        F.col(key).alias("_key"), F.col(bucket).alias("_bucket"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base")
+        F.col(key).alias("_of_key"), F.col(bucket).alias("_of_bucket"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base")
     )
     inside = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    joined = local.join(base, F.col(key).eqNullSafe(F.col("_key")) & (F.col(bucket) == F.col("_bucket")))
-    return joined.withColumn(out, F.col("_base") + F.col("_local")).drop("_key", "_bucket", "_base", "_local")
+    joined = local.join(base, F.col(key).eqNullSafe(F.col("_of_key")) & (F.col(bucket) == F.col("_of_bucket")))
+    return joined.withColumn(out, F.col("_base") + F.col("_local")).drop("_of_key", "_of_bucket", "_base", "_local")
+
+
+def boxed(docs: DataFrame, *roles: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns named c0, c1, ... so that an operator's own columns can't clash; and the new names of ``roles``."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [names[r] for r in roles]
+
+
+def unboxed(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Undo ``boxed``: just the columns of ``docs``, under their names."""
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

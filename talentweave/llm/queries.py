@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentweave.llm import content_sort, simhash
-from talentweave.llm.columns import table
+from talentweave.llm import content_sort, mixing, packing, quality, simhash
+from talentweave.llm.columns import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file; it is installed wherever tasks run."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def register(build: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = build
@@ -39,3 +46,59 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return content_sort.content_groups(table(spark, folder, "documents"))
+
+
+@query("op4_low_discrepancy_mix", r"""
+    WITH sized AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+               lpad(((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 4))::BIGINT) % 256)::VARCHAR, 6, '0')
+                   || md5(coalesce(doc_id::VARCHAR, '')) AS hash
+        FROM documents
+    ), sources AS (
+        SELECT source, sum(size)::BIGINT AS source_size,
+               [3.0::DOUBLE, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+        FROM sized GROUP BY source
+    ), levels AS (
+        SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER earlier, 0)) / sum(weight) OVER onward AS level
+        FROM sources
+        WINDOW earlier AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+               onward AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    ), water AS (
+        SELECT arg_min(level, source_size / weight) AS level FROM levels WHERE level * weight <= 2.0 * source_size
+    ), targets AS (
+        SELECT s.source, source_size, least(2.0 * source_size, coalesce(w.level * weight, 2.0 * source_size)) AS target
+        FROM sources s CROSS JOIN water w
+    ), placed AS (
+        SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (
+                   PARTITION BY d.source ORDER BY hash, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+        FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+    )
+    SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target,
+           (greatest(0, least(size, round(target) - place)) + greatest(0, least(size, round(target) - source_size - place)))::BIGINT AS taken
+    FROM placed
+""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    found = mixing.mixed(docs, keep_text=False)
+    sizes = found.select("source", F.col("_target").alias("target")).distinct()
+    mix = mixing.pieces(found, mixing.schedule(sizes))
+    taken = mix.groupBy(F.col("_row").alias("_of")).agg(F.sum("length").alias("_taken"))
+    return found.join(taken, F.col("_row") == F.col("_of"), "left").select(
+        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+        F.round("_target", 6).alias("target"), F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+
+
+@query("op9_concatenate_and_cut")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = packing.packed(docs, vocabulary("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "begins", "ends")
+
+
+@query("op10_factorisation_machine")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    machine = quality.fitted(docs, table(spark, folder, "labels"), id_remainder("doc_id", 5) != 0)
+    return quality.scored(docs, machine).select(
+        "doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= quality.THRESHOLD).cast("int").alias("predicted"))

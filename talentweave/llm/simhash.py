@@ -23,10 +23,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from talentweave.llm.columns import boxed, unboxed
 from talentweave.llm.components import components
 from talentweave.plans.storage import materialize
 
@@ -138,6 +139,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with ``_fp`` (signed), ``_component`` (smallest id that can be reached) and ``_kept``.
 
     One row of each component has ``_kept``: that with the smallest id. Without ``keep_text`` the text is left out.
+    Columns of ``docs`` with these names are replaced.
     """
     signed = docs.withColumns({"_fp": fingerprint(F.col(text_col)), "_row": F.monotonically_increasing_id()})
     signed = materialize(signed if keep_text else signed.drop(text_col), "fingerprints")
@@ -152,3 +154,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         signed.join(named, F.col("_fp") == F.col("fp")).withColumn("_kept", F.col("_row") == F.col("_head"))
         .drop("fp", "_head", "_row")
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are the first of their group, with the columns of ``docs`` whatever their names."""
+    rows, (own, text) = boxed(docs, id_col, text_col)
+    return unboxed(near_groups(rows, own, text, **options).where("_kept"), docs)
