@@ -23,7 +23,6 @@ from talentweave.plans.storage import materialize
 RANGE_BYTES = 1 << 16
 FAN = 16
 FILE_PAGES = 512  # pages per file
-KEYS = ["warc_file", "level", "node"]
 
 
 def warc_record(url: Column, content: Column) -> Column:
@@ -34,20 +33,15 @@ def warc_record(url: Column, content: Column) -> Column:
         F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
-def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Pages as WARC records: ``warc_file, record_id, record, length, offset``; files hold ``FILE_PAGES`` neighbouring ids.
-
-    Pages without an id are spread over files of their own by a hash.
-    """
-    own, spread = F.col(id_col).cast("long"), F.pmod(F.xxhash64(url_col, html_col), F.lit(1 << 20))
-    name = F.when(own.isNull(), F.concat(F.lit("none-"), spread.cast("string"))).otherwise(
-        F.concat(F.lit("pages-"), F.floor(own / FILE_PAGES).cast("string")))
-    made = pages.select(name.alias("warc_file"), own.alias("record_id"), warc_record(F.col(url_col), F.col(html_col)).alias("record"))
-    return made.withColumns({"length": F.octet_length("record").cast("long"), "digest": F.sha2("record", 256)})
+def file_of(record_id: Column, *content: str) -> Column:
+    """Name of the file of a page; pages without an id are spread over files of their own by a hash of ``content``."""
+    spread = F.pmod(F.xxhash64(*content), F.lit(1 << 20)).cast("string")
+    return F.when(record_id.isNull(), F.concat(F.lit("none-"), spread)).otherwise(
+        F.concat(F.lit("pages-"), F.floor(record_id / FILE_PAGES).cast("string")))
 
 
 def with_offsets(records: DataFrame) -> DataFrame:
-    """Where each record begins in its file, in the order of ids."""
+    """Where each record (``warc_file, record_id, length, digest``) begins in its file, in the order of ids."""
     before = Window.partitionBy("warc_file").orderBy("record_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     return records.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentweave.llm import content_sort, mixing, packing, quality, simhash
+from talentweave.llm import content_sort, fixity, mixing, outliers, packing, quality, sharding, simhash, urls
 from talentweave.llm.columns import id_remainder, table
+from talentweave.plans.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +49,113 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return content_sort.content_groups(table(spark, folder, "documents"))
 
 
+@query("op2_lookup_table_sharding", """
+    WITH RECURSIVE shards AS (
+        SELECT i, printf('shard-%02d', i) AS shard, ('0x' || substr(md5('offset ' || printf('shard-%02d', i)), 1, 15))::BIGINT % 4093 AS start,
+               ('0x' || substr(md5('skip ' || printf('shard-%02d', i)), 1, 15))::BIGINT % 4092 + 1 AS step
+        FROM range(32) t(i)
+    ), turns AS (
+        SELECT 0 AS turn, NULL::BIGINT AS slot, NULL::BIGINT AS shard_no, list_transform(range(4093), lambda x: false) AS used
+        UNION ALL
+        SELECT turn + 1, chosen, i, used[:chosen] || [true] || used[chosen + 2:]
+        FROM (
+            SELECT turn, used, i, list_filter(list_transform(range(4093), lambda j: (start + j * step) % 4093), lambda s: NOT used[s + 1])[1] AS chosen
+            FROM turns JOIN shards ON i = turn % 32 WHERE turn < 4093
+        )
+    ), slots AS (SELECT slot, shard FROM turns JOIN shards ON i = shard_no)
+    SELECT doc_id, slot::INT AS slot, shard
+    FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % 4093 AS slot FROM documents)
+    JOIN slots USING (slot)
+""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(table(spark, folder, "documents").select("doc_id"))
+
+
+@query("op3_url_trust", r"""
+    WITH RECURSIVE parsed AS (
+        SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+               coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path,
+               list_distinct(list_transform(
+                   regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1),
+                   lambda h: translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS linked
+        FROM pages
+    ), rules(verdict, rule_host, rule_path) AS (
+        VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+    ), ruled AS (
+        SELECT *, (SELECT max({'n': length(rule_host || rule_path), 'rule': rule_host || rule_path, 'verdict': verdict}) FROM rules
+                   WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS won
+        FROM parsed
+    ), seeds AS (
+        SELECT host, kind, avg((coalesce(won.verdict, '') = verdict)::INT) AS score
+        FROM ruled, (VALUES ('trust', 'allow'), ('distrust', 'block')) k(kind, verdict) WHERE host <> '' GROUP BY host, kind
+    ), edges AS (
+        SELECT src, dst, count(*) AS pages FROM (SELECT host AS src, unnest(linked) AS dst FROM parsed)
+        WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
+    ), ways AS (
+        SELECT src AS a, dst AS b, 'trust' AS kind, 0.85 * pages / sum(pages) OVER (PARTITION BY src) AS share FROM edges
+        UNION ALL SELECT dst, src, 'distrust', 0.85 * pages / sum(pages) OVER (PARTITION BY dst) FROM edges
+    ), rounds AS (
+        SELECT 0 AS n, host, kind, score FROM seeds WHERE score > 0
+        UNION ALL
+        SELECT n + 1, b, kind, sum(share * score) FROM (SELECT * FROM rounds WHERE n < 30) r JOIN ways USING (kind) WHERE a = host GROUP BY n, b, kind
+    ), scores AS (
+        SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust
+        FROM rounds GROUP BY host
+    )
+    SELECT page_id, r.host, path, won.rule AS rule,
+           coalesce(won.verdict, CASE WHEN distrust >= 0.5 AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
+    FROM ruled r LEFT JOIN scores s ON r.host = s.host
+""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    found = urls.judged(table(spark, folder, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+#: The second replica of the audit: of each record a hash of its url decides whether it is whole, altered or lost.
+DAMAGE = "substr(md5(coalesce(url, '')), 1, 2)"
+
+
+@query("op5_merkle_fixity", f"""
+    WITH damaged AS (
+        SELECT *, CASE WHEN {DAMAGE} = '00' THEN replace(html, '<p>', '<q>') ELSE html END AS altered, {DAMAGE} = '01' AS lost FROM pages
+    ), records AS (
+        SELECT page_id, 'pages-' || floor(page_id / 512)::BIGINT AS warc_file, lost,
+               ['WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+                || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(body, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+                || coalesce(body, '') || chr(13) || chr(10) || chr(13) || chr(10) FOR body IN [html, altered]] AS record
+        FROM damaged
+    ), placed AS (
+        SELECT *, strlen(record[1]) AS length_a, strlen(record[2]) AS length_b, sha256(record[1]) AS digest_a, sha256(record[2]) AS digest_b,
+               coalesce(sum(strlen(record[1])) OVER (PARTITION BY warc_file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+        FROM records
+    )
+    SELECT warc_file, place::BIGINT AS "offset", CASE WHEN lost THEN 'missing' ELSE 'changed' END AS status, length_a,
+           CASE WHEN NOT lost THEN length_b END AS length_b, digest_a, CASE WHEN NOT lost THEN digest_b END AS digest_b
+    FROM placed WHERE lost OR digest_a <> digest_b
+""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    mark = F.expr(DAMAGE)
+    # The replica is what a second site holds: the same offsets, with some records altered in place and some lost.
+    altered = F.when(mark == "00", F.replace("html", F.lit("<p>"), F.lit("<q>"))).otherwise(F.col("html"))
+    here, there = (fixity.warc_record(F.col("url"), html) for html in (F.col("html"), altered))
+    records = pages.select(
+        fixity.file_of(F.col("page_id"), "url", "html").alias("warc_file"), F.col("page_id").alias("record_id"),
+        F.octet_length(here).cast("long").alias("length"), F.sha2(here, 256).alias("digest"),
+        F.octet_length(there).cast("long").alias("length_b"), F.sha2(there, 256).alias("digest_b"), (mark == "01").alias("lost"))
+    placed = materialize(fixity.with_offsets(records), "replicas")
+    first = placed.select("warc_file", "offset", "length", "digest")
+    second = placed.where("NOT lost").select("warc_file", "offset", F.col("length_b").alias("length"), F.col("digest_b").alias("digest"))
+    return fixity.audit(first, second)
+
+
+@query("op6_robust_outliers")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    rows = outliers.counted(table(spark, folder, "documents"))
+    return outliers.judged(rows).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op4_low_discrepancy_mix", r"""
     WITH sized AS (
         SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,

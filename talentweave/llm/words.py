@@ -47,20 +47,54 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Letters and marks whose subwords don't depend on anything around them: after lower-casing, each run of letters and
+#: each run of marks is tokenised by itself.
+PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-/:-@\[-`{-~]*)$"
+#: Bytes that byte-level vocabularies write as characters from 256 onwards, in order; others stand for themselves.
+UNPRINTED = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+def _runs(runs: list[str], path: str) -> list[list[int]]:
+    """Ids of runs of letters or marks, each by one call of the vocabulary's model."""
+    tokenize = tokenizer(path).model.tokenize
+    return [
+        [t.id for t in tokenize(r if r.isascii() else r.encode().decode("latin-1").translate(UNPRINTED))] if r else [] for r in runs]
+
+
+def _any(words: list[str], path: str) -> list[list[int]]:
+    """Ids of any words: they are encoded as one text with spaces between, and offsets tell which word an id belongs to."""
+    if not words:
+        return []
+    coded = tokenizer(path).encode(" ".join(words), add_special_tokens=False)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    owner = np.searchsorted(ends, [a for a, _ in coded.offsets], side="right")
+    cuts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+    ids = coded.ids
+    return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def subwords(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words one after another, and where each word's ids start (one entry more than words).
+    """Ids of different words one after another, and where each word's ids start (one entry more than words).
 
-    The words are encoded as one text with spaces between; offsets tell which word an id belongs to.
+    For vocabularies of lower-cased, byte-level word pieces, like the public ``word_bpe``.
     """
-    if not len(words):
-        return np.empty(0, "uint32"), np.zeros(1, "int64")
-    lengths = pc.utf8_length(words).to_numpy().astype("int64") + 1
-    starts = np.cumsum(lengths) - lengths
-    coded = tokenizer(path).encode(" ".join(words.to_pylist()), add_special_tokens=False)
-    ids = np.array(coded.ids, dtype="uint32")
-    at = np.array([a for a, _ in coded.offsets], dtype="int64")
-    owner = np.searchsorted(starts, at, side="right") - 1
-    return ids, np.searchsorted(owner, np.arange(len(words) + 1))
+    found = pc.extract_regex(words, pattern=PLAIN)
+    plain = np.asarray(found.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
+    letters = pc.dictionary_encode(pc.utf8_lower(found.field("letters").filter(pa.array(plain))))
+    marks = pc.dictionary_encode(found.field("marks").filter(pa.array(plain)))
+    groups = [
+        _runs(letters.dictionary.to_pylist(), path), _runs(marks.dictionary.to_pylist(), path),
+        _any(words.filter(pa.array(~plain)).to_pylist(), path), [[]]]
+    lengths = [len(ids) for group in groups for ids in group]
+    flat = np.fromiter((i for group in groups for ids in group for i in ids), dtype="uint32", count=sum(lengths))
+    starts = np.concatenate([[0], np.cumsum(lengths, dtype="int64")])
+    first_mark, first_other = len(groups[0]), len(groups[0]) + len(groups[1])
+    parts = np.full((len(words), 2), len(lengths) - 1)  # the last part is empty
+    parts[plain, 0] = letters.indices.to_numpy()
+    parts[plain, 1] = first_mark + marks.indices.to_numpy()
+    parts[~plain, 0] = first_other + np.arange(int((~plain).sum()))
+    ids, after = gathered(flat, starts, parts.reshape(-1))
+    return ids, after[::2]
 
 
 def gathered(ids: np.ndarray, starts: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
