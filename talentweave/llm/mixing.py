@@ -56,17 +56,21 @@ def source_targets(
     )
 
 
-def placed_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_text: bool = True,
-) -> DataFrame:
-    """``docs`` with ``_row`` (a number), ``_size`` (words) and ``_at``: the words before it in the stream of its source."""
+def _stored(docs: DataFrame, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
+    """``docs`` with ``_row`` (a number), ``_size`` (words) and what orders them within a source, written once."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     sized = docs.withColumns({
-        "_row": F.monotonically_increasing_id(), "_size": word_count(text_col), "_order": F.md5(key), "_tie": F.xxhash64(text_col)})
-    sized = materialize(sized if keep_text else sized.drop(text_col), "sizes")
-    bucket = F.conv(F.substring("_order", 1, 4), 16, 10).cast("int") % BUCKETS
-    ordered = sized.withColumn("_bucket", bucket).withColumn("_order", F.concat(F.lpad("_bucket", 6, "0"), "_order"))
-    return running_total(ordered, source_col, "_bucket", ["_order", f"`{id_col}`", "_tie"], "_size", "_at").drop("_bucket", "_order", "_tie")
+        "_row": F.monotonically_increasing_id(), "_size": word_count(text_col), "_hash": F.md5(key), "_tie": F.xxhash64(text_col)})
+    return materialize(sized if keep_text else sized.drop(text_col), "sizes")
+
+
+def _placed(stored: DataFrame, id_col: str, source_col: str) -> DataFrame:
+    """``_row, _size, _at`` and id and source: ``_at`` counts the words before a document in the stream of its source."""
+    bucket = F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int") % BUCKETS
+    narrow = stored.select("_row", id_col, source_col, "_size", "_tie", "_hash", bucket.alias("_bucket"))
+    ordered = narrow.withColumn("_order", F.concat(F.lpad("_bucket", 6, "0"), "_hash"))
+    found = running_total(ordered, source_col, "_bucket", ["_order", f"`{id_col}`", "_tie"], "_size", "_at")
+    return found.select("_row", id_col, source_col, "_size", "_at")
 
 
 def _with_targets(placed: DataFrame, source_col: str, weights, share, max_repeats) -> DataFrame:
@@ -91,9 +95,17 @@ def mixed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_repeats: float = MAX_REPEATS, keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with ``_row, _size, _at, _source_size, _target, _laps`` (array of lap and words taken in it)."""
-    placed = placed_documents(docs, id_col, text_col, source_col, keep_text)
-    return _with_targets(placed, source_col, weights, share, max_repeats).withColumn("_laps", _laps(max_repeats))
+    """``docs`` with ``_row, _size, _at, _source_size, _target, _laps`` (array of lap and words taken in it).
+
+    Texts are moved once, to meet what was found for their rows; without ``keep_text`` they are left out.
+    """
+    stored = _stored(docs, id_col, text_col, keep_text)
+    placed = _placed(stored, id_col, source_col)
+    found = _with_targets(placed, source_col, weights, share, max_repeats).withColumn("_laps", _laps(max_repeats))
+    if not keep_text:
+        return found
+    own = found.select(F.col("_row").alias("_of"), "_at", "_source_size", "_target", "_laps")
+    return stored.drop("_hash", "_tie").join(own, F.col("_row") == F.col("_of")).drop("_of")
 
 
 def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentweave.llm import content_sort, fixity, mixing, outliers, packing, quality, sharding, simhash, urls
+from talentweave.llm import content_sort, fixity, mixing, outliers, packing, quality, scoring, sharding, simhash, urls
 from talentweave.llm.columns import id_remainder, table
 from talentweave.plans.storage import materialize
 
@@ -40,6 +40,14 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
+@query("op7_attention_scores")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = scoring.scored(docs, vocabulary("word_bpe_49k.json"), id_remainder("doc_id", 5) != 1)
+    return found.select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+
+
 @query("op8_content_sort", """
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
            coalesce(doc_id = max(doc_id) OVER same, false) AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -187,9 +195,9 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    found = mixing.mixed(docs, keep_text=False)
-    sizes = found.select("source", F.col("_target").alias("target")).distinct()
-    mix = mixing.pieces(found, mixing.schedule(sizes))
+    found = materialize(mixing.mixed(docs, keep_text=False), "mixed")
+    sizes = materialize(found.select("source", F.col("_target").alias("target")).distinct(), "mix-targets")
+    mix = mixing.pieces(found, materialize(mixing.schedule(sizes), "mix-slots"))
     taken = mix.groupBy(F.col("_row").alias("_of")).agg(F.sum("length").alias("_taken"))
     return found.join(taken, F.col("_row") == F.col("_of"), "left").select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),

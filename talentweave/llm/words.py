@@ -16,10 +16,10 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 23  # text taken at a time; a longer text is a slice of its own
 
 
-def slices(texts: pa.Array) -> list[pa.Array]:
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> list[pa.Array]:
     """A batch in parts of bounded size, in order."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype="int64")
-    parts = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    parts = (np.cumsum(sizes) - sizes) // size
     cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(texts)] if len(texts) else [0]
     return [texts.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
