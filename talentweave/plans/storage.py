@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +22,31 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noted_tables(paths: list[str]) -> Iterator[None]:
+    """Add the paths of all tables that are materialised meanwhile to ``paths``, so that they can be dropped later."""
+    token = _noted.set(paths)
+    try:
+        yield
+    finally:
+        _noted.reset(token)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete materialised tables that no pending DataFrame reads any more, and forget their paths."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it back: later uses survive lost executors and see its real size."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
