@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentweave.functions import text as X
+from talentweave.functions import strict
 from talentweave.functions.rows import explode_rows
 from talentweave.schemas import RESUME
 
@@ -115,59 +115,19 @@ def resume_quality(resumes: DataFrame) -> DataFrame:
     )
 
 
-# Required fields of the entries of a résumé.
-REQUIRED = {
-    "knowledge_and_experience.skills": "skill",
-    "other_info.certificates": "name",
-    "other_info.awards": "name",
-    "other_info.languages": "language",
-}
-
-
-def _type_errors(value: Column, kind: T.DataType, path: Column) -> Column | None:
-    """Values of a VARIANT that do not have the type the schema wants; the recursion follows the schema."""
-    found = F.schema_of_variant(value)
-    given = value.isNotNull() & ~F.is_variant_null(value)
-
-    def wrong(message: str, ok: Column) -> Column:
-        return _when(given & ~ok, _issue(path, "schema_error", message, "error", True, F.to_json(value)))
-
-    if isinstance(kind, T.StringType):
-        return wrong("not_a_string", found == "STRING")
-    if isinstance(kind, (T.IntegerType, T.LongType)):
-        return wrong("not_an_integer", found == "BIGINT")
-    if isinstance(kind, T.ArrayType):
-        return wrong("not_a_list", found.startswith("ARRAY"))
-    if isinstance(kind, T.StructType):
-        return wrong("not_an_object", found.startswith("OBJECT"))
-    return None
-
-
 def schema_errors(rows: DataFrame, column: str, schema: T.StructType = RESUME) -> DataFrame:
-    """Blocking schema issues of résumé JSON text, one row per wrong field.
+    """Blocking schema issues of résumé JSON text, one row per wrong field, at every depth.
 
-    Text that is no JSON gives one issue at ``$``. Fields are checked by type down to the sections'
-    own fields; entries of lists are checked for their required names. Unknown fields are allowed.
+    Text that is no JSON gives one issue at ``$``. Unknown fields are allowed.
     """
-    parsed = rows.withColumn("_v", F.when(X.is_json(F.col(column)), F.try_parse_json(column)))
-    parts = [
-        _when(F.col("_v").isNull(), _issue(F.lit("$"), "schema_error", "invalid_json", "error", True, F.col(column))),
-        _type_errors(F.col("_v"), schema, F.lit("$")),
-    ]
-    for field in schema.fields:
-        value = F.try_variant_get("_v", f"$.{field.name}", "variant")
-        parts.append(_type_errors(value, field.dataType, F.lit(field.name)))
-        if isinstance(field.dataType, T.StructType):
-            for inner in field.dataType.fields:
-                leaf = F.try_variant_get("_v", f"$.{field.name}.{inner.name}", "variant")
-                parts.append(_type_errors(leaf, inner.dataType, F.lit(f"{field.name}.{inner.name}")))
-    for path, name in REQUIRED.items():
-        entries = F.try_variant_get("_v", f"$.{path}", "array<variant>")
-        parts.append(_per_entry(entries, path, lambda e, at, n=name: [
-            _when(F.try_variant_get(e, f"$.{n}", "variant").isNull()
-                  | F.is_variant_null(F.try_variant_get(e, f"$.{n}", "variant")),
-                  _issue(F.concat(at, F.lit("." + n)), "schema_error", "missing", "error", True)),
-        ]))
-    issues = F.concat(*[p for p in parts if p is not None])
+    issues = F.transform(strict.json_errors(F.coalesce(F.col(column), F.lit("")), schema), schema_issue)
     keep = [c for c in rows.columns if c != column]
-    return explode_rows(parsed, keep, issues, "i").select(*keep, "i.*")
+    return explode_rows(rows, keep, issues, "i").select(*keep, "i.*")
+
+
+def schema_issue(found: Column) -> Column:
+    """A strict-check error as a quality issue."""
+    return F.struct(
+        found["path"].alias("field_path"), F.lit("schema_error").alias("issue_type"), F.lit("error").alias("severity"),
+        found["message"].alias("message"), found["value"].alias("current_value"), F.lit(True).alias("blocks_analysis"),
+    )

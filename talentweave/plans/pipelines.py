@@ -109,10 +109,11 @@ def ingest_resumes(
 
 
 def judge_resumes(ingested: DataFrame, key: str = "document_hash") -> DataFrame:
-    """Quality per ingested résumé; a record that did not parse needs review and cannot be analysed."""
+    """Quality per ingested résumé; a record that did not parse or breaks the schema needs review and cannot be analysed."""
     good = ingested.where(F.col("ingest_status") == "ok").select(F.col(key).alias("resume_id"), "record.*")
     bad = ingested.where(F.col("ingest_status") != "ok").select(
-        F.col(key).alias("resume_id"), F.lit(1).alias("issue_count"), F.lit(1).alias("blocking_count"),
+        F.col(key).alias("resume_id"), F.greatest(F.lit(1), F.size("schema_errors")).alias("issue_count"),
+        F.greatest(F.lit(1), F.size("schema_errors")).alias("blocking_count"),
         F.lit("review_required").alias("quality_status"), F.lit(False).alias("can_analyze"),
     )
     return quality.resume_quality(good).unionByName(bad)
@@ -128,7 +129,7 @@ def report_problem(bound_ids: Column, resume_text: Column, jd_text: Column) -> C
     def any_of(conditions) -> Column:
         out = F.lit(False)
         for c in conditions:
-            out = out | F.coalesce(c, F.lit(False))
+            out = out | F.coalesce(c, F.lit(True))
         return out
 
     bad_assessment = any_of(
@@ -160,16 +161,22 @@ def report_problem(bound_ids: Column, resume_text: Column, jd_text: Column) -> C
         )
         return pointers.pointer_problem(e["path"], leaf).isNotNull() | X.is_blank(e["quote"]) | ~F.contains(leaf, e["quote"])
 
-    return (
-        F.when(F.array_sort(report["target_ids"]) != F.array_sort(bound_ids), "binding_differs")
-        .when(report["jd_id"] != F.col("jd_id"), "other_jd")
-        .when(bad_assessment, "assessment_rule")
-        .when(F.exists(findings, lambda x: ~reports.cites_both(x["evidence"])), "finding_sources")
-        .when(F.size(report["interview_questions"]) < 1, "no_question")
-        .when(outside, "score_outside_band")
-        .when(F.coalesce(bad_overall, F.lit(False)), "overall_score")
-        .when(F.exists(evidence, lambda e: F.coalesce(unproven(e), F.lit(True))), "evidence_not_found")
-    )
+    rules = {
+        "binding_differs": F.array_sort(report["target_ids"]) != F.array_sort(bound_ids),
+        "duplicate_target": F.size(F.array_distinct(report["target_ids"])) != F.size(report["target_ids"]),
+        "other_jd": report["jd_id"] != F.col("jd_id"),
+        "assessment_rule": bad_assessment,
+        "finding_sources": F.exists(findings, lambda x: ~reports.cites_both(x["evidence"])),
+        "no_question": F.size(report["interview_questions"]) < 1,
+        "score_outside_band": outside,
+        "overall_score": bad_overall,
+        "evidence_not_found": F.exists(evidence, lambda e: F.coalesce(unproven(e), F.lit(True))),
+    }
+    # A rule that can't be decided counts as broken.
+    problem = F.lit(None).cast("string")
+    for name, broken in reversed(rules.items()):
+        problem = F.when(F.coalesce(broken, F.lit(True)), name).otherwise(problem)
+    return problem
 
 
 def judge_responses(stored: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -189,7 +196,7 @@ def judge_responses(stored: DataFrame, inputs: DataFrame) -> DataFrame:
         F.transform(F.filter("target_matches", lambda t: t["selected_jd_id"] == F.col("jd.jd_id")), lambda t: t["target_id"])
         .alias("bound_ids"),
     )
-    rows = responses.triage_responses(stored, REPORT).join(own, runs.JOB_KEYS, "left").withColumn(
+    rows = responses.triage_responses(stored, REPORT, closed=True).join(own, runs.JOB_KEYS, "left").withColumn(
         "report", F.when(F.col("code").isNull(), F.from_json("content", REPORT))
     )
     problem = F.when(F.col("code").isNull() & F.col("bound_ids").isNull(), "not_bound").when(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talentweave.functions import strict
 from talentweave.functions import text as X
 from talentweave.schemas import RESUME
 
@@ -48,27 +49,27 @@ def from_cache(documents: DataFrame, processed: DataFrame, order: str, force_ref
 def ingest_json(rows: DataFrame, column: str, schema: T.StructType = RESUME, required: list[str] | None = None) -> DataFrame:
     """Parse extracted JSON: ``ingest_status`` is ok, empty_output, invalid_json or invalid_schema.
 
-    ``required`` names columns below ``record`` that must be present; the parsed value is ``record``.
+    Types are checked without conversion at every depth, with what the schema's metadata asks for; unknown fields
+    are ignored. ``required`` names further columns below ``record`` that must be present. The parsed value is
+    ``record``, and ``schema_errors`` lists the errors (path, message, value) of records that break the schema.
     """
-    typed = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     staged = rows.withColumn("_json", strip_and_null(F.col(column))).withColumn(
-        "_record", F.from_json("_json", typed, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    )
+        "_errors", strict.json_errors(F.col("_json"), schema)
+    ).withColumn("_record", F.from_json(F.when(F.size("_errors") == 0, F.col("_json")), schema))
     missing = F.lit(False)
     for name in required or []:
         missing = missing | F.col(f"_record.{name}").isNull()
     status = (
         F.when(F.col("_json").isNull(), "empty_output")
         .when(~X.is_json(F.col("_json")), "invalid_json")
-        .when(F.col("_record._corrupt_record").isNotNull() | F.col("_record").isNull() | missing, "invalid_schema")
+        .when((F.size("_errors") > 0) | F.col("_record").isNull() | missing, "invalid_schema")
         .otherwise("ok")
     )
     return (
         staged.withColumn("ingest_status", status)
-        .withColumn("record", F.when(F.col("ingest_status") == "ok", F.struct(*[
-            F.col(f"_record.{f.name}").alias(f.name) for f in schema.fields
-        ])))
-        .drop("_json", "_record")
+        .withColumn("record", F.when(F.col("ingest_status") == "ok", F.col("_record")))
+        .withColumn("schema_errors", F.when(F.col("ingest_status") == "invalid_schema", F.col("_errors")).otherwise(strict.none()))
+        .drop("_json", "_record", "_errors")
     )
 
 

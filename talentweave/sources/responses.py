@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talentweave.functions import strict
 from talentweave.functions import text as X
 from talentweave.functions.rows import explode_rows
 
 
-def triage_responses(responses: DataFrame, schema: T.StructType) -> DataFrame:
+def triage_responses(responses: DataFrame, schema: T.StructType, closed: bool = False) -> DataFrame:
     """First rule that applies gives ``stage``, ``code`` and ``retryable``; all NULL for a usable response.
 
-    ``responses``: n_choices, refusal, finish_reason, has_tool_calls, content.
+    ``responses``: n_choices, refusal, finish_reason, has_tool_calls, content. The content is checked against the schema
+    at every depth, without conversion; ``closed`` also forbids fields that the schema does not have.
     """
-    typed = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    parsed = F.from_json("content", typed, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     finish = F.coalesce("finish_reason", F.lit(""))
     code = (
         F.when(F.coalesce("n_choices", F.lit(0)) != 1, "invalid_choices")
@@ -25,15 +25,14 @@ def triage_responses(responses: DataFrame, schema: T.StructType) -> DataFrame:
         .when((finish != "stop") | F.coalesce("has_tool_calls", F.lit(False)), "unexpected_finish")
         .when(X.is_blank(F.col("content")), "empty_output")
         .when(~X.is_json(F.col("content")), "invalid_json")
-        .when(F.col("_parsed").isNull() | F.col("_parsed._corrupt_record").isNotNull(), "invalid_schema")
+        .when(F.size(strict.json_errors(F.col("content"), schema, closed)) > 0, "invalid_schema")
     )
     stage = F.when(F.col("code") == "model_refusal", "llm_call").when(
         F.col("code") == "invalid_schema", "output_validate"
     ).when(F.col("code").isNotNull(), "output_parse")
     retryable = F.when(F.col("code").isNotNull(), ~F.col("code").isin("model_refusal", "output_truncated"))
     return (
-        responses.withColumn("_parsed", parsed).withColumn("code", code).withColumn("stage", stage)
-        .withColumn("retryable", retryable).drop("_parsed")
+        responses.withColumn("code", code).withColumn("stage", stage).withColumn("retryable", retryable)
     )
 
 

@@ -136,6 +136,29 @@ SELECT event_id, CASE event_id % 11 WHEN 0 THEN 0 ELSE 1 END AS n_choices,
     ELSE concat(event_id % 90, '') END AS retry_header,
   CAST(event_id % 4 AS INT) AS retry_count
 FROM events""",
+    "fx_report_json": """
+SELECT doc_id AS event_id, CASE doc_id % 14 WHEN 1 THEN '{}' WHEN 2 THEN replace(j, '"summary"', '"zzz": 1, "summary"')
+  WHEN 3 THEN replace(j, '"status": "matched"', '"status": "superb"') WHEN 4 THEN replace(j, '"overall_score": 85', '"overall_score": "85"')
+  WHEN 5 THEN replace(j, '"overall_score": 85', '"overall_score": 101') WHEN 6 THEN replace(j, '"evaluation_points": ["point"]', '"evaluation_points": []')
+  WHEN 7 THEN replace(j, '"summary": "fits', '"summary": " ", "_": "') WHEN 8 THEN replace(j, '"jd_id": ', '"jd_id": 0.') WHEN 9 THEN replace(j, '"gaps": [], ', '')
+  WHEN 10 THEN replace(j, '"gaps": []', '"gaps": null') WHEN 11 THEN replace(j, '"quote"', '"page": 3, "quote"') WHEN 12 THEN concat('[', j, ']')
+  WHEN 13 THEN '{"jd_id": 1, "summary": 7, "zzz": 1}' ELSE j END AS content
+FROM (SELECT doc_id, concat('{"jd_id": ', 1 + doc_id, ', "target_ids": ["target_1"], "summary": "fits ', source, '", "overall_score": 85, "overall_score_reason": "even", ',
+  '"dimensions": {"education": ', a, ', "major": ', a, ', "experience": ', a, ', "skills": ', a, ', "responsibilities": ', a, '}, "strengths": [], "gaps": [], ',
+  '"interview_questions": [{"dimension": "skills", "question": "why ', lang, '", "purpose": "depth", "evidence": [', e, '], "evaluation_points": ["point"]}]}') AS j
+FROM (SELECT doc_id, source, lang, e, concat('{"status": "matched", "score": 85, "rationale": "', lang, '", "evidence": [', e, '], "missing_information": []}') AS a
+FROM (SELECT doc_id, source, lang, concat('{"source": "resume", "path": "/skills/0", "quote": "', lang, '"}, {"source": "jd", "path": "/job_title", "quote": "', source, '"}') AS e
+FROM documents)))""",
+    "fx_resume_json": """
+SELECT doc_id, text, CASE doc_id % 12 WHEN 1 THEN replace(j, '"phone": "1"', '"phone": null') WHEN 2 THEN replace(j, '"name": "', '"name": 5, "_": "')
+  WHEN 3 THEN replace(j, '"skill": "a"', '"level": "a"') WHEN 4 THEN replace(j, '"company": "c"', '"company": 5') WHEN 5 THEN replace(j, '"source_text"', '"text"')
+  WHEN 6 THEN replace(j, '"other_links": []', '"other_links": [1, 2]') WHEN 7 THEN replace(j, '"page_number": 1', '"page_number": "1"')
+  WHEN 8 THEN substring(j, 1, length(j) - 1) WHEN 9 THEN concat('```json', chr(10), j, chr(10), '```') WHEN 10 THEN ' ' WHEN 11 THEN replace(j, '"schema_version": 1', '"schema_version": null')
+  ELSE j END AS output_text
+FROM (SELECT doc_id, text, concat('{"schema_version": 1, "more": 2, "basic_info": {"name": "', source, '", "phone": "1", "target_job_title": "', lang, '", "other_links": []}, ',
+  '"education_background": {"educations": [{"school": "s", "degree": "d", "evidence": [{"page_number": 1, "source_text": "x"}]}]}, ',
+  '"knowledge_and_experience": {"skills": [{"skill": "a"}], "work_experiences": [{"company": "c", "job_title": "j", "start_date_raw": "1", "end_date_raw": "2"}]}}') AS j
+FROM documents)""",
     "fx_doc_jd": """
 SELECT CASE WHEN doc_id % 37 = 0 THEN NULL ELSE doc_id END AS id, text,
   CASE WHEN doc_id % 23 = 0 THEN '  ' ELSE concat(source, '　 ', lang) END AS job_title,
@@ -183,13 +206,7 @@ def duckdb_sql(text: str, extra: dict[str, str] | None = None) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table; tables of fewer files than cores are spread over the cores."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in ("orders", "documents", "lineitem", "events", "embeddings"):
-        width = spark.sparkContext.defaultParallelism
-        if len(df.inputFiles()) < width:
-            return df.repartition(width)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

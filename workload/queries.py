@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentweave.config import PROJECT, SKILLS, TITLE, WORK, RecallConfig
+from talentweave.functions import strict
 from talentweave.functions import text as X
 from talentweave.functions import vectors as V
 from talentweave.functions.scorers import JaccardScorer
@@ -17,7 +18,7 @@ from talentweave.operators import (
 )
 from talentweave.plans import pipelines
 from talentweave.plans.storage import materialize
-from talentweave.schemas import BASIC_INFO
+from talentweave.schemas import BASIC_INFO, REPORT
 from talentweave.sources import intake, responses, tables
 from workload import fixtures as fx
 from workload import reference_sql as R
@@ -253,6 +254,40 @@ def _(w):
     return responses.triage_responses(w.view("fx_responses"), schema).select("event_id", "code", "stage", "retryable")
 
 
+@query("report_triage", """
+SELECT event_id, CASE WHEN event_id % 14 = 0 THEN NULL ELSE 'invalid_schema' END AS code, CASE WHEN event_id % 14 = 0 THEN NULL ELSE 'output_validate' END AS stage,
+  CASE WHEN event_id % 14 = 0 THEN NULL ELSE TRUE END AS retryable,
+  CASE event_id % 14 WHEN 0 THEN 0 WHEN 1 THEN 9 WHEN 3 THEN 5 WHEN 7 THEN 2 WHEN 11 THEN 12 WHEN 13 THEN 9 ELSE 1 END AS error_count
+FROM fx_report_json""")
+def _(w):
+    rows = w.view("fx_report_json").select(
+        "event_id", "content", F.lit(1).alias("n_choices"), F.lit(None).cast("string").alias("refusal"), F.lit("stop").alias("finish_reason"),
+        F.lit(False).alias("has_tool_calls"))
+    return responses.triage_responses(rows, REPORT, closed=True).select(
+        "event_id", "code", "stage", "retryable", F.size(strict.json_errors(F.col("content"), REPORT, True)).alias("error_count"))
+
+
+@query("resume_strict_ingest", """
+SELECT doc_id, CASE doc_id % 12 WHEN 8 THEN 'invalid_json' WHEN 10 THEN 'empty_output' WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 9 THEN 'ok' ELSE 'invalid_schema' END AS ingest_status,
+  CASE WHEN doc_id % 12 IN (0, 1, 9) THEN (SELECT d.source FROM documents d WHERE d.doc_id = r.doc_id) END AS name,
+  CASE doc_id % 12 WHEN 6 THEN 2 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 8 THEN 0 WHEN 9 THEN 0 WHEN 10 THEN 0 ELSE 1 END AS error_count
+FROM fx_resume_json r""")
+def _(w):
+    return intake.ingest_json(w.view("fx_resume_json"), "output_text").select(
+        "doc_id", "ingest_status", F.col("record.basic_info.name").alias("name"), F.size("schema_errors").alias("error_count"))
+
+
+@query("ingest_quality", """
+SELECT resume_id, n AS issue_count, CASE WHEN b THEN n ELSE 0 END AS blocking_count,
+  CASE WHEN b THEN 'review_required' WHEN n > 0 THEN 'review_recommended' ELSE 'auto_approved' END AS quality_status, NOT b AS can_analyze
+FROM (SELECT sha256(text) AS resume_id, CASE min(doc_id) % 12 WHEN 0 THEN 0 WHEN 9 THEN 0 WHEN 6 THEN 2 ELSE 1 END AS n, min(doc_id) % 12 NOT IN (0, 1, 9) AS b
+FROM fx_resume_json GROUP BY sha256(text))""")
+def _(w):
+    documents = intake.with_hash(w.view("fx_resume_json"), "text")
+    nothing = documents.select("document_hash").where("false")
+    return pipelines.judge_resumes(pipelines.ingest_resumes(documents, nothing, "doc_id"))
+
+
 # ---- text functions -------------------------------------------------------------------------------
 
 
