@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,21 @@ class JaccardScorer:
         ).drop("_common")
 
 
+@functools.cache
+def _held(pickled: bytes):
+    return cloudpickle.loads(pickled)()
+
+
+def model_of(factory: Callable) -> Callable:
+    """A function that gives the model of ``factory``, made once per Python worker process however many tasks it runs."""
+    pickled = cloudpickle.dumps(factory)
+    return lambda: _held(pickled)
+
+
 class ModelScorer:
     """A user model ``factory() -> score_pairs(list of (text, text)) -> list of float in [0, 1]``.
 
-    The model is made once per Python worker. Equal pairs are scored once: the table of distinct pairs
+    The model is made once per Python worker process. Equal pairs are scored once: the table of distinct pairs
     is keyed by a hash of both texts, so the texts move through one exchange and come back as a score.
     """
 
@@ -47,11 +59,11 @@ class ModelScorer:
         return X.collapse_ws(c)
 
     def score(self, rows: DataFrame, left: str, right: str, out: str) -> DataFrame:
-        factory, size = self.factory, self.batch_size
+        held, size = model_of(self.factory), self.batch_size
 
         @F.pandas_udf("double")
         def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            model = factory()
+            model = held()
             for a, b in batches:
                 pairs = list(zip(a, b, strict=True))
                 scores: list[float] = []
@@ -69,22 +81,25 @@ class ModelScorer:
         return keyed.join(scored, "_pair").drop("_pair")
 
 
-@functools.lru_cache(maxsize=65536)
-def _gram_slot(gram: str, dim: int) -> tuple[int, float]:
-    import xxhash
-
-    code = xxhash.xxh64_intdigest(gram)
-    return code % dim, 1.0 if (code >> 63) else -1.0
-
-
 def hashed_ngrams(texts: Sequence[str], dim: int, n: int = 3) -> np.ndarray:
-    """Signed hashed character n-grams, unit length; the bundled stand-in for an embedding model."""
-    out = np.zeros((len(texts), dim), dtype="float32")
-    for row, value in enumerate(texts):
-        padded = f" {value} "
-        for start in range(max(1, len(padded) - n + 1)):
-            slot, sign = _gram_slot(padded[start:start + n], dim)
-            out[row, slot] += sign
+    """Signed hashed character n-grams, unit length; the bundled stand-in for an embedding model.
+
+    All n-grams of a batch are hashed at once, as numbers of their characters, and counted in one pass. A text
+    shorter than an n-gram counts as one.
+    """
+    padded = [f" {value} ".ljust(n) for value in texts]
+    lengths = np.array([len(p) for p in padded], dtype="int64")
+    codes = np.frombuffer("".join(padded).encode("utf-32-le"), dtype="<u4").astype("uint64")
+    grams = lengths - n + 1
+    owner = np.repeat(np.arange(len(padded)), grams)
+    first = np.arange(len(owner)) + np.repeat((np.cumsum(lengths) - lengths) - (np.cumsum(grams) - grams), grams)
+    code = np.zeros(len(owner), dtype="uint64")
+    for i in range(n):
+        code = (code ^ codes[first + i]) * np.uint64(0x9E3779B97F4A7C15)
+        code ^= code >> np.uint64(29)
+    sign = np.where(code >> np.uint64(63) == 1, 1.0, -1.0)
+    slot = owner * dim + (code % np.uint64(dim)).astype("int64")
+    out = np.bincount(slot, weights=sign, minlength=len(padded) * dim).reshape(len(padded), dim).astype("float32")
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norms == 0, 1, norms)
 
@@ -101,14 +116,15 @@ def embed_texts(rows: DataFrame, factory: Callable[[], Callable[[Sequence[str]],
                 batch_size: int = 8, distinct: bool = True) -> DataFrame:
     """Add ``embedding``, a unit vector per text.
 
-    ``factory`` makes the model, once per Python worker and task. With ``distinct`` each different text
+    ``factory`` makes the model, once per Python worker process. With ``distinct`` each different text
     is computed once and joined back; without it rows are mapped in place and nothing is shuffled,
     which is cheaper where texts seldom repeat.
     """
+    held = model_of(factory)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = factory()
+        model = held()
         for texts in batches:
             values = texts.tolist()
             parts = [np.asarray(model(values[i:i + batch_size])) for i in range(0, len(values), batch_size)]
@@ -124,7 +140,14 @@ def embed_texts(rows: DataFrame, factory: Callable[[], Callable[[Sequence[str]],
 
 
 def embed_units(units: DataFrame, factory: Callable[[], Callable[[Sequence[str]], np.ndarray]], batch_size: int = 8) -> DataFrame:
-    """Embed query units: popular titles once for all who ask for them, evidence texts in place."""
+    """Embed query units by one model step: popular titles once for all who ask for them, evidence texts by row.
+
+    Titles are keyed by their text, other units by what identifies them, so one table of texts holds each title
+    once; vectors come back by key.
+    """
     is_title = F.col("query_type") == TITLE
-    titles = embed_texts(units.where(is_title), factory, batch_size=batch_size)
-    return titles.unionByName(embed_texts(units.where(~is_title), factory, batch_size=batch_size, distinct=False))
+    key = F.when(is_title, F.sha2("text", 256)).otherwise(F.concat_ws(" ", F.col("resume_id").cast("string"), "target_id", "query_id"))
+    keyed = units.withColumn("_key", key)
+    once = keyed.groupBy("_key").agg(F.any_value("text").alias("text"))
+    vectors = embed_texts(once, factory, batch_size=batch_size, distinct=False).drop("text")
+    return keyed.join(vectors, "_key").drop("_key")

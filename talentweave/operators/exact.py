@@ -22,7 +22,8 @@ def title_lookup(jd: DataFrame, alias: DataFrame) -> DataFrame:
     """Everything a requested title can resolve to, one row per requested title.
 
     Direct titles come first; an alias counts only if its standard title has JDs and the alias is
-    not itself a title. The (large) table of targets is then joined once, on one key.
+    not itself a title. Of several standard titles of one alias the smallest counts. The (large) table of
+    targets is then joined once, on one key.
     """
     titles = title_index(jd)
     direct = titles.select(
@@ -30,16 +31,24 @@ def title_lookup(jd: DataFrame, alias: DataFrame) -> DataFrame:
         F.lit("direct").alias("match_type"), "n_jds", "first_jd_id",
     )
     by_alias = (
-        alias.join(titles, alias["standard_title"] == titles["job_title"])
+        alias.where(F.col("alias_title").isNotNull()).join(titles, alias["standard_title"] == titles["job_title"])
+        .groupBy("alias_title").agg(F.min(F.struct("standard_title", "n_jds", "first_jd_id")).alias("to"))
         .select(
-            F.col("alias_title").alias("lookup_title"), F.col("standard_title").alias("normalized_title"),
-            F.lit("alias").alias("match_type"), "n_jds", "first_jd_id",
+            F.col("alias_title").alias("lookup_title"), F.col("to.standard_title").alias("normalized_title"),
+            F.lit("alias").alias("match_type"), "to.n_jds", "to.first_jd_id",
         )
         .join(titles.select(F.col("job_title").alias("lookup_title")), "lookup_title", "left_anti")
     )
     return direct.unionByName(by_alias)
 
 
+def alias_conflicts(alias: DataFrame) -> DataFrame:
+    """Aliases that name several standard titles, with the one that counts and how many there are."""
+    found = alias.where(F.col("standard_title").isNotNull()).groupBy("alias_title").agg(
+        F.min("standard_title").alias("standard_title"), F.count_distinct("standard_title").alias("title_count"))
+    return found.where(F.col("title_count") > 1)
+
+
 def exact_match(targets: DataFrame, jd: DataFrame, alias: DataFrame) -> DataFrame:
     lookup = title_lookup(jd, alias)
     key = X.strip(F.col("requested_job_title"))

@@ -15,7 +15,6 @@ from talentweave.functions import text as X
 # Scores are compared after rounding to this many digits: the order in which a cluster adds
 # numbers must not decide a rank.
 RANK_DIGITS = 12
-_SEEN_STEP = 1_000_000
 
 
 def _by_value(column: Column, table: dict) -> Column:
@@ -95,7 +94,7 @@ def recall_candidates(evidence: DataFrame, cfg: RecallConfig = RecallConfig()) -
         F.first("n_queries").alias("total_query_count"),
         F.count("*").alias("matched_query_count"),
         F.sum("chunk_hits").alias("chunk_hit_count"),
-        F.min(F.col("query_order") * _SEEN_STEP + F.col("chunk_rank")).alias("first_seen"),
+        F.min(F.struct("query_order", "chunk_rank")).alias("first_seen"),
     )
     aggregate = F.col("best_similarity") * cfg.best_weight + F.col("evidence_score") * (1.0 - cfg.best_weight)
     return (

@@ -19,15 +19,19 @@ def chunk_scan(chunks: DataFrame, chunk_types: list[str] | None = None) -> DataF
     return embeddable(chunks, chunk_types)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str = "id", lower: int = 0,
-              upper: int = 1, num_partitions: int = 1, **options: str) -> DataFrame:
-    """A database table, read in parallel ranges of an integer key."""
-    return (
-        spark.read.format("jdbc").options(
-            url=url, dbtable=table, partitionColumn=partition_column, lowerBound=str(lower), upperBound=str(upper),
-            numPartitions=str(num_partitions), **options,
-        ).load()
-    )
+def read_jdbc(
+    spark: SparkSession, url: str, table: str, *, lower: int, upper: int, num_partitions: int, partition_column: str = "id",
+    **options: str,
+) -> DataFrame:
+    """A database table, read in ``num_partitions`` ranges of an integer key that lies between ``lower`` and ``upper``.
+
+    Bounds and number have no defaults, because a wrong guess reads the whole table through one task. ``min``
+    and ``max`` of an indexed key are one cheap query.
+    """
+    if num_partitions < 1 or lower >= upper:
+        raise ValueError("read_jdbc needs lower < upper and at least one partition")
+    ranges = {"partitionColumn": partition_column, "lowerBound": lower, "upperBound": upper, "numPartitions": num_partitions}
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **{k: str(v) for k, v in ranges.items()}, **options).load()
 
 
 def standard_titles(jd: DataFrame) -> DataFrame:
@@ -35,7 +39,10 @@ def standard_titles(jd: DataFrame) -> DataFrame:
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
-    """Alias dictionary kept by the user as CSV with the columns alias_title, standard_title."""
+    """Alias dictionary kept by the user as CSV with the columns alias_title, standard_title.
+
+    Repeated aliases are resolved where titles are looked up; ``exact.alias_conflicts`` lists those that contradict.
+    """
     return spark.read.csv(path, header=True, schema="alias_title string, standard_title string")
 
 

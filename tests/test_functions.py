@@ -1,4 +1,5 @@
 import math
+import numpy as np
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from talentweave.config import QueryConfig, RecallConfig, RerankConfig, RetryCon
 from talentweave.functions import pointers
 from talentweave.functions import text as X
 from talentweave.functions import vectors as V
-from talentweave.functions.scorers import JaccardScorer, ModelScorer, NgramEmbedder, embed_texts
+from talentweave.functions.scorers import JaccardScorer, ModelScorer, NgramEmbedder, embed_texts, hashed_ngrams
 from talentweave.operators import intents
 from talentweave.sources import intake
 
@@ -151,3 +152,31 @@ def test_strict_mode_fails_on_the_first_problem(spark):
     assert raise_on(rows.where("id = 1"), "reason", ["id"]).count() == 1
     with pytest.raises(Exception, match="blank_title id=2"):
         raise_on(rows, "reason", ["id"]).collect()
+
+
+def test_models_are_made_once_per_worker_process(spark, tmp_path):
+    log = str(tmp_path / "made")
+
+    def factory():
+        import os
+
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda texts: [[1.0, float(len(t))] for t in texts]
+
+    rows = spark.range(200).repartition(24).select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    for _ in range(2):
+        assert embed_texts(rows, factory, distinct=False).select("embedding").distinct().count() == 3
+    made = open(log).read().split()
+    assert len(made) == len(set(made)) < 48
+
+
+def test_hashed_ngrams_are_unit_vectors_of_the_text_alone():
+    texts = ["", "a", "data engineer", "data engineer", "数据工程师", "x" * 500]
+    many = hashed_ngrams(texts, 64)
+    assert np.allclose(np.linalg.norm(many, axis=1), 1)
+    for i, t in enumerate(texts):
+        assert np.allclose(many[i], hashed_ngrams([t], 64)[0])
+    assert np.allclose(many[2], many[3]) and not np.allclose(many[2], many[4])
+    near, far = hashed_ngrams(["data engineers", "sales manager"], 256) @ hashed_ngrams(["data engineer"], 256)[0]
+    assert near > 0.8 > far

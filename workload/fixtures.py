@@ -32,6 +32,9 @@ FROM part""",
     "fx_alias": """
 SELECT concat('senior ', job_title) AS alias_title, min(job_title) AS standard_title
 FROM fx_jd GROUP BY concat('senior ', job_title)""",
+    "fx_alias_twice": """
+SELECT alias_title, standard_title FROM fx_alias UNION ALL SELECT alias_title, standard_title FROM fx_alias
+UNION ALL SELECT alias_title, (SELECT max(job_title) FROM fx_jd) AS standard_title FROM fx_alias""",
     "fx_base": f"""
 SELECT o.o_orderkey AS resume_id, o.o_custkey, o.o_orderpriority, o.o_orderstatus, o.o_orderdate,
   a.job_title AS a_title, a.department AS a_department, a.duty_1 AS a_duty_1, a.duty_2 AS a_duty_2,

@@ -451,6 +451,18 @@ def _(w):
     return w.matches.select("resume_id", "target_id", "requested_job_title", "normalized_title", "match_type", "n_jds", "status")
 
 
+@query("exact_match_repeated_alias", "SELECT resume_id, target_id, normalized_title, match_type, n_jds FROM o_match")
+def _(w):
+    """Aliases listed twice, and once more with another title, change nothing."""
+    return exact.exact_match(w.targets, w.jd, w.view("fx_alias_twice")).select(
+        "resume_id", "target_id", "normalized_title", "match_type", "n_jds")
+
+
+@query("check_alias_conflicts", "SELECT alias_title, min(standard_title) AS standard_title, count(DISTINCT standard_title) AS title_count FROM fx_alias_twice GROUP BY alias_title HAVING count(DISTINCT standard_title) > 1")
+def _(w):
+    return exact.alias_conflicts(w.view("fx_alias_twice"))
+
+
 @query("exact_unresolved", "SELECT resume_id, target_id, requested_job_title FROM o_match WHERE match_type IS NULL")
 def _(w):
     return w.open_targets.select("resume_id", "target_id", "requested_job_title")
