@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 
 HEADLINE = [
     "jd_scan", "content_hash", "incremental_new_docs", "resume_json_ingest", "fn_collapse_ws", "intent_normalize",
-    "exact_match", "exact_candidates", "query_units", "jd_passages", "knn_topk", "recall_ranked", "rerank_decision",
+    "exact_match", "exact_candidates", "query_units", "jd_passages", "knn_topk", "knn_many_blocks", "recall_ranked", "rerank_decision",
     "semantic_match", "match_resumes", "match_rollup", "confirm", "analysis_inputs", "resume_quality",
     "evidence_quotes", "check_scoring", "binding_check", "attempt_fold", "run_status",
 ]

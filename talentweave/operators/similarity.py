@@ -1,15 +1,13 @@
-"""Exact top-k chunks per query vector by cosine distance.
+"""Exact top-k chunks per query vector by cosine distance, by one plan for tables of any size.
 
-Two physical forms with equal results:
+Chunks are spread over cells around pivot vectors, of which there are about as many as blocks of chunks. Every query first visits
+the cell of its nearest pivot, which gives it a k-th best distance. After that it visits just those cells
+that the triangle inequality on angles cannot rule out, and takes along that distance, so that a visit brings
+back only what is nearer. Cells are cut into blocks and the queries of a cell into shards; a task holds one block
+and one shard however crowded a cell is, and keeps the k best chunks per query, so full distance matrices never
+leave a task. Blocks are bounded in bytes. Nothing but pivots and counts per cell comes to the driver.
 
-* few chunks (at most BLOCK_ROWS, counted first): they are one block, shipped to every task, and the
-  queries never move;
-* more chunks: they are spread over cells around pivot vectors. Every query first visits the cell of
-  its nearest pivot, which gives it a k-th best similarity; after that it visits just those cells
-  that the triangle inequality on angles cannot rule out. Cells are cut into blocks and the queries
-  of a cell into shards, so a task holds one block and one shard however crowded a cell is.
-
-A block product keeps the k best chunks per query, so full distance matrices never leave a task.
+What is ranked at the end is cut to k rows per query and task before it is exchanged.
 """
 
 from __future__ import annotations
@@ -25,10 +23,12 @@ from talentweave.config import TARGET_KEYS
 from talentweave.functions.rows import explode_rows
 from talentweave.plans.storage import materialize
 
-BLOCK_ROWS = 8192  # chunks per block and queries per shard
-MAX_CELLS = 1024  # pivots; at 1024 dimensions they take 8 MB
+BLOCK_ROWS = 8192  # chunks per block and queries per shard, if their vectors fit BLOCK_BYTES
+BLOCK_BYTES = 1 << 26
+PIVOT_BYTES = 1 << 26  # all pivots together; cells beyond that many grow in blocks instead
 STRIP_ROWS = 512  # queries multiplied at a time inside a task
 ANGLE_SLACK = 1e-6
+MAX_PARTITIONS = 1 << 16  # of a block product; beyond it a task gets several blocks, one after another
 QUERY_KEYS = [*TARGET_KEYS, "query_id"]
 LISTS = ["chunk_ids", "jd_ids", "distances"]
 
@@ -65,6 +65,7 @@ def _top_k(queries: pd.DataFrame, chunks: pd.DataFrame, unit_chunks: np.ndarray,
     if not len(kept) or not len(chunks):
         return
     excluded = queries["excluded_jd_ids"] if "excluded_jd_ids" in queries else None
+    known = queries["kth"].to_numpy(dtype="float64", na_value=np.inf) if "kth" in queries else None
     chunk_ids, jd_ids = chunks["chunk_id"].to_numpy(), chunks["jd_id"].to_numpy()
     k = min(k, len(chunks))
     for start in range(0, len(kept), STRIP_ROWS):
@@ -76,6 +77,8 @@ def _top_k(queries: pd.DataFrame, chunks: pd.DataFrame, unit_chunks: np.ndarray,
                 if ids is not None and len(ids):
                     distance[i, np.isin(jd_ids, ids)] = np.inf
         limit = np.partition(distance, k - 1, axis=1)[:, k - 1:k]
+        if known is not None:
+            limit = np.minimum(limit, known[strip][:, None])
         r, c = np.nonzero((distance <= limit) & np.isfinite(distance))
         order = np.lexsort((c, distance[r, c], r))
         r, c = r[order], c[order]
@@ -104,21 +107,6 @@ def _hit_rows(lists: DataFrame) -> DataFrame:
     )
 
 
-def _one_block(queries: DataFrame, chunks: DataFrame, k: int, dim: int) -> DataFrame:
-    """At most BLOCK_ROWS chunks: ship them whole, map over the queries."""
-    block = chunks.toPandas().sort_values("chunk_id", ignore_index=True)
-    unit, kept = _matrix(block["embedding"], dim)
-    block = block.drop(columns="embedding").iloc[kept]
-    shipped = queries.sparkSession.sparkContext.broadcast((block, unit))
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, vectors = shipped.value
-        for batch in batches:
-            yield from _top_k(batch, rows, vectors, k, dim)
-
-    return _hit_rows(queries.mapInPandas(visit, _hit_schema(queries)))
-
-
 def _pick_pivots(chunks: DataFrame, n_cells: int, dim: int) -> np.ndarray:
     """One chunk vector per hash group: n_cells rows, whatever the size of the table."""
     picked = (
@@ -136,7 +124,7 @@ def _locate(rows: DataFrame, pivots, dim: int) -> DataFrame:
     def nearest(vectors: pd.Series) -> pd.DataFrame:
         unit, kept = _matrix(vectors, dim)
         out = pd.DataFrame({"cell": pd.array([None] * len(vectors), dtype="Int32"), "angle": np.nan})
-        if len(kept):
+        if len(kept) and len(pivots.value):
             cosine = np.clip(unit @ pivots.value.T, -1.0, 1.0)
             best = cosine.argmax(axis=1)
             out.loc[kept, "cell"] = best.astype("int32")
@@ -151,14 +139,14 @@ def _grid_join(queries: DataFrame, chunks: DataFrame, blocks: dict[int, int], k:
     spark = queries.sparkSession
     load = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     width = spark.sparkContext.defaultParallelism
-    rows = max(256, min(BLOCK_ROWS, -(-sum(load.values()) // width)))
+    rows = max(256, min(_block_rows(BLOCK_ROWS, dim), -(-sum(load.values()) // width)))
     shards = {cell: -(-n // rows) for cell, n in load.items()}
     grid = sum(shards[cell] * blocks.get(cell, 0) for cell in shards)
     plan = spark.createDataFrame(
         [(cell, shards[cell], blocks[cell]) for cell in shards if cell in blocks], "cell int, n_shards int, n_blocks int"
     )
     key = ["cell", "block", "shard"]
-    parts = max(1, min(grid, max(width, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    parts = max(1, min(grid, MAX_PARTITIONS))
     left = (
         queries.join(plan, "cell")
         .withColumn("shard", F.pmod(F.xxhash64(*QUERY_KEYS), F.col("n_shards")).cast("int"))
@@ -182,9 +170,14 @@ def _grid_join(queries: DataFrame, chunks: DataFrame, blocks: dict[int, int], k:
     return _hit_rows(lists).drop("chunk_rank")
 
 
-def _cells(queries: DataFrame, chunks: DataFrame, n_chunks: int, block_rows: int, k: int, dim: int) -> DataFrame:
+def _block_rows(rows: int, dim: int) -> int:
+    """Rows of a block whose vectors, as doubles, stay within BLOCK_BYTES."""
+    return max(1, min(rows, BLOCK_BYTES // (8 * dim)))
+
+
+def _nearest(queries: DataFrame, chunks: DataFrame, n_chunks: int, block_rows: int, k: int, dim: int) -> DataFrame:
     spark = queries.sparkSession
-    n_cells = max(1, min(MAX_CELLS, n_chunks // block_rows))
+    n_cells = max(1, min(PIVOT_BYTES // (8 * dim), n_chunks // block_rows))
     pivots = spark.sparkContext.broadcast(_pick_pivots(chunks, n_cells, dim))
     placed = materialize(_locate(chunks, pivots, dim), "chunk-cells")
     asked = materialize(_locate(queries, pivots, dim), "query-cells")
@@ -196,11 +189,11 @@ def _cells(queries: DataFrame, chunks: DataFrame, n_chunks: int, block_rows: int
     placed = placed.drop("angle")
 
     order = Window.partitionBy(*QUERY_KEYS).orderBy("distance", "chunk_id")
-    near = materialize(
-        _grid_join(asked.drop("angle"), placed, blocks, k, dim)
-        .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k),
-        "near-hits",
-    )
+    near = _grid_join(asked.drop("angle"), placed, blocks, k, dim).withColumn(
+        "chunk_rank", F.row_number().over(order)).where(F.col("chunk_rank") <= k)
+    if len(pivots.value) <= 1:
+        return near  # the one cell holds every chunk
+    near = materialize(near.withColumnRenamed("chunk_rank", "_r"), "near-hits")
     reached = near.where(F.col("_r") == k).select(*QUERY_KEYS, F.col("distance").alias("kth"))
     near = near.drop("_r")
     radii = np.full(len(pivots.value), -np.inf)
@@ -226,13 +219,12 @@ def _cells(queries: DataFrame, chunks: DataFrame, n_chunks: int, block_rows: int
     # Stored with one row per query; the copy per visited cell exists only in the shuffle.
     onward = materialize(
         asked.drop("angle").join(reached, QUERY_KEYS, "left")
-        .withColumn("cells", others("embedding", "cell", "kth")).drop("kth", "cell"),
+        .withColumn("cells", others("embedding", "cell", "kth")).drop("cell"),
         "onward-queries",
     )
     visits = onward.withColumn("cell", F.explode("cells")).drop("cells")
     far = _grid_join(visits, placed, blocks, k, dim)
-    ranked = near.unionByName(far).repartition(*TARGET_KEYS)
-    return ranked.withColumn("chunk_rank", F.row_number().over(order)).where(F.col("chunk_rank") <= k)
+    return near.unionByName(far).withColumn("chunk_rank", F.row_number().over(order)).where(F.col("chunk_rank") <= k)
 
 
 def nearest_chunks(
@@ -255,8 +247,5 @@ def nearest_chunks(
     extra = [c for c in ("excluded_jd_ids",) if c in queries.columns]
     asked = queries.select(*QUERY_KEYS, "embedding", *extra)
     n_chunks = usable.select("chunk_id").count()
-    if n_chunks <= block_rows:
-        hits = _one_block(asked, usable, top_k, dim)
-    else:
-        hits = _cells(asked, usable, n_chunks, block_rows, top_k, dim)
+    hits = _nearest(asked, usable, n_chunks, _block_rows(block_rows, dim), top_k, dim)
     return hits.withColumn("similarity", F.lit(1.0) - F.col("distance"))

@@ -513,6 +513,12 @@ def _(w):
     return _hit_rows(w.hits())
 
 
+@query("knn_many_blocks", _HIT_SQL.format(p="q_"))
+def _(w):
+    """The same search over many cells and blocks."""
+    return _hit_rows(w.hits(block_rows=128))
+
+
 @query("knn_chunk_types", _HIT_SQL.format(p="t_"), R.recall_tables("t_", "fx_vqueries", hit_filter="c.chunk_type IN ('responsibility', 'competency')"))
 def _(w):
     return _hit_rows(w.hits(chunk_types=["responsibility", " competency ", ""]))
