@@ -13,6 +13,7 @@ from talentweave.config import (
 )
 from talentweave.functions import pointers
 from talentweave.functions import text as X
+from talentweave.functions import vectors as V
 from talentweave.functions.rows import explode_rows
 from talentweave.functions.scorers import JaccardScorer
 from talentweave.operators import (
@@ -27,10 +28,13 @@ Hook = Callable[[DataFrame], DataFrame]
 
 def recall_targets(
     queries: DataFrame, chunks: DataFrame, *, dim: int, cfg: RecallConfig = RecallConfig(),
-    chunk_types: list[str] | None = None,
+    chunk_types: list[str] | None = None, units: DataFrame | None = None,
 ) -> DataFrame:
-    """Ranked JD candidates of every target from its embedded queries."""
-    weighted = recall.with_effective_weights(queries.drop("embedding"), cfg)
+    """Ranked JD candidates of every target from its embedded queries.
+
+    ``units`` are the same queries before they were embedded, where that is cheaper to read.
+    """
+    weighted = recall.with_effective_weights(queries.drop("embedding") if units is None else units, cfg)
     hits = similarity.nearest_chunks(queries, chunks, top_k=cfg.top_k, dim=dim, chunk_types=chunk_types)
     evidence = recall.query_evidence(recall.best_chunk_per_query(hits, cfg), weighted)
     return recall.ranked_candidates(recall.recall_candidates(evidence, cfg), cfg.top_n)
@@ -59,16 +63,23 @@ def semantic_match(
 ) -> DataFrame:
     """One decision row per open target, with its kept candidates and the warnings of both stages.
 
-    ``embed`` adds ``embedding`` to the query units. ``rejected`` (resume_id, target_id, jd_id) keeps
-    JDs a person has turned down from coming back.
+    ``embed`` adds ``embedding`` to the query units, and may add ``error`` where it failed. ``rejected`` (resume_id,
+    target_id, jd_id) keeps JDs a person has turned down from coming back. A unit that failed, or whose vector is unusable,
+    gives its target the column ``error`` and no candidates; other targets are not touched.
     """
     arrays = materialize(query_units.unit_arrays(targets, resumes, query_cfg), "query-units")
     units = query_units.explode_units(arrays)
-    queries = embed(units)
+    embedded = embed(units)
+    told = F.col("error") if "error" in embedded.columns else F.lit(None).cast("string")
+    embedded = materialize(
+        embedded.withColumn("error", F.coalesce(told, V.vector_problem(F.col("embedding"), dim))), "embedded-units")
+    failed = embedded.where(F.col("error").isNotNull()).groupBy(*TARGET_KEYS).agg(
+        F.min(F.struct("query_order", "error"))["error"].alias("error"))
+    queries = embedded.drop("error").join(failed, TARGET_KEYS, "left_anti")
     if rejected is not None:
         queries = similarity.with_exclusions(queries, rejected)
     recalled = materialize(
-        recall_targets(queries, chunks, dim=dim, cfg=recall_cfg).join(
+        recall_targets(queries, chunks, dim=dim, cfg=recall_cfg, units=units).join(
             arrays.select(*TARGET_KEYS, F.col("clean_title").alias("requested_job_title")), TARGET_KEYS
         ),
         "recalled",
@@ -77,7 +88,8 @@ def semantic_match(
     decided = rerank_targets(
         heads, recalled, units, jd, scorer=scorer, cfg=rerank_cfg, passage_cfg=passage_cfg
     )
-    return decided.withColumn("warnings", F.array_distinct(F.concat("build_warnings", "decision_warnings")))
+    return decided.withColumn("warnings", F.array_distinct(F.concat("build_warnings", "decision_warnings"))).join(
+        failed, TARGET_KEYS, "left")
 
 
 def match_resumes(
@@ -94,6 +106,24 @@ def match_resumes(
     return state.with_semantic(state.exact_state(matches), decisions)
 
 
+def match_report(
+    resumes: DataFrame, jd: DataFrame, alias: DataFrame, chunks: DataFrame, embed: Hook, *, dim: int,
+    inherited_warnings: DataFrame | None = None, **options,
+) -> dict[str, DataFrame]:
+    """A whole match result: ``states`` per target, ``rollup`` and ``warnings`` per résumé, and ``rejects``.
+
+    ``rejects`` lists the résumés without any position to match, with the reason; they have no state. Targets whose
+    semantic step failed are states with a warning.
+    """
+    states = materialize(match_resumes(resumes, jd, alias, chunks, embed, dim=dim, **options), "match-states")
+    return {
+        "states": states,
+        "rollup": state.match_rollup(states),
+        "warnings": state.match_warnings(states, inherited_warnings),
+        "rejects": resumes.select("resume_id").join(states, "resume_id", "left_anti").withColumn("reason", F.lit("no_target_title")),
+    }
+
+
 def ingest_resumes(
     documents: DataFrame, processed: DataFrame, order: str, *, parse: Hook | None = None, extract: Hook | None = None,
     json_column: str = "output_text", schema: T.StructType = RESUME, force_refresh: bool = False,

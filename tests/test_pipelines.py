@@ -65,6 +65,30 @@ def test_rejected_candidates_do_not_come_back(spark):
     assert 1 not in [c.jd_id for c in second.candidates]
 
 
+def test_a_failing_unit_touches_one_target_only(spark):
+    jd = jds(spark)
+    people = resumes(spark, (1, "spark person", "engineer", "build spark pipelines", "spark"), (2, "pipeline person", "engineer", "run spark", "s"),
+                     (3, None, "x", "y", "z"))
+    alias = spark.createDataFrame([], "alias_title string, standard_title string")
+
+    def embed(units):
+        made = embed_texts(units, lambda: NgramEmbedder(256))
+        return made.withColumn("error", F.when(F.col("resume_id") == 1, "model out of memory"))
+
+    def broken(units):
+        made = embed_texts(units, lambda: NgramEmbedder(256))
+        return made.withColumn("embedding", F.when((F.col("resume_id") == 2) & (F.col("query_order") == 1), F.lit(None)).otherwise(F.col("embedding")))
+
+    for hook, hurt, text in ((embed, 1, "model out of memory"), (broken, 2, "missing")):
+        out = pipelines.match_report(people, jd, alias, chunks(spark, jd), hook, dim=256)
+        got = {r.resume_id: r for r in out["states"].collect()}
+        assert got[hurt].warnings == [state.SEMANTIC_FAILED + text] and got[hurt].status == "no_candidate"
+        assert got[3 - hurt].status == "needs_confirmation" and got[3 - hurt].n_candidates > 0
+        assert [(r.resume_id, r.reason) for r in out["rejects"].collect()] == [(3, "no_target_title")]
+        assert {r.resume_id: r.overall_status for r in out["rollup"].collect()} == {hurt: "blocked", 3 - hurt: "needs_confirmation"}
+        assert {r.resume_id for r in out["warnings"].collect()} == {1, 2}
+
+
 def test_intake_pipeline(spark):
     docs = intake.with_hash(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "doc_id long, text string"), "text")
     seen = docs.where("text = 'b'").select("document_hash")

@@ -822,14 +822,17 @@ def _(w):
     return _decision_rows(decided, "warnings")
 
 
-@query("match_resumes", """
+_WHOLE_MATCH = """
 SELECT s.resume_id, s.target_id, s.requested_job_title, s.selected_jd_id,
   CASE WHEN d.reranked_count > 0 THEN 'needs_confirmation' ELSE s.status END AS status,
   CASE WHEN d.reranked_count > 0 THEN 'semantic' ELSE s.source END AS source,
   CASE WHEN d.reranked_count > 0 THEN d.reranked_count ELSE s.n_candidates END AS n_candidates,
   CASE WHEN d.resume_id IS NULL THEN s.warning ELSE array_to_string(list_filter([CASE WHEN d.reranked_count > 0 THEN '语义候选必须经人工确认后才能进入 Agent' END,
     nullif(u.warnings, ''), nullif(d.decision_warnings, '')], lambda v: v IS NOT NULL), '|') END AS warnings
-FROM o_state s LEFT JOIN m_decided d USING (resume_id, target_id) LEFT JOIN u_warnings u USING (resume_id, target_id)""")
+FROM o_state s LEFT JOIN m_decided d USING (resume_id, target_id) LEFT JOIN u_warnings u USING (resume_id, target_id)"""
+
+
+@query("match_resumes", _WHOLE_MATCH)
 def _(w):
     result = pipelines.match_resumes(
         w.resumes, w.jd, w.alias, w.chunks, w.embed, dim=DIM)
@@ -858,6 +861,22 @@ def _(w):
     return state.match_rollup(w.state)
 
 
+@query("match_report_rollup", _ROLLUP.format(t="whole_match"), {"whole_match": _WHOLE_MATCH})
+def _(w):
+    return pipelines.match_report(w.resumes, w.jd, w.alias, w.chunks, w.embed, dim=DIM)["rollup"]
+
+
+@query("match_report_warnings", "SELECT resume_id, string_agg(w, '|' ORDER BY p, i) AS warnings FROM (SELECT resume_id, w, min(p) AS p, arg_min(i, p) AS i FROM (SELECT resume_id, CAST(replace(target_id, 'target_', '') AS INT) AS p, unnest(string_split(warnings, '|')) AS w, unnest(range(len(string_split(warnings, '|')))) AS i FROM whole_match WHERE warnings <> '') GROUP BY resume_id, w) GROUP BY resume_id", {"whole_match": _WHOLE_MATCH})
+def _(w):
+    found = pipelines.match_report(w.resumes, w.jd, w.alias, w.chunks, w.embed, dim=DIM)["warnings"]
+    return found.select("resume_id", joined("warnings"))
+
+
+@query("match_report_rejects", "SELECT resume_id, 'no_target_title' AS reason FROM fx_base WHERE resume_id NOT IN (SELECT resume_id FROM o_state)")
+def _(w):
+    return pipelines.match_report(w.resumes, w.jd, w.alias, w.chunks, w.embed, dim=DIM)["rejects"]
+
+
 def _winner_sql(where: str) -> dict[str, str]:
     return {
         "winners": f"SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY resume_id, target_id ORDER BY ts, event_id) AS r FROM o_judged WHERE reason_code IS NULL AND {where}) WHERE r = 1",
