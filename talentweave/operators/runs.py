@@ -6,7 +6,7 @@ Spark keeps just those rows per job before the exchange, so a job with a huge lo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentweave.config import RetryConfig
@@ -61,28 +61,49 @@ def check_attempts(attempts: DataFrame, folded: DataFrame) -> DataFrame:
     )
 
 
+def job_rules(cfg: RetryConfig) -> dict[str, Column]:
+    """Conditions under which a stored job state is wrong, by name."""
+    tries, errors, status = F.col("retry_count"), F.col("errors"), F.col("status")
+    logged, final = F.size(errors), F.try_element_at(errors, F.lit(-1))
+    waits, gave_up, done = (status == s for s in ("retry_pending", "failed", "succeeded"))
+    one_more = (waits | gave_up).cast("int")
+    budget_left = tries < cfg.max_retries
+    out_of_step = F.exists(F.transform(errors, lambda e, i: e["attempt_number"] != i + 1), lambda wrong: wrong)
+    return {
+        # the report and its job
+        "report_iff_succeeded": done != F.col("has_report"),
+        "report_of_other_jd": F.col("has_report") & (F.col("report_jd_id") != F.col("jd_id")),
+        # the log and the counters
+        "pending_with_history": (status == "pending") & ((tries > 0) | (logged > 0)),
+        "error_count": logged != tries + one_more,
+        "attempt_numbers": out_of_step,
+        # what may follow an error
+        "run_after_final_error": F.exists(F.slice(errors, F.lit(1), F.greatest(tries, F.lit(0))), lambda e: ~e["retryable"]),
+        "retry_of_final_error": waits & ~final["retryable"],
+        # the budget
+        "over_budget": tries > cfg.max_retries,
+        "budget_spent": waits & ~budget_left,
+        "failed_with_budget": gave_up & final["retryable"] & budget_left,
+    }
+
+
 def check_job_states(states: DataFrame, cfg: RetryConfig = RetryConfig()) -> DataFrame:
-    """Stored job states that break a rule.
+    """Stored job states that break a rule, with the first one.
 
-    ``states``: resume_id, jd_id, status, has_report, retry_count, errors array<struct<attempt_number,retryable>>.
+    ``states``: resume_id, jd_id, status, has_report, retry_count, errors array<struct<attempt_number,retryable>>, and
+    optionally report_jd_id.
     """
-    n, errors, status = F.col("retry_count"), F.col("errors"), F.col("status")
-    expected = n + F.when(status.isin("retry_pending", "failed"), 1).otherwise(0)
-    last = F.try_element_at(errors, F.lit(-1))
-    numbers = F.transform(errors, lambda e: e["attempt_number"].cast("int"))
-    consecutive = F.when(F.size(errors) > 0, numbers == F.sequence(F.lit(1), F.size(errors))).otherwise(F.lit(True))
-    rule = (
-        F.when((status == "succeeded") != F.col("has_report"), "report_iff_succeeded")
-        .when((status == "pending") & ((n > 0) | (F.size(errors) > 0)), "pending_with_history")
-        .when(F.size(errors) != expected, "error_count")
-        .when(~consecutive, "attempt_numbers")
-        .when(F.exists(F.slice(errors, F.lit(1), F.greatest(n, F.lit(0))), lambda e: ~e["retryable"]), "run_after_final_error")
-        .when((status == "retry_pending") & ~last["retryable"], "retry_of_final_error")
-        .when(n > cfg.max_retries, "over_budget")
-        .when((status == "retry_pending") & (n >= cfg.max_retries), "budget_spent")
-        .when((status == "failed") & last["retryable"] & (n < cfg.max_retries), "failed_with_budget")
-    )
-    return states.withColumn("rule", rule).where(F.col("rule").isNotNull()).select(*JOB_KEYS, "status", "rule")
+    rows = states if "report_jd_id" in states.columns else states.withColumn("report_jd_id", F.col("jd_id"))
+    broken = F.array_compact(F.array(*[F.when(wrong, F.lit(name)) for name, wrong in job_rules(cfg).items()]))
+    return rows.withColumn("rule", F.get(broken, F.lit(0))).where(F.col("rule").isNotNull()).select(*JOB_KEYS, "status", "rule")
+
+
+def check_job_cover(jobs: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Bound JDs without a job, and jobs of JDs that are not bound."""
+    bound = bindings.select("resume_id", F.col("selected_jd_id").alias("jd_id")).distinct().withColumn("_bound", F.lit(True))
+    found = jobs.select(*JOB_KEYS).distinct().withColumn("_job", F.lit(True))
+    rule = F.when(F.col("_job").isNull(), "job_missing").when(F.col("_bound").isNull(), "job_not_bound")
+    return bound.join(found, JOB_KEYS, "full_outer").withColumn("rule", rule).where(F.col("rule").isNotNull()).select(*JOB_KEYS, "rule")
 
 
 def job_states(jobs: DataFrame, folded: DataFrame) -> DataFrame:

@@ -89,7 +89,10 @@ class Work:
         "resume_id", "target_id", "requested_job_title"))
     recalled = cached_property(lambda self: materialize(recall.ranked_candidates(self.candidates, 10).join(
         self.titles, ["resume_id", "target_id"]), "recalled"))
-    documents = cached_property(lambda self: passages.jd_documents(self.jd))
+    documents = cached_property(lambda self: materialize(passages.jd_documents(self.jd), "jd-documents"))
+    # What review needs several times over.
+    kept_matches = cached_property(lambda self: materialize(self.matches, "matches"))
+    kept_state = cached_property(lambda self: state.exact_state(self.kept_matches))
     title_pairs = cached_property(lambda self: rerank.title_pairs(self.recalled, self.documents).select(
         "resume_id", "target_id", "jd_id", "left_text", "right_text"))
     support_pairs = cached_property(lambda self: rerank.support_pairs(self.recalled, self.vectors, self.documents))
@@ -103,7 +106,7 @@ class Work:
     @cached_property
     def judged(self) -> DataFrame:
         events = self.view("fx_decisions")
-        return state.judged_decisions(self.state, exact.listed_candidates(events, self.matches, self.jd), events)
+        return state.judged_decisions(self.kept_state, exact.listed_candidates(events, self.kept_matches, self.jd), events)
 
     def embed(self, units: DataFrame) -> DataFrame:
         """Stand-in for a model: a stored vector per unit."""
@@ -119,8 +122,8 @@ class Work:
         judged = self.judged if action is None else self.judged.where(F.col("action") == action)
         winners = materialize(state.winning_decisions(judged), "winners")
         rejected = winners.where("action = 'reject'").select("resume_id", "target_id")
-        lost = exact.exact_candidates(self.matches.join(rejected, ["resume_id", "target_id"], "left_semi"), self.jd)
-        return state.apply_decisions(self.state, lost, winners)
+        lost = exact.exact_candidates(self.kept_matches.join(rejected, ["resume_id", "target_id"], "left_semi"), self.jd)
+        return state.apply_decisions(self.kept_state, lost, winners)
 
     @cached_property
     def bindings(self) -> DataFrame:
@@ -1177,6 +1180,35 @@ def _(w):
     return runs.check_attempts(w.attempts, w.folded)
 
 
+@query("check_job_states", """
+SELECT resume_id, jd_id, CASE WHEN k IN (1, 5) THEN 'succeeded' WHEN k = 2 THEN 'pending' WHEN k IN (3, 6) THEN 'retry_pending' ELSE 'failed' END AS status,
+  CASE k WHEN 1 THEN 'report_iff_succeeded' WHEN 2 THEN 'pending_with_history' WHEN 3 THEN 'error_count' WHEN 4 THEN 'attempt_numbers' WHEN 5 THEN 'report_of_other_jd'
+    WHEN 6 THEN 'budget_spent' WHEN 7 THEN 'failed_with_budget' WHEN 8 THEN 'over_budget' ELSE 'run_after_final_error' END AS rule
+FROM (SELECT DISTINCT resume_id, jd_id, resume_id % 10 AS k FROM fx_attempts) WHERE k > 0""")
+def _(w):
+    k, lit = F.col("resume_id") % 10, F.lit
+    tries = F.when(k == 2, 1).when(k == 6, 2).when(k == 8, 3).when(k == 9, 1).otherwise(0)
+    numbers = F.when(k == 4, F.array(lit(2))).when(k.isin(2, 7), F.array(lit(1))).when(k == 6, F.sequence(lit(1), lit(3))).when(
+        k == 8, F.sequence(lit(1), lit(4))).when(k == 9, F.sequence(lit(1), lit(2))).otherwise(F.array().cast("array<int>"))
+    errors = F.transform(numbers, lambda n: F.struct(n.alias("attempt_number"), ((k != 9) | (n > 1)).alias("retryable")))
+    status = F.when(k.isin(0, 1, 5), "succeeded").when(k == 2, "pending").when(k.isin(3, 6), "retry_pending").otherwise("failed")
+    jobs = w.view("fx_attempts").select("resume_id", "jd_id").distinct()
+    return runs.check_job_states(jobs.select(
+        "resume_id", "jd_id", status.alias("status"), k.isin(0, 5).alias("has_report"),
+        (F.col("jd_id") + (k == 5).cast("int")).alias("report_jd_id"), tries.alias("retry_count"), errors.alias("errors")))
+
+
+@query("check_job_cover", """
+SELECT coalesce(b.resume_id, j.resume_id) AS resume_id, coalesce(b.jd_id, j.jd_id) AS jd_id, CASE WHEN j.jd_id IS NULL THEN 'job_missing' ELSE 'job_not_bound' END AS rule
+FROM (SELECT DISTINCT resume_id, expected_jd_id AS jd_id FROM fx_bindings WHERE expected_jd_id IS NOT NULL) b
+FULL JOIN (SELECT DISTINCT resume_id, actual_jd_id AS jd_id FROM fx_bindings WHERE actual_jd_id IS NOT NULL) j ON b.resume_id = j.resume_id AND b.jd_id = j.jd_id
+WHERE b.jd_id IS NULL OR j.jd_id IS NULL""")
+def _(w):
+    rows = w.view("fx_bindings")
+    jobs = rows.where("actual_jd_id IS NOT NULL").select("resume_id", F.col("actual_jd_id").alias("jd_id"))
+    return runs.check_job_cover(jobs, rows.where("expected_jd_id IS NOT NULL").withColumnRenamed("expected_jd_id", "selected_jd_id"))
+
+
 @query("runnable_jobs", "SELECT resume_id, jd_id, status FROM o_fold WHERE status = 'retry_pending'")
 def _(w):
     return runs.runnable_jobs(w.job_states).select("resume_id", "jd_id", "status")
