@@ -35,11 +35,21 @@ def noted_tables(paths: list[str]) -> Iterator[None]:
         _noted.reset(token)
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
     """Delete materialised tables that no pending DataFrame reads any more, and forget their paths."""
     while paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        files, place = _file_system(spark, paths.pop())
+        files.delete(place, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from talentweave.operators import assemble, state
 from talentweave.plans import pipelines
 from talentweave.schemas import RESPONSIBILITY, RESUME
 from talentweave.sources import intake, tables
-from talentweave.streaming.decisions import current_winners, start_decisions
+from talentweave.streaming.decisions import current_winners, start_decisions, stream_rejects
 from talentweave.streaming.intake import start_intake
 from workload.queries import Work
 
@@ -184,6 +184,11 @@ def test_streamed_decisions_equal_batch(spark, tables, tmp_path):
     got = current_winners(spark, str(tmp_path / "out"))
     assert batch.count() > 0
     assert got.select(batch.columns).exceptAll(batch).count() == batch.exceptAll(got.select(batch.columns)).count() == 0
+    lost = state.decision_rejects(state.judged_decisions(known, listed, events), batch).select("event_id", "reason_code")
+    streamed = stream_rejects(spark, str(tmp_path / "out")).select("event_id", "reason_code")
+    assert lost.count() > 0 and streamed.exceptAll(lost).count() == lost.exceptAll(streamed).count() == 0
+    versions = spark.read.parquet(str(tmp_path / "out" / "winners")).select("bucket", "batch_id").distinct().groupBy("bucket").count()
+    assert versions.where("count > 2").count() == 0
 
 
 def state_table(df, path):
