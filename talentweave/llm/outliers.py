@@ -10,8 +10,8 @@ Groups with fewer than ``MIN_ROWS`` texts are estimated together with the other
 where these are still few, with those of all languages. To each variance a floor is added, the square of a
 deviation that is harmless in any text, so that statistics that are zero for nearly all texts don't make any other value an outlier.
 
-A group is only ever aggregated, and its rows meet their estimate in ``SALTS`` parts, so that one group may hold most
-rows: quantiles are exact over values on a fixed grid, so their state is bounded and reruns
+A group is only ever aggregated. Estimates are one row per group; up to ``BROADCAST_GROUPS`` of them, counted first, are
+broadcast, and more are joined in ``SALTS`` parts per group, so that one group may hold most rows either way. Quantiles are exact over values on a fixed grid, so their state is bounded and reruns
 agree; estimates are one row per group. NULL texts have no words. NULL languages and sources are groups of
 their own. Empty tables give empty results.
 """
@@ -30,7 +30,8 @@ WINDOW = 8  # words; a power of two
 CORE = 0.75
 STEPS = 4
 MIN_ROWS = 200
-SALTS = 32  # parts in which the rows of a group are joined with its estimate
+BROADCAST_GROUPS = 50_000  # estimates; about 10 MB
+SALTS = 32  # parts in which the rows of a group are joined with its estimate beyond that
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Chi-squared with five degrees of freedom: the quantile at 1 - 1e-4, and the factor by which the covariance of the
@@ -132,17 +133,20 @@ def _grouped(rows: DataFrame, min_rows: int) -> DataFrame:
     return joined.drop("_lang", "_source")
 
 
-def _met(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows (with ``salt``) next to the one row of their group, which is listed once for each part."""
-    listed = estimates.withColumnRenamed("grp", "_grp").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _met(rows: DataFrame, estimates: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """Rows (with ``salt``) next to the one row of their group, which is broadcast or listed once for each part."""
+    own = estimates.withColumnRenamed("grp", "_grp")
+    if few:
+        return rows.join(F.broadcast(own), F.col("grp") == F.col("_grp"), how).drop("_grp")
+    listed = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.join(listed, (F.col("grp") == F.col("_grp")) & (F.col("salt") == F.col("_salt")), how).drop("_grp", "_salt")
 
 
-def _start(rows: DataFrame) -> DataFrame:
+def _start(rows: DataFrame, few: bool) -> DataFrame:
     """Per group: medians, and a diagonal matrix of median deviations."""
     cells = rows.select("grp", "salt", *[F.round(v, 3).alias(v) for v in VECTOR])
     middle = materialize(cells.groupBy("grp").agg(*[F.percentile(v, 0.5).alias(f"m{i}") for i, v in enumerate(VECTOR)]), "medians")
-    apart = _met(cells, middle).groupBy("grp").agg(*[
+    apart = _met(cells, middle, few).groupBy("grp").agg(*[
         F.percentile(F.round(F.abs(F.col(v) - F.col(f"m{i}")), 3), 0.5).alias(f"d{i}") for i, v in enumerate(VECTOR)])
     square = {
         f"s{i}_{j}": F.pow(1.4826 * F.col(f"d{i}"), 2) + floor**2 if i == j else F.lit(0.0)
@@ -164,20 +168,20 @@ def _inverted(estimates: DataFrame) -> DataFrame:
     return materialize(frame.select("grp", *[f"m{i}" for i in range(P)], *[f"w{i}_{j}" for i in range(P) for j in range(i + 1)]), "estimates")
 
 
-def _measured(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _measured(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     """``rows`` with ``distance``, the squared Mahalanobis distance from their group."""
     lines = [
         F.pow(sum(((F.col(v) - F.col(f"m{j}")) * F.col(f"w{i}_{j}") for j, v in enumerate(VECTOR[:i + 1])), F.lit(0.0)), 2)
         for i in range(P)]
     kept = [F.col(c) for c in rows.columns]
-    return _met(rows, estimates, "left").select(*kept, sum(lines, F.lit(0.0)).alias("distance"))
+    return _met(rows, estimates, few, "left").select(*kept, sum(lines, F.lit(0.0)).alias("distance"))
 
 
-def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _concentrated(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     """One concentration step."""
-    near = _measured(rows, estimates).withColumn("cell", F.round(F.log(F.col("distance") + 1e-6), 2))
+    near = _measured(rows, estimates, few).withColumn("cell", F.round(F.log(F.col("distance") + 1e-6), 2))
     edges = materialize(near.groupBy("grp").agg(F.percentile("cell", CORE).alias("edge")), "core-edges")
-    core = _met(near, edges).where("cell <= edge")
+    core = _met(near, edges, few).where("cell <= edge")
     moments = core.groupBy("grp").agg(
         *[F.avg(v).alias(f"m{i}") for i, v in enumerate(VECTOR)],
         *[F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}_{j}") for i in range(P) for j in range(i + 1)])
@@ -187,12 +191,15 @@ def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return _inverted(moments.withColumns(square))
 
 
-def judged(rows: DataFrame, min_rows: int = MIN_ROWS, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
+def judged(
+    rows: DataFrame, min_rows: int = MIN_ROWS, steps: int = STEPS, cutoff: float = CUTOFF, broadcast_groups: int = BROADCAST_GROUPS,
+) -> DataFrame:
     """Rows of ``counted`` with ``distance`` and ``kept``."""
     placed = _grouped(rows, min_rows).withColumn("salt", F.pmod(F.xxhash64("doc_id", *VECTOR), F.lit(SALTS)).cast("int"))
     sound = materialize(placed.where("NOT base_failed").select("grp", "salt", *VECTOR), "sound-rows")
-    estimates = _start(sound)
+    few = sound.select("grp").distinct().count() <= broadcast_groups
+    estimates = _start(sound, few)
     for _ in range(steps):
-        estimates = _concentrated(sound, estimates)
-    return _measured(placed, estimates).withColumn(
+        estimates = _concentrated(sound, estimates, few)
+    return _measured(placed, estimates, few).withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))

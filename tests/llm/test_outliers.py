@@ -106,10 +106,12 @@ def test_verdicts_equal_brute_force(spark):
     rows = [(i, t, rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "a", "b", "c", None])) for i, t in enumerate(texts(rng, 900))]
     rows += [(9000 + i, t, "fr", "rare") for i, t in enumerate(ODD)] + [(5, "one two three", None, None)] * 2
     wanted = plain_verdicts(rows, 60)
-    got = outliers.judged(outliers.counted(frame(spark, rows)), min_rows=60).collect()
-    assert len(got) == len(rows)
-    keyed = sorted((r.doc_id, r.lang or "", r.source or "", r.kept) for r in got)
-    assert keyed == sorted((i, lang or "", src or "", k) for (i, _, lang, src), k in zip(rows, wanted))
+    counts = outliers.counted(frame(spark, rows))
+    for few in (0, 1000):
+        got = outliers.judged(counts, min_rows=60, broadcast_groups=few).collect()
+        assert len(got) == len(rows)
+        keyed = sorted((r.doc_id, r.lang or "", r.source or "", r.kept) for r in got)
+        assert keyed == sorted((i, lang or "", src or "", k) for (i, _, lang, src), k in zip(rows, wanted))
     shouted = [k for (i, t, _, _), k in zip(rows, wanted) if t and (t.count("###") > 20 or t.count("!!") > 20)]
     assert sum(shouted) < 0.3 * len(shouted)
 
