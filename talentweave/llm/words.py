@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 23  # text taken at a time; a longer text is a slice of its own
+SLICE_BYTES = 1 << 22  # text taken at a time; a longer text is a slice of its own
 
 
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> list[pa.Array]:
