@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentweave.config import PROJECT, SKILLS, TITLE, WORK, RecallConfig
+from talentweave.config import PROJECT, SKILLS, TITLE, WORK, RecallConfig, RerankConfig
 from talentweave.functions import strict
 from talentweave.functions import text as X
 from talentweave.functions import vectors as V
@@ -812,6 +812,37 @@ def _(w):
     return _decision_rows(rerank.rerank_decision(w.titles, w.recalled, missing, ranked), "decision_warnings")
 
 
+_AUTO = {
+    "x_ranked": """
+SELECT * FROM (SELECT *, title_similarity >= 0.2::DOUBLE AS passes, row_number() OVER (PARTITION BY resume_id, target_id ORDER BY title_similarity >= 0.2::DOUBLE DESC,
+  round(resolution_score, 12) DESC, round(title_similarity, 12) DESC, round(resume_support_score, 12) DESC, round(recall_score, 12) DESC, recall_rank) AS rerank_rank
+  FROM q_rcands) WHERE rerank_rank <= 5""",
+    "x_kept": """
+SELECT resume_id, target_id, count_if(passes) AS eligible, max(CASE WHEN passes AND rerank_rank = 1 THEN jd_id END) AS first_id,
+  max(CASE WHEN passes AND rerank_rank = 1 THEN resolution_score END) AS s1, max(CASE WHEN passes AND rerank_rank = 2 THEN resolution_score END) AS s2
+FROM x_ranked GROUP BY ALL""",
+    "x_decided": """
+SELECT t.resume_id, t.target_id, k.first_id AS recommended_jd_id, CASE WHEN k.eligible > 1 THEN k.s1 - k.s2 END AS margin,
+  CASE WHEN k.eligible IS NULL THEN 'no_candidate' WHEN k.eligible = 0 THEN 'no_eligible_candidate'
+    WHEN round(k.s1, 12) >= 0.25 AND (k.eligible = 1 OR round(k.s1 - k.s2, 12) >= 0.02) THEN 'auto_resolved' ELSE 'needs_confirmation' END AS status,
+  round(k.s1, 12) >= 0.25 AS score_ok
+FROM q_titles t LEFT JOIN x_kept k USING (resume_id, target_id)""",
+}
+
+
+@query("rerank_decision_auto", """
+SELECT resume_id, target_id, status, recommended_jd_id, CASE WHEN status = 'auto_resolved' THEN recommended_jd_id END AS selected_jd_id,
+  status IN ('needs_confirmation', 'no_eligible_candidate') AS needs_confirmation, round(margin, 6) + 0.0 AS top_margin FROM x_decided""", _AUTO)
+def _(w):
+    """Automatic resolution, with a floor under the title similarity."""
+    cfg = RerankConfig(
+        require_manual_confirmation=False, auto_confirm_threshold=0.25, minimum_top_margin=0.02, minimum_title_similarity=0.2)
+    titles = rerank.title_scores(w.recalled, w.documents)
+    ranked = rerank.ranked_rerank(rerank.rerank_candidates(titles, w.type_scores, cfg), cfg)
+    decided = rerank.rerank_decision(w.titles, w.recalled, rerank.missing_documents(w.recalled, w.documents), ranked, cfg)
+    return decided.select("resume_id", "target_id", "status", "recommended_jd_id", "selected_jd_id", "needs_confirmation", r6("top_margin"))
+
+
 @query("check_rerank_input", "SELECT resume_id, target_id, count(*) AS n_candidates, count_if(jd_id IN (SELECT id FROM fx_jd)) AS n_scored, CASE WHEN any_value(resume_id) % 6 = 0 THEN 'title_differs' WHEN count_if(jd_id IN (SELECT id FROM fx_jd)) < count(*) THEN 'title_score_missing' END AS reason FROM q_recalled GROUP BY resume_id, target_id")
 def _(w):
     other = F.when(F.col("resume_id") % 6 == 0, F.concat("requested_job_title", F.lit("!"))).otherwise(F.col("requested_job_title"))
