@@ -59,6 +59,19 @@ def _matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return unit[good], usable[good]
 
 
+def _forbid(distance: np.ndarray, lists: pd.Series, jd_ids: np.ndarray) -> None:
+    """Move the chunks of each row's excluded JDs out of reach, all rows at once."""
+    held = [np.empty(0, "int64") if ids is None else np.asarray(ids, dtype="int64") for ids in lists]
+    sizes = [len(ids) for ids in held]
+    if not sum(sizes):
+        return
+    order = np.argsort(jd_ids, kind="stable")
+    first, last = (np.searchsorted(jd_ids[order], np.concatenate(held), side) for side in ("left", "right"))
+    n = last - first
+    column = order[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
+    distance[np.repeat(np.repeat(np.arange(len(held)), sizes), n), column] = np.inf
+
+
 def _top_k(queries: pd.DataFrame, chunks: pd.DataFrame, unit_chunks: np.ndarray, k: int, dim: int) -> Iterator[pd.DataFrame]:
     """The k nearest chunks of each query; ``chunks`` is ordered by chunk_id, which settles ties."""
     unit, kept = _matrix(queries["embedding"], dim)
@@ -72,10 +85,7 @@ def _top_k(queries: pd.DataFrame, chunks: pd.DataFrame, unit_chunks: np.ndarray,
         strip = kept[start:start + STRIP_ROWS]
         distance = np.round(1.0 - unit[start:start + STRIP_ROWS] @ unit_chunks.T, 12) + 0.0
         if excluded is not None:
-            for i, row in enumerate(strip):
-                ids = excluded.iat[row]
-                if ids is not None and len(ids):
-                    distance[i, np.isin(jd_ids, ids)] = np.inf
+            _forbid(distance, excluded.iloc[strip], jd_ids)
         limit = np.partition(distance, k - 1, axis=1)[:, k - 1:k]
         if known is not None:
             limit = np.minimum(limit, known[strip][:, None])

@@ -1091,18 +1091,18 @@ def _flag(condition: str, path: str, message: str, kind: str = "missing_field",
 
 _EDU, _WORKS = "'education_background.educations[0]", "'knowledge_and_experience.work_experiences["
 _ISSUES = "\nUNION ALL ".join([
-    _flag("NOT has_education AND NOT has_skills AND n_work = 0 AND n_project = 0", "'$'", quality.NO_CONTENT, "low_quality", "error", "TRUE"),
-    _flag("name IS NULL", "'basic_info.name'", quality.NO_NAME),
-    _flag("phone IS NULL AND email IS NULL", "'basic_info'", quality.NO_CONTACT),
-    _flag("target_job_title IS NULL", "'basic_info.target_job_title'", quality.NO_TARGET),
-    _flag("NOT has_education", "'education_background.educations'", quality.NO_EDUCATION, "empty_field"),
-    _flag("has_education AND school IS NULL", _EDU + ".school'", quality.NO_SCHOOL),
-    _flag("has_education AND degree = ''", _EDU + ".degree'", quality.NO_DEGREE),
-    _flag("has_education AND resume_id % 3 = 0", _EDU + ".evidence'", quality.NO_EVIDENCE, "missing_evidence"),
-    _flag("n_work >= 1 AND end_date_raw IS NULL", _WORKS + "0]'", quality.NO_DATES),
-    _flag("n_work = 2 AND end_date_raw IS NULL", _WORKS + "1]'", quality.NO_DATES),
-    _flag("n_work = 2 AND work_2_title IS NULL", _WORKS + "1].job_title'", quality.NO_JOB_TITLE),
-    _flag("n_project = 1 AND empty_project", "'knowledge_and_experience.project_experiences[0]'", quality.EMPTY_PROJECT, "empty_field"),
+    _flag("NOT has_education AND NOT has_skills AND n_work = 0 AND n_project = 0", "'$'", "未提取到教育、技能、工作或项目经历，可能存在简历解析或LLM抽取失败", "low_quality", "error", "TRUE"),
+    _flag("name IS NULL", "'basic_info.name'", "未提取到姓名"),
+    _flag("phone IS NULL AND email IS NULL", "'basic_info'", "手机号和邮箱均为空"),
+    _flag("target_job_title IS NULL", "'basic_info.target_job_title'", "未提取到目标岗位标题"),
+    _flag("NOT has_education", "'education_background.educations'", "未提取到教育经历，可能影响学历条件判断", "empty_field"),
+    _flag("has_education AND school IS NULL", _EDU + ".school'", "缺少学校名称"),
+    _flag("has_education AND degree = ''", _EDU + ".degree'", "缺少学历或学位信息，可能影响JD硬条件判断"),
+    _flag("has_education AND resume_id % 3 = 0", _EDU + ".evidence'", "教育经历缺少原始文本证据", "missing_evidence"),
+    _flag("n_work >= 1 AND end_date_raw IS NULL", _WORKS + "0]'", "工作时间信息不完整，可能影响工作年限计算"),
+    _flag("n_work = 2 AND end_date_raw IS NULL", _WORKS + "1]'", "工作时间信息不完整，可能影响工作年限计算"),
+    _flag("n_work = 2 AND work_2_title IS NULL", _WORKS + "1].job_title'", "未提取到岗位名称"),
+    _flag("n_project = 1 AND empty_project", "'knowledge_and_experience.project_experiences[0]'", "项目经历为空", "empty_field"),
 ])
 
 

@@ -5,8 +5,6 @@ Written from the rules, independently of the DataFrame operators.
 
 from __future__ import annotations
 
-from talentweave.config import TITLE_SUFFIXES
-
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -57,7 +55,8 @@ def labelled_list(label: str, e: str) -> str:
     return f"CASE WHEN len({e}) > 0 THEN '{label}：' || array_to_string({e}, '；') END"
 
 
-SUFFIX = "(" + "|".join(TITLE_SUFFIXES) + ")$"
+# Title endings, written out so that the engine's own list is checked.
+SUFFIX = "(经理|工程师|主管|专员|顾问|助理|组长|管理员|管理|代表|会计|出纳|监理|文秘)$"
 TYPE_WEIGHT = (
     "CASE query_type WHEN 'target_job_title' THEN 0.4::DOUBLE WHEN 'work_experience' THEN 0.3::DOUBLE "
     "WHEN 'project_experience' THEN 0.18::DOUBLE WHEN 'skills' THEN 0.12::DOUBLE END"
