@@ -115,7 +115,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     FROM ruled r LEFT JOIN scores s ON r.host = s.host
 """)
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    found = urls.judged(table(spark, folder, "pages"))
+    found = urls.judged(table(spark, folder, "pages"), max_rounds=urls.MAX_ROUNDS)
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 

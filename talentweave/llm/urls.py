@@ -4,7 +4,8 @@ A rule (verdict, host, path) fits its host and all subdomains where the url's pa
 the longest wins. URLs that no rule fits get the verdict of their host. Hosts are seeds by the share of their pages that rules
 allow (trust) or block (distrust). Trust follows links: personalised PageRank from the trusted hosts. Distrust
 runs against them, from blocked hosts to those that link to them, shared by the links that arrive. Both are summed
-as a series: every round sends the last increment, damped, along the edges, until little is left.
+as a series: every round sends the last increment, damped, along the edges. A kind ends when all that its increment can
+still add, anywhere and in all later rounds, is at most ``REST``: an absolute score, whatever the number of seeds.
 
     trust = seed + damping * sum over links in of trust(from) * links / links out of it
 
@@ -38,8 +39,8 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 DAMPING = 0.85
 THRESHOLD = 0.5
-MAX_ROUNDS = 30
-REST = 1e-3  # of the seeds; increments below it end the series
+MAX_ROUNDS = 30  # of the registered query, as in its reference SQL
+REST = 1e-6  # of a score: less than this is left when a series ends
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,8 +74,8 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return linked.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("pages"))
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """``host, trust, distrust`` from seeds of these names and edges ``src, dst, pages``."""
+def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, max_rounds: int | None = None) -> DataFrame:
+    """``host, trust, distrust`` from seeds of these names and edges ``src, dst, pages``; without ``max_rounds`` to the end."""
     edges = materialize(edges, "host-edges")
     out = edges.groupBy(F.col("src").alias("of")).agg(F.sum("pages").alias("all"))
     come = edges.groupBy(F.col("dst").alias("of")).agg(F.sum("pages").alias("all"))
@@ -86,15 +87,17 @@ def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, max
         "host-ways")
     sent = seeds.select("host", F.inline(F.array(*[
         F.struct(F.lit(k).alias("kind"), F.col(k).cast("double").alias("score")) for k in ("trust", "distrust")]))).where("score > 0")
-    parts, first = [], None
-    for _ in range(max_rounds + 1):
+    parts = []
+    while True:
         sent = materialize(sent, "host-scores")
         parts.append(sent)
-        rest = sent.agg(F.sum("score")).first()[0] or 0.0
-        first = rest if first is None else first
-        if rest <= REST * first:
+        # What an increment adds in this and all later rounds is at most its sum times damping / (1 - damping).
+        left = {r["kind"]: r["rest"] * damping / (1 - damping) for r in sent.groupBy("kind").agg(F.sum("score").alias("rest")).collect()}
+        going = [k for k, rest in left.items() if rest > REST]
+        if not going or len(parts) - 1 == max_rounds:
             break
-        arrived = ways.withColumnRenamed("kind", "way").join(sent, (F.col("a") == F.col("host")) & (F.col("way") == F.col("kind")))
+        arrived = ways.withColumnRenamed("kind", "way").join(
+            sent.where(F.col("kind").isin(going)), (F.col("a") == F.col("host")) & (F.col("way") == F.col("kind")))
         sent = arrived.groupBy(F.col("b").alias("host"), "kind").agg(F.sum(F.col("share") * F.col("score")).alias("score"))
     total = parts[0]
     for part in parts[1:]:
@@ -105,7 +108,7 @@ def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, max
 
 def judged(
     pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url",
-    html_col: str = "html",
+    html_col: str = "html", max_rounds: int | None = None,
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` for every page."""
     url = F.col(url_col)
@@ -114,7 +117,7 @@ def judged(
     seeds = ruled.where("host <> ''").groupBy("host").agg(
         F.avg((F.coalesce(F.col("_rule.verdict"), F.lit("")) == ALLOW).cast("int")).alias("trust"),
         F.avg((F.coalesce(F.col("_rule.verdict"), F.lit("")) == BLOCK).cast("int")).alias("distrust"))
-    scores = propagated(seeds, host_edges(pages, url_col, html_col)).withColumnRenamed("host", "_host")
+    scores = propagated(seeds, host_edges(pages, url_col, html_col), max_rounds=max_rounds).withColumnRenamed("host", "_host")
     bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     return ruled.join(scores, F.col("host") == F.col("_host"), "left").select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"),

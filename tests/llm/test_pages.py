@@ -74,6 +74,12 @@ def test_series_equals_plain_iteration(spark):
         assert got[i].trust == pytest.approx(trust[h], abs=0.05) and got[i].distrust == pytest.approx(distrust[h], abs=0.05)
 
 
+def test_other_seeds_do_not_end_a_chain(spark):
+    chain = [("http://x.org/", link("y.org")), ("http://y.org/", link("z.net")), ("http://z.net/es/", "")]
+    got = judge(spark, chain + [(f"http://s{i}.com/", "") for i in range(3000)])
+    assert [got[i].distrust for i in range(3)] == pytest.approx([0.85**2, 0.85, 1.0]) and got[0].verdict == "block"
+
+
 def test_no_pages(spark):
     assert urls.judged(spark.createDataFrame([], PAGES)).count() == 0
 
