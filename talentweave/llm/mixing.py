@@ -145,6 +145,7 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 def pieces(found: DataFrame, slots: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The mix itself: ``_row, doc_id, source, slot, start, length``, a row for each piece of a document in a slot.
 
+    Besides ``lap`` and ``words`` as in ``_laps``, and ``place``, the words before the document in the laps of its source.
     ``start`` and ``length`` count words of the document. Slot number ``rank`` of a source holds words
     ``rank * T / n`` to ``(rank + 1) * T / n`` (rounded) of its stream, T words long in n slots.
     """
@@ -165,15 +166,29 @@ def pieces(found: DataFrame, slots: DataFrame, id_col: str = "doc_id", source_co
     cut = each.withColumn("_a", F.greatest("_begin", edge(F.col("_rank")))).withColumn("_b", F.least("_end", edge(F.col("_rank") + 1)))
     joined = cut.where("_a < _b").join(
         slots.select(F.col("source").alias("_s"), "rank", "slot"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_rank") == F.col("rank")))
-    return joined.select("_row", "doc_id", "source", "slot", (F.col("_a") - F.col("_begin")).alias("start"), (F.col("_b") - F.col("_a")).alias("length"))
+    return joined.select(
+        "_row", "doc_id", "source", "slot", (F.col("_a") - F.col("_begin")).alias("start"), (F.col("_b") - F.col("_a")).alias("length"),
+        "lap", "words", F.col("_begin").alias("place"))
 
 
-def repeated_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of the mix with the columns of ``docs``: whole documents as often as they are taken.
+def repeated_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_repeats: float = MAX_REPEATS, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The rows of the mix with the columns of ``docs``: whole documents as often as they are taken, in schedule order.
 
-    A source's last document may be taken in part; its text is then its first words, joined by single spaces.
+    A document stands in the slot that its first word falls into, so up to any slot a source is ahead by less than one
+    document. The rows are sorted by slot, over partitions that follow each other. A source's last document may be
+    taken in part; its text is then its first words, joined by single spaces.
     """
     rows, (own, text, source) = boxed(docs, id_col, text_col, source_col)
-    found = mixed(rows, own, text, source, **options).withColumn("_lap", F.explode("_laps")).where("_lap.words > 0")
-    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), 1, F.col("_lap.words").cast("int")), " ")
-    return unboxed(found.withColumn(text, F.when(F.col("_lap.words") < F.col("_size"), part).otherwise(F.col(text))), docs)
+    stored = _stored(rows, own, text, True)
+    found = _with_targets(_placed(stored, own, source), source, weights, share, max_repeats).withColumn("_laps", _laps(max_repeats))
+    found = materialize(found, "mixed")
+    targets = materialize(found.select(F.col(source).alias("source"), F.col("_target").alias("target")).distinct(), "mix-targets")
+    slots = materialize(schedule(targets, block_words), "mix-slots")
+    begun = pieces(found, slots, own, source).where("start = 0").select(F.col("_row").alias("_of"), "slot", "place", "words")
+    met = stored.drop("_hash", "_tie").join(begun, F.col("_row") == F.col("_of"))
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), 1, F.col("words").cast("int")), " ")
+    cut = met.withColumn(text, F.when(F.col("words") < F.col("_size"), part).otherwise(F.col(text)))
+    return unboxed(cut.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place"), docs)
