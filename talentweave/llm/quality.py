@@ -152,7 +152,10 @@ def fitted(
     docs: DataFrame, labels: DataFrame, may_train: Column, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "quality", metadata: str | None = "n_chars",
 ) -> FactorisationMachine:
-    """Fit on at most ``max_rows`` labelled documents. ``may_train`` is a condition on the labels' id."""
+    """Fit on at most ``max_rows`` labelled documents. ``may_train`` is a condition on the labels' id.
+
+    Of rows that repeat an id, the one with the smallest checksum of its text counts, so no more than ``max_rows`` rows are collected.
+    """
     marked = (
         labels.where(may_train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id")).agg(F.avg(label_col).alias("_label"))
@@ -162,18 +165,24 @@ def fitted(
     rows = chosen.join(F.broadcast(marked), "_id")  # at most max_rows ids
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[int, float]] = {}  # of each id, at most max_rows of them
         for batch in batches:
-            texts = batch.column("_text").cast(pa.binary()).to_pylist()
-            made = [features(t, n) for t, n in zip(texts, batch.column("_noted").to_pylist())]
-            yield pa.RecordBatch.from_pydict({
-                "id": batch.column("_id").cast(pa.int64()), "digest": pa.array([crc32(t) for t in texts], pa.int64()),
-                "label": batch.column("_label").cast(pa.float64()),
-                "slots": pa.array([i.astype("<i4").tobytes() for i, _ in made], pa.binary()),
-                "amounts": pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary()),
-            })
-
-    found = rows.mapInArrow(sparse, "id bigint, digest bigint, label double, slots binary, amounts binary").collect()
-    found = sorted(found, key=lambda r: (r.id, r.digest))[:max_rows]  # rows may repeat an id
+            out = []
+            columns = (batch.column("_id").cast(pa.int64()), batch.column("_text").cast(pa.binary()), batch.column("_noted"), batch.column("_label"))
+            for own, text, noted, label in zip(*columns):
+                own, data, n = own.as_py(), text.as_py(), noted.as_py()
+                key = crc32(data), -1.0 if n is None else n
+                if own not in best or key < best[own]:
+                    best[own] = key
+                    slots, amounts = features(data, n)
+                    out.append((own, *key, float(label.as_py()), slots.astype("<i4").tobytes(), amounts.astype("<f4").tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+            names = ["id", "digest", "noted", "label", "slots", "amounts"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+
+    made = rows.mapInArrow(sparse, "id bigint, digest bigint, noted double, label double, slots binary, amounts binary")
+    row = F.min(F.struct("digest", "noted", "label", "slots", "amounts")).alias("row")
+    found = sorted(made.groupBy("id").agg(row).select("id", "row.*").collect(), key=lambda r: r.id)
     machine = FactorisationMachine()
     machine.fit(
         [(np.frombuffer(r.slots, "<i4").astype("int64"), np.frombuffer(r.amounts, "<f4")) for r in found],

@@ -5,6 +5,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from talentweave.llm import packing, quality
@@ -108,3 +109,14 @@ def test_quality_of_odd_rows(spark):
     assert kept.schema == docs.schema and kept.count() == len(texts)
     assert quality.accepted(docs.limit(0), machine).count() == 0
     assert quality.scored(docs.drop("n_chars"), machine).count() == len(texts)
+
+
+def test_repeated_ids_leave_one_row_each(spark, monkeypatch):
+    sizes = []
+    fit = quality.FactorisationMachine.fit
+    monkeypatch.setattr(quality.FactorisationMachine, "fit", lambda self, rows, labels: (sizes.append(len(rows)), fit(self, rows, labels)))
+    docs = spark.createDataFrame([(5 if i % 3 else i, f"text {i} of words", i) for i in range(300)], "doc_id bigint, text string, n_chars bigint")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, quality int")
+    quality.fitted(docs, labels, id_remainder("doc_id", 1) == 0, max_rows=200)
+    kept = [i for i in labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(200).toPandas()["doc_id"] if i == 5 or i % 3 == 0]
+    assert sizes == [len(kept)]
