@@ -18,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talentweave.llm.columns import running_total
 from talentweave.plans.storage import materialize
 
 RANGE_BYTES = 1 << 16
 FAN = 16
 FILE_PAGES = 512  # pages per file
+COPIES = 1 << 10  # of a record, listed by one task
 
 
 def warc_record(url: Column, content: Column) -> Column:
@@ -41,9 +43,20 @@ def file_of(record_id: Column, *content: str) -> Column:
 
 
 def with_offsets(records: DataFrame) -> DataFrame:
-    """Where each record (``warc_file, record_id, length, digest``) begins in its file, in the order of ids."""
-    before = Window.partitionBy("warc_file").orderBy("record_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+    """Where each record (``warc_file, record_id, length, digest``) begins in its file, in the order of ids and digests.
+
+    Rows equal in all columns are counted first and listed anew at the end, and totals go by id and the first signs of
+    the digest, so a file that holds most rows is spread over tasks.
+    """
+    names = records.columns
+    bucket = F.struct(F.coalesce("record_id", F.lit(0)).alias("id"), F.substring("digest", 1, 2).alias("signs"))
+    copies = materialize(records.groupBy(*names).agg(F.count("*").alias("_n")).withColumns({
+        "_bytes": F.col("_n") * F.col("length"), "_bucket": bucket}), "record-copies")
+    order = ["record_id", "digest", *[c for c in names if c not in ("warc_file", "record_id", "digest")]]
+    placed = running_total(copies, "warc_file", "_bucket", order, "_bytes", "_start")
+    parts = placed.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES).cast("long")))).repartition("warc_file", "digest", "_from")
+    each = parts.withColumn("_copy", F.explode(F.sequence("_from", F.least(F.col("_from") + COPIES, F.col("_n")) - 1)))
+    return each.select(*names, (F.col("_start") + F.col("_copy") * F.col("length")).cast("long").alias("offset"))
 
 
 def tree(records: DataFrame, range_bytes: int = RANGE_BYTES, fan: int = FAN, levels: int = 1) -> DataFrame:

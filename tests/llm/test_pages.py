@@ -158,3 +158,24 @@ def test_only_differing_branches_are_read(spark):
     a, b = (fixity.tree(replica(spark, r), range_bytes=200, fan=4, levels=4) for r in (rows, other))
     assert a.where("level = 4").count() == 1
     assert [(r.warc_file, r.node) for r in fixity.differing(a, b, 4, fan=4).collect()] == [("f", 38)]
+
+
+def test_offsets_of_a_hot_file(spark):
+    """Copies and repeated ids: offsets by brute force, and no task lists a whole file."""
+    rows = [("f", 7, 10 + i % 5, sha256(str(i % 700).encode()).hexdigest()) for i in range(0, 3500)]
+    rows += [("none-1", None, 9, "a" * 64)] * 3000 + [("g", i, i, sha256(str(i).encode()).hexdigest()) for i in range(20)]
+    random.Random(3).shuffle(rows)
+    records = spark.createDataFrame(rows, "warc_file string, record_id bigint, length bigint, digest string")
+    found = fixity.with_offsets(records)
+    at, wanted = Counter(), []
+    for row in sorted(rows, key=lambda r: (r[0], r[1] or 0, r[3], r[2])):
+        wanted.append((*row, at[row[0]]))
+        at[row[0]] += row[2]
+    key = lambda r: (r[0], r[4], r[2])
+    got = [(r.warc_file, r.record_id, r.length, r.digest, r.offset) for r in found.collect()]
+    assert sorted(got, key=key) == sorted(wanted, key=key)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert fixity.with_offsets(records).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).max() < 3000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
