@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentweave.llm import content_sort, fixity, mixing, outliers, packing, quality, scoring, sharding, simhash, urls
+from talentweave.llm import content_sort, divergence, fixity, mixing, outliers, packing, quality, scoring, sharding, simhash, urls
 from talentweave.llm.columns import id_remainder, table
 from talentweave.plans.storage import materialize
 
@@ -218,3 +218,41 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored(docs, machine).select(
         "doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"),
         (F.col("_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op11_source_divergence", r"""
+    WITH rows AS (
+        SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+        FROM documents
+    ), groups AS (SELECT DISTINCT lang, source FROM rows), found AS (
+        SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM rows
+    ), kept AS (
+        SELECT lang, term, count(*) AS total FROM found GROUP BY lang, term HAVING count(DISTINCT doc) >= 3
+    ), counts AS (
+        SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL
+    ), langs AS (
+        SELECT lang, count(*) AS terms, sum(total) AS size FROM kept GROUP BY lang
+    ), sized AS (
+        SELECT g.lang, g.source, coalesce(terms, 0) AS terms, coalesce(sum(n), 0) AS size
+        FROM groups g LEFT JOIN langs l ON g.lang = l.lang LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL
+    ), points AS (
+        SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n,
+               (1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (s.size + s.terms))::BIGINT AS p,
+               (1 + 1000000000::HUGEINT * (k.total + 1) // (l.size + l.terms))::BIGINT AS q
+        FROM sized s JOIN langs l ON s.lang = l.lang JOIN kept k ON s.lang = k.lang
+        LEFT JOIN counts c ON s.lang = c.lang AND s.source = c.source AND k.term = c.term
+    ), pairs AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+        FROM points a JOIN points b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ), valued AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pairs p ON a.lang = p.lang AND a.source = p.source AND b.source = p.item
+        UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM points WHERE n > 0 AND p > q
+    )
+    SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+    FROM valued QUALIFY part = 'pair' OR rank <= 200
+""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
