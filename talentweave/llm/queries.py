@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentweave.llm import content_sort, divergence, fixity, mixing, outliers, packing, quality, scoring, sharding, simhash, urls
+from talentweave.llm import content_sort, divergence, extraction, fixity, mixing, outliers, packing, quality, retrieval, scoring, sharding, simhash, urls
 from talentweave.llm.columns import id_remainder, table
 from talentweave.plans.storage import materialize
 
@@ -256,3 +256,35 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
+
+
+@query("op12_ball_tree_search", r"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents
+    ), items AS (
+        SELECT row_number() OVER () AS query, item_id, unnest(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark
+    ), size AS (
+        SELECT count(*) FILTER (len(terms) > 0) AS docs, sum(len(terms))::BIGINT AS terms FROM docs
+    ), found AS (
+        SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) GROUP BY row, term
+    ), weights AS (
+        SELECT term, floor(1000 * ln((2 * any_value(s.docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM found, size s GROUP BY term
+    ), scored AS (
+        SELECT query, item_id, row, doc_id, sum(w * (1000000000 * tf // (1000 * tf + 12 * (100 - 25 + 25 * len(d.terms) * s.docs // s.terms))))::BIGINT AS score
+        FROM items JOIN found USING (term) JOIN weights USING (term) JOIN docs d USING (row), size s GROUP BY query, item_id, row, doc_id
+    )
+    SELECT item_id, (row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 20
+""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_dom_marginals")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    found = extraction.extracted(table(spark, folder, "pages").select("page_id", "url", "html"), out="text")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
