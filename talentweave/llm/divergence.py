@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talentweave.llm.spans import byte_table, spans
 from talentweave.llm.words import slices
 from talentweave.plans.storage import materialize
 
@@ -27,35 +28,16 @@ MIN_DOCUMENTS = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
 SLAB_BYTES = 1 << 24  # text counted at a time; a longer text is a slab of its own
-CELLS = 1 << 21  # terms times sources in one block of comparisons
+CELLS = 1 << 18  # terms times sources in one block of comparisons
 
 COUNT_FIELDS = "lang string, source string, term string, n bigint, docs bigint"
 PAIR_FIELDS = "lang string, source string, item string, value bigint"
 
-#: What a byte becomes: letters their lower case, bytes of characters outside ASCII themselves, all others 0.
-LETTERS = np.zeros(256, "u1")
-LETTERS[ord("A"):ord("Z") + 1] = LETTERS[ord("a"):ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
-LETTERS[128:] = np.arange(128, 256)
+LETTERS = byte_table(digits=False)
 #: By number of bytes: the bits of a word that they fill.
 FILLED = np.array([((1 << 8 * n) - 1) << 8 * (8 - n) for n in range(9)], "uint64")
 
 
-def _spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Mapped bytes of all texts, where each term starts, its length, and the number of its text."""
-    data = texts.cast(pa.large_binary())
-    ends = np.frombuffer(data.buffers()[1], "int64")[data.offset:data.offset + len(data) + 1]
-    raw = np.frombuffer(data.buffers()[2] or b"", "u1")[ends[0]:ends[-1]]
-    mapped, ends = LETTERS[raw], ends - ends[0]
-    inside = np.concatenate([[False], mapped != 0, [False]])
-    edges = inside[1:] != inside[:-1]
-    starts, stops = np.flatnonzero(edges & inside[1:]), np.flatnonzero(edges & inside[:-1])
-    # Terms that touch at a border between texts are parted there.
-    borders = np.unique(ends[1:-1])
-    borders = borders[inside[borders] & inside[borders + 1]]
-    starts, stops = (np.sort(np.concatenate([side, borders])) for side in (starts, stops))
-    return mapped, starts, stops - starts, np.searchsorted(ends, starts, side="right") - 1
-
-
 def _windows(mapped: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """``width`` bytes from each place on; behind the end there are zeros."""
     padded = np.concatenate([mapped, np.zeros(width, "u1")])
@@ -94,7 +76,7 @@ def _runs(columns: list[np.ndarray], docs: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _counted(texts: pa.Array, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Group, term, occurrences and documents of each different (group, term), a bucket of lengths at a time."""
-    mapped, starts, lengths, doc = _spans(texts)
+    mapped, starts, lengths, doc = spans(texts, LETTERS)
     width = 8
     while len(starts):
         here = lengths <= width
