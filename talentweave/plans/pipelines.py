@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from talentweave.config import (
     DIMENSION_WEIGHTS, TARGET_KEYS, TITLE_SUFFIXES, PassageConfig, QueryConfig, RecallConfig, RerankConfig, RetryConfig,
 )
-from talentweave.functions import pointers
+from talentweave.functions import pointers, strict
 from talentweave.functions import text as X
 from talentweave.functions import vectors as V
 from talentweave.functions.rows import explode_rows
@@ -22,6 +22,7 @@ from talentweave.operators import (
 from talentweave.plans.storage import materialize
 from talentweave.schemas import REPORT, RESUME
 from talentweave.sources import intake, responses
+from talentweave.sources.store import ResultStore
 
 Hook = Callable[[DataFrame], DataFrame]
 
@@ -138,6 +139,37 @@ def ingest_resumes(
     return intake.ingest_json(extracted, json_column, schema)
 
 
+def process_documents(
+    documents: DataFrame, store: ResultStore, order: str, *, parse: Hook | None = None, extract: Hook | None = None,
+    json_column: str = "output_text", schema: T.StructType = RESUME, required: list[str] | None = None, force_refresh: bool = False,
+) -> DataFrame:
+    """Every distinct document with its record: a stored one, or else a new one, which is then stored.
+
+    Rows have ``order``, ``document_hash``, ``ingest_status``, ``record``, ``schema_errors`` and ``from_cache``. Only good
+    records are stored, so a document that failed is tried again by the next run; ``force_refresh`` computes all anew and replaces what is
+    stored. The hooks run once for each document that is computed.
+    """
+    once = materialize(intake.distinct_documents(documents, order), "distinct-documents")
+    stored = None if force_refresh else store.find(once)
+    if stored is not None:
+        stored = materialize(stored, "stored-records")
+    fresh = once if stored is None else once.join(stored.select("document_hash"), "document_hash", "left_anti")
+    extracted = (extract or _as_is)((parse or _as_is)(fresh))
+    columns = [order, "document_hash", "ingest_status", "record", "schema_errors"]
+    ingested = materialize(intake.ingest_json(extracted, json_column, schema, required).select(*columns), "ingested")
+    store.save(ingested.where(F.col("ingest_status") == "ok").select("document_hash", "record"), replace=force_refresh)
+    computed = ingested.withColumn("from_cache", F.lit(False))
+    if stored is None:
+        return computed
+    known = once.select(order, "document_hash").join(stored, "document_hash").select(
+        order, "document_hash", F.lit("ok").alias("ingest_status"), "record", strict.none().alias("schema_errors"), F.lit(True).alias("from_cache"))
+    return known.unionByName(computed)
+
+
+def _as_is(rows: DataFrame) -> DataFrame:
+    return rows
+
+
 def judge_resumes(ingested: DataFrame, key: str = "document_hash") -> DataFrame:
     """Quality per ingested résumé; a record that did not parse or breaks the schema needs review and cannot be analysed."""
     good = ingested.where(F.col("ingest_status") == "ok").select(F.col(key).alias("resume_id"), "record.*")

@@ -45,6 +45,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if it doesn't exist."""
+    files, place = _file_system(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
     """Delete materialised tables that no pending DataFrame reads any more, and forget their paths."""
     while paths:

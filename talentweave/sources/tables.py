@@ -47,5 +47,9 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str, run_date: str) -> None:
-    """One JSON document per résumé, filed under the date of the run."""
-    results.withColumn("run_date", F.lit(run_date)).write.mode("append").partitionBy("run_date").json(path)
+    """One JSON document per résumé, filed under the date of the run.
+
+    Writing a date again replaces what it has and leaves other dates alone; without rows nothing changes.
+    """
+    dated = results.withColumn("run_date", F.lit(run_date))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").json(path)
