@@ -52,3 +52,31 @@ def pointer_problem(path: Column, leaf: Column) -> Column:
         .when(leaf.isNull(), "not_found")
         .when(X.is_blank(leaf), "blank")
     )
+
+
+#: Keys that a path of ``variant_get`` can name; others are looked up in a map of the object.
+PLAIN_KEY = r"^[^'\"\[\]?\\]+\z"
+INDEX = r"^(0|[1-9][0-9]{0,8})\z"
+
+
+def _child(value: Column, token: Column) -> Column:
+    """The member or element of a VARIANT that a token names, or NULL."""
+    plain = F.try_variant_get(value, F.concat(F.lit("$['"), token, F.lit("']")), "variant")
+    odd = F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), token)
+    member = F.when(token.rlike(PLAIN_KEY), plain).otherwise(odd)
+    element = F.when(token.rlike(INDEX), F.try_variant_get(value, F.concat(F.lit("$["), token, F.lit("]")), "variant"))
+    # Nothing but objects has members, and nothing but lists has elements.
+    return F.coalesce(member, element)
+
+
+def variant_text(document: Column, path: Column) -> Column:
+    """The text that a JSON pointer names in a VARIANT of any shape; NULL for what isn't text or isn't there.
+
+    A pointer is followed token by token, inside the row, so only what it passes is looked at. A token without leading zeros may be
+    the place of an element, any token the name of a member.
+    """
+    escaped = F.split(F.substr(path, F.lit(2)), "/")
+    tokens = F.transform(escaped, lambda t: F.replace(F.replace(t, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+    leaf = F.aggregate(tokens, document, _child)
+    valid = path.rlike(POINTER) & (F.schema_of_variant(leaf) == "STRING")
+    return F.when(valid, F.try_variant_get(leaf, "$", "string"))

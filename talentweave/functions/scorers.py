@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from talentweave.config import TITLE
 from talentweave.functions import text as X
 
+SCORE_ERROR = "score_error"  # column in which a scorer says why a pair has no score; scorers that can't fail have none
 
 
 class JaccardScorer:
@@ -50,6 +51,8 @@ class ModelScorer:
 
     The model is made once per Python worker process. Equal pairs are scored once: the table of distinct pairs
     is keyed by a hash of both texts, so the texts move through one exchange and come back as a score.
+    A pair without a usable score has NULL and the reason in ``score_error``; where a batch fails its pairs are scored one by one, so that
+    the others keep theirs. A factory that fails fails the job, since no pair could be scored.
     """
 
     def __init__(self, factory: Callable[[], Callable[[list], Sequence[float]]], model_name: str, batch_size: int = 8):
@@ -61,24 +64,32 @@ class ModelScorer:
     def score(self, rows: DataFrame, left: str, right: str, out: str) -> DataFrame:
         held, size = model_of(self.factory), self.batch_size
 
-        @F.pandas_udf("double")
-        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @F.pandas_udf("score double, error string")
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             model = held()
             for a, b in batches:
                 pairs = list(zip(a, b, strict=True))
-                scores: list[float] = []
-                for start in range(0, len(pairs), size):
-                    part = pairs[start:start + size]
-                    got = [float(s) for s in model(part)]
-                    if len(got) != len(part) or not all(0.0 <= s <= 1.0 for s in got):
-                        raise ValueError("a pair scorer must return one score in [0, 1] per pair")
-                    scores += got
-                yield pd.Series(scores, dtype="float64")
+                found = [r for start in range(0, len(pairs), size) for r in _scored(model, pairs[start:start + size])]
+                yield pd.DataFrame(found, columns=["score", "error"]).astype({"score": "float64", "error": "object"})
 
         keyed = rows.withColumn("_pair", F.sha2(F.concat_ws("\x00", F.col(left), F.col(right)), 256))
         distinct = keyed.select("_pair", left, right).dropDuplicates(["_pair"])
-        scored = distinct.select("_pair", run(left, right).alias(out))
-        return keyed.join(scored, "_pair").drop("_pair")
+        scored = distinct.select("_pair", run(left, right).alias("_found")).select(
+            "_pair", F.when(F.col("_found.error").isNull(), F.col("_found.score")).alias(out), F.col("_found.error").alias(SCORE_ERROR))
+        return keyed.drop(SCORE_ERROR).join(scored, "_pair").drop("_pair")
+
+
+def _scored(model: Callable[[list], Sequence[float]], pairs: list) -> list[tuple[float | None, str | None]]:
+    """Score and error of each pair: one call for all, and one for each of them if that fails."""
+    try:
+        got = [float(s) for s in model(pairs)]
+    except Exception as exc:  # a model may raise anything
+        if len(pairs) > 1:
+            return [r for pair in pairs for r in _scored(model, [pair])]
+        return [(None, type(exc).__name__)]
+    if len(got) != len(pairs):
+        return [r for pair in pairs for r in _scored(model, [pair])] if len(pairs) > 1 else [(None, "score_count")]
+    return [(s, None) if 0.0 <= s <= 1.0 else (None, "score_out_of_range") for s in got]
 
 
 def hashed_ngrams(texts: Sequence[str], dim: int, n: int = 3) -> np.ndarray:

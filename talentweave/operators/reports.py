@@ -132,16 +132,20 @@ def check_scoring(assessments: DataFrame, reports: DataFrame) -> DataFrame:
 def resolve_evidence(evidence: DataFrame, documents: DataFrame, keys: list[str]) -> DataFrame:
     """Evidence rows with the text their pointer names and why they fail, if they do.
 
-    ``evidence``: keys, source, path, quote. ``documents``: keys plus one nested struct column per
-    source. Each document row builds one map of its text leaves; there is no row per leaf.
+    ``evidence``: keys, source, path, quote. ``documents``: keys plus one column per source: a nested struct, of which each
+    document row builds one map of its text leaves, or a VARIANT of any shape, in which pointers are followed.
+    There is no row per leaf.
     """
     sources = [f for f in documents.schema.fields if f.name not in keys]
     leaves = documents.select(*keys, *[
-        pointers.text_leaves(F.col(f.name), f.dataType).alias("_" + f.name) for f in sources
+        (F.col(f.name) if isinstance(f.dataType, T.VariantType) else pointers.text_leaves(F.col(f.name), f.dataType)).alias("_" + f.name)
+        for f in sources
     ])
     leaf = F.lit(None).cast("string")
     for f in sources:
-        if isinstance(f.dataType, T.StructType):
+        if isinstance(f.dataType, T.VariantType):
+            leaf = F.when(F.col("source") == f.name, pointers.variant_text(F.col("_" + f.name), F.col("path"))).otherwise(leaf)
+        elif isinstance(f.dataType, T.StructType):
             leaf = F.when(F.col("source") == f.name, F.try_element_at(F.col("_" + f.name), F.col("path"))).otherwise(leaf)
     located = evidence.join(leaves, keys, "left").withColumn("leaf", leaf)
     problem = F.coalesce(

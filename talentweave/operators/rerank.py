@@ -6,13 +6,15 @@ meets at most ``max_passages`` passages. Scores travel without their texts after
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentweave.config import SECTION_PRIORITY, TARGET_KEYS, TITLE, RerankConfig
 from talentweave.functions import text as X
 from talentweave.functions.rows import explode_rows
-from talentweave.functions.scorers import JaccardScorer
+from talentweave.functions.scorers import SCORE_ERROR, JaccardScorer
 from talentweave.operators.passages import selected_passages
 from talentweave.operators.recall import RANK_DIGITS, _by_value
 
@@ -92,7 +94,7 @@ def score_pairs_input(titles: DataFrame, support: DataFrame) -> DataFrame:
 
 
 def score_pairs(pairs: DataFrame, scorer=None, out: str = "score") -> DataFrame:
-    """Add a score in [0, 1] to every pair of non-blank texts."""
+    """Add a score in [0, 1] to every pair of non-blank texts; with a scorer that may fail also ``score_error``."""
     scorer = scorer or JaccardScorer()
     ready = pairs.where(~X.is_blank(F.col("left_text")) & ~X.is_blank(F.col("right_text")))
     for side in ("left", "right"):
@@ -109,8 +111,17 @@ def title_scores(recalled: DataFrame, documents: DataFrame, scorer=None) -> Data
 
 
 def best_scores(scored: DataFrame) -> DataFrame:
-    """Best score of each (target, JD, query): all that the support score needs, by hash aggregation."""
-    return scored.groupBy(*CANDIDATE_KEYS, "query_id", "query_type").agg(F.max("score").alias("score"))
+    """Best score of each (target, JD, query): all that the support score needs, by hash aggregation. An error stays beside it."""
+    errors = [F.min(SCORE_ERROR).alias(SCORE_ERROR)] if SCORE_ERROR in scored.columns else []
+    return scored.groupBy(*CANDIDATE_KEYS, "query_id", "query_type").agg(F.max("score").alias("score"), *errors)
+
+
+def scoring_errors(*scored: DataFrame) -> DataFrame | None:
+    """``resume_id, target_id, error``: targets that have a pair without a score, with the least error; None if nothing can fail."""
+    failing = [s.where(F.col(SCORE_ERROR).isNotNull()).select(*TARGET_KEYS, SCORE_ERROR) for s in scored if SCORE_ERROR in s.columns]
+    if not failing:
+        return None
+    return reduce(DataFrame.unionByName, failing).groupBy(*TARGET_KEYS).agg(F.min(SCORE_ERROR).alias("error"))
 
 
 def best_passages(scored: DataFrame) -> DataFrame:

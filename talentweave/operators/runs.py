@@ -13,6 +13,8 @@ from talentweave.config import RetryConfig
 from talentweave.functions import text as X
 
 JOB_KEYS = ["resume_id", "jd_id"]
+#: States of a job.
+JOB_STATUSES = ("pending", "running", "retry_pending", "succeeded", "failed")
 
 
 def analysis_jobs(bindings: DataFrame) -> DataFrame:
@@ -23,8 +25,9 @@ def analysis_jobs(bindings: DataFrame) -> DataFrame:
 
 
 def numbered_attempts(attempts: DataFrame, cfg: RetryConfig = RetryConfig()) -> DataFrame:
-    """The deciding rows of each job with their 1-based ``attempt_number``."""
-    order = Window.partitionBy(*JOB_KEYS).orderBy("ts", "event_id")
+    """The deciding rows of each job with their 1-based ``attempt_number``; a column ``round`` goes before the time."""
+    known = [c for c in ("round", "ts", "event_id") if c in attempts.columns]
+    order = Window.partitionBy(*JOB_KEYS).orderBy(*known)
     return attempts.withColumn("attempt_number", F.row_number().over(order)).where(
         F.col("attempt_number") <= cfg.max_retries + 1
     )
@@ -70,9 +73,10 @@ def job_rules(cfg: RetryConfig) -> dict[str, Column]:
     budget_left = tries < cfg.max_retries
     out_of_step = F.exists(F.transform(errors, lambda e, i: e["attempt_number"] != i + 1), lambda wrong: wrong)
     return {
+        "unknown_status": ~status.isin(*JOB_STATUSES),
         # the report and its job
         "report_iff_succeeded": done != F.col("has_report"),
-        "report_of_other_jd": F.col("has_report") & (F.col("report_jd_id") != F.col("jd_id")),
+        "report_of_other_jd": F.col("has_report") & ~F.col("report_jd_id").eqNullSafe(F.col("jd_id")),
         # the log and the counters
         "pending_with_history": (status == "pending") & ((tries > 0) | (logged > 0)),
         "error_count": logged != tries + one_more,
@@ -88,13 +92,13 @@ def job_rules(cfg: RetryConfig) -> dict[str, Column]:
 
 
 def check_job_states(states: DataFrame, cfg: RetryConfig = RetryConfig()) -> DataFrame:
-    """Stored job states that break a rule, with the first one.
+    """Stored job states that break a rule, with the first one. A rule that NULL leaves undecided counts as broken.
 
     ``states``: resume_id, jd_id, status, has_report, retry_count, errors array<struct<attempt_number,retryable>>, and
     optionally report_jd_id.
     """
     rows = states if "report_jd_id" in states.columns else states.withColumn("report_jd_id", F.col("jd_id"))
-    broken = F.array_compact(F.array(*[F.when(wrong, F.lit(name)) for name, wrong in job_rules(cfg).items()]))
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(wrong, F.lit(True)), F.lit(name)) for name, wrong in job_rules(cfg).items()]))
     return rows.withColumn("rule", F.get(broken, F.lit(0))).where(F.col("rule").isNotNull()).select(*JOB_KEYS, "status", "rule")
 
 
@@ -130,7 +134,7 @@ def run_status(states: DataFrame) -> DataFrame:
 
 
 def retry_schedule(folded: DataFrame, hints: DataFrame | None = None, cfg: RetryConfig = RetryConfig()) -> DataFrame:
-    """Delay and earliest time of the next attempt of every job that waits for one."""
+    """Delay and earliest time of the next attempt of every job that waits for one. ``hints``: retry_after_seconds by job."""
     waiting = folded.where(F.col("status") == "retry_pending")
     hint = F.lit(None).cast("double")
     if hints is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +15,11 @@ from talentweave.functions import pointers, strict
 from talentweave.functions import text as X
 from talentweave.functions import vectors as V
 from talentweave.functions.rows import explode_rows
-from talentweave.functions.scorers import JaccardScorer
+from talentweave.functions.scorers import SCORE_ERROR, JaccardScorer
 from talentweave.operators import (
     assemble, exact, intents, passages, quality, query_units, recall, reports, rerank, runs, similarity, state,
 )
-from talentweave.plans.storage import materialize
+from talentweave.plans.storage import exists, materialize
 from talentweave.schemas import REPORT, RESUME
 from talentweave.sources import intake, responses
 from talentweave.sources.store import ResultStore
@@ -45,16 +45,26 @@ def rerank_targets(
     targets: DataFrame, recalled: DataFrame, queries: DataFrame, jd: DataFrame, *, scorer=None,
     cfg: RerankConfig = RerankConfig(), passage_cfg: PassageConfig = PassageConfig(),
 ) -> DataFrame:
-    """Decision per target from its recalled JDs; ``recalled`` is read several times, so pass a stored table."""
+    """Decision per target from its recalled JDs; ``recalled`` is read several times, so pass a stored table.
+
+    With a scorer that may fail rows have ``error``; a target with a pair that has no score gets no candidates, other targets are not touched.
+    """
     scorer = scorer or JaccardScorer()
     wanted = jd.join(recalled.select(F.col("jd_id").alias("id")), "id", "left_semi")
     documents = materialize(passages.jd_documents(wanted, passage_cfg), "jd-documents")
     titles = rerank.title_scores(recalled, documents, scorer)
     pairs = rerank.support_pairs(recalled, queries, documents, cfg, scorer.prepare)
-    types = rerank.support_type_scores(rerank.best_scores(rerank.score_pairs(pairs, scorer)), cfg)
+    best = rerank.best_scores(rerank.score_pairs(pairs, scorer))
+    failed = None
+    if SCORE_ERROR in titles.columns:
+        titles, best = materialize(titles, "title-scores"), materialize(best, "support-scores")  # a model scores each pair once
+        failed = materialize(rerank.scoring_errors(titles, best), "scoring-errors")
+        titles, best = (s.drop(SCORE_ERROR).join(failed, TARGET_KEYS, "left_anti") for s in (titles, best))
+    types = rerank.support_type_scores(best, cfg)
     ranked = rerank.ranked_rerank(rerank.rerank_candidates(titles, types, cfg), cfg)
     missing = rerank.missing_documents(recalled, documents)
-    return rerank.rerank_decision(targets, recalled, missing, ranked, cfg)
+    decided = rerank.rerank_decision(targets, recalled, missing, ranked, cfg)
+    return decided if failed is None else decided.join(failed, TARGET_KEYS, "left")
 
 
 def semantic_match(
@@ -66,7 +76,7 @@ def semantic_match(
 
     ``embed`` adds ``embedding`` to the query units, and may add ``error`` where it failed. ``rejected`` (resume_id,
     target_id, jd_id) keeps JDs a person has turned down from coming back. A unit that failed, or whose vector is unusable,
-    gives its target the column ``error`` and no candidates; other targets are not touched.
+    or a pair that got no score gives its target the column ``error`` and no candidates; other targets are not touched.
     """
     arrays = materialize(query_units.unit_arrays(targets, resumes, query_cfg), "query-units")
     units = query_units.explode_units(arrays)
@@ -89,8 +99,11 @@ def semantic_match(
     decided = rerank_targets(
         heads, recalled, units, jd, scorer=scorer, cfg=rerank_cfg, passage_cfg=passage_cfg
     )
-    return decided.withColumn("warnings", F.array_distinct(F.concat("build_warnings", "decision_warnings"))).join(
-        failed, TARGET_KEYS, "left")
+    told = decided.withColumn("warnings", F.array_distinct(F.concat("build_warnings", "decision_warnings")))
+    if "error" not in told.columns:
+        return told.join(failed, TARGET_KEYS, "left")
+    both = told.withColumnRenamed("error", "_score_error").join(failed, TARGET_KEYS, "left")
+    return both.withColumn("error", F.coalesce("error", "_score_error")).drop("_score_error")
 
 
 def match_resumes(
@@ -244,7 +257,8 @@ def report_problem(bound_ids: Column, resume_text: Column, jd_text: Column) -> C
 def judge_responses(stored: DataFrame, inputs: DataFrame) -> DataFrame:
     """Stored model responses as attempt-log rows.
 
-    ``stored``: resume_id, jd_id, event_id, ts and the response columns of ``triage_responses``. The
+    ``stored``: resume_id, jd_id, event_id, ts and the response columns of ``triage_responses``, and where the service says
+    how long to wait also retry_after, the text of that header. The
     inputs are joined once per response; all rules are then checked inside the row.
     """
     jd_type = inputs.schema["matched_jds"].dataType.elementType
@@ -265,6 +279,7 @@ def judge_responses(stored: DataFrame, inputs: DataFrame) -> DataFrame:
         F.col("code").isNull(), report_problem(F.col("bound_ids"), F.col("resume_text"), F.col("jd_text"))
     )
     judged = rows.withColumn("problem", problem)
+    said = [X.retry_after(F.col("retry_after")).alias("retry_after_seconds")] if "retry_after" in stored.columns else []
     failed_check = F.col("problem").isNotNull()
     return judged.select(
         *runs.JOB_KEYS, "event_id", "ts",
@@ -272,7 +287,7 @@ def judge_responses(stored: DataFrame, inputs: DataFrame) -> DataFrame:
         F.when(failed_check, F.col("problem") != "not_bound").otherwise(F.coalesce("retryable", F.lit(True))).alias("retryable"),
         F.when(failed_check, "output_validate").otherwise(F.col("stage")).alias("stage"),
         F.when(failed_check, "report_validation_failed").otherwise(F.col("code")).alias("code"),
-        "problem", F.when(~failed_check, F.col("report")).alias("report"),
+        "problem", F.when(~failed_check, F.col("report")).alias("report"), *said,
     )
 
 
@@ -282,15 +297,75 @@ def check_analysis_runs(
     """Requests to the user's analyzer, its responses judged, attempts folded, runs rolled up."""
     requests = responses.analysis_requests(inputs)
     attempts = materialize(judge_responses(analyze(requests), inputs), "attempts")
+    return _outcome(attempts, runs.analysis_jobs(bindings), cfg)
+
+
+def _outcome(attempts: DataFrame, jobs: DataFrame, cfg: RetryConfig) -> dict[str, DataFrame]:
+    """What a stored attempt log comes to."""
     folded = runs.attempt_fold(attempts, cfg)
-    states = runs.job_states(runs.analysis_jobs(bindings), folded)
+    states = runs.job_states(jobs, folded)
     status = runs.run_status(states)
+    last = [*runs.JOB_KEYS, "last_event_id"]
     won = attempts.where("succeeded").select(*runs.JOB_KEYS, F.col("event_id").alias("last_event_id"), "report")
-    done = folded.where(F.col("status") == "succeeded").select(*runs.JOB_KEYS, "last_event_id")
-    kept = won.join(done, [*runs.JOB_KEYS, "last_event_id"]).drop("last_event_id")
+    done = folded.where(F.col("status") == "succeeded").select(*last)
+    kept = won.join(done, last).drop("last_event_id")
+    hints = None
+    if "retry_after_seconds" in attempts.columns:
+        said = attempts.select(*runs.JOB_KEYS, F.col("event_id").alias("last_event_id"), "retry_after_seconds")
+        hints = said.join(folded.select(*last), last).drop("last_event_id")
     return {
         "attempts": attempts, "states": states, "run_status": status,
         "outputs": runs.final_outputs(states, status, kept),
         "late_attempts": runs.check_attempts(attempts, folded),
-        "retries": runs.retry_schedule(folded, cfg=cfg),
+        "retries": runs.retry_schedule(folded, hints, cfg),
     }
+
+
+def analyze_to_end(
+    inputs: DataFrame, bindings: DataFrame, analyze: Hook, log: str, cfg: RetryConfig = RetryConfig(),
+    wait: Callable[[float], None] | None = None,
+) -> dict[str, DataFrame]:
+    """Ask the user's analyzer for all jobs, then again for those that may be retried, until every job has ended.
+
+    ``analyze`` gets resume_id, jd_id, n_bindings, payload and ``attempt`` of the jobs of a round and returns stored responses. Each round is a
+    folder below ``log``; only a round that was written as a whole counts, so a run that broke goes on after its last whole round when it
+    is started again. A job that gets no response has an attempt that may be retried (``no_response``), one without input
+    fails for good (``no_input``); responses of jobs that were not asked for are left out. There are at most ``cfg.max_retries + 1`` rounds.
+    ``wait`` is called between rounds with the longest delay of a job that waits, in seconds. The result is that of ``check_analysis_runs``.
+    """
+    spark = inputs.sparkSession
+    jobs = materialize(runs.analysis_jobs(bindings), "analysis-jobs")
+    requests = materialize(responses.analysis_requests(inputs), "analysis-requests")
+    done = 0
+    while exists(spark, f"{log}/round={done + 1}/_SUCCESS"):
+        done += 1
+    while True:
+        outcome = _outcome(_attempt_log(spark, log, done), jobs, cfg) if done else None
+        states = jobs.withColumns({"status": F.lit("pending"), "attempts": F.lit(None).cast("long")}) if outcome is None else outcome["states"]
+        todo = materialize(runs.runnable_jobs(states).select(
+            *runs.JOB_KEYS, (F.coalesce("attempts", F.lit(0)) + 1).cast("int").alias("attempt")), "runnable-jobs")
+        if done > cfg.max_retries or todo.isEmpty():
+            break
+        if outcome is not None and wait is not None:
+            wait(outcome["retries"].agg(F.max("delay_seconds")).first()[0] or 0.0)
+        done += 1
+        asked = requests.join(todo, runs.JOB_KEYS)
+        judged = materialize(judge_responses(analyze(asked).join(todo.select(*runs.JOB_KEYS), runs.JOB_KEYS, "left_semi"), inputs), "judged")
+        silent = todo.join(judged.select(*runs.JOB_KEYS).distinct(), runs.JOB_KEYS, "left_anti").join(
+            requests.select(*runs.JOB_KEYS, F.lit(True).alias("_asked")), runs.JOB_KEYS, "left")
+        code = F.when(F.col("_asked"), "no_response").otherwise("no_input")
+        made = {
+            "event_id": F.lit(-done), "ts": F.localtimestamp(), "succeeded": F.lit(False), "retryable": code == "no_response",
+            "stage": F.lit("llm_call"), "code": code}
+        missing = silent.select(*[
+            c if c in runs.JOB_KEYS else made.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in judged.dtypes])
+        judged.unionByName(missing).write.mode("overwrite").parquet(f"{log}/round={done}")
+    if outcome is None:
+        none = judge_responses(analyze(requests.withColumn("attempt", F.lit(1)).limit(0)), inputs)
+        outcome = _outcome(materialize(none, "attempts"), jobs, cfg)
+    return outcome
+
+
+def _attempt_log(spark: SparkSession, log: str, rounds: int) -> DataFrame:
+    folders = [f"{log}/round={n}" for n in range(1, rounds + 1)]
+    return spark.read.option("basePath", log).parquet(*folders)

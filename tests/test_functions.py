@@ -1,6 +1,9 @@
+import itertools
+import json
 import math
-import numpy as np
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,10 +116,18 @@ def test_scorers_agree_on_equal_pairs(spark):
     assert prepared(ModelScorer(factory, "m")) == prepared(JaccardScorer())
 
 
-def test_scorer_out_of_range_is_an_error(spark):
-    rows = spark.createDataFrame([("a", "b")], "l string, r string")
-    with pytest.raises(Exception, match="one score in"):
-        ModelScorer(lambda: lambda batch: [1.5] * len(batch), "m").score(rows, "l", "r", "s").collect()
+def test_a_pair_without_a_usable_score_has_an_error(spark):
+    rows = spark.createDataFrame([(t, "b") for t in ("high", "raises", "good", "short", "nan")], "l string, r string").coalesce(1)
+
+    def score(batch):
+        if any(a == "raises" for a, _ in batch):
+            raise KeyError("x")
+        return [{"high": 1.5, "nan": math.nan}.get(a, 0.25) for a, _ in batch if a != "short"]
+
+    found = ModelScorer(lambda: score, "m").score(rows, "l", "r", "s").collect()
+    assert {(r.l, r.s, r.score_error) for r in found} == {
+        ("high", None, "score_out_of_range"), ("raises", None, "KeyError"), ("good", 0.25, None), ("short", None, "score_count"),
+        ("nan", None, "score_out_of_range")}
 
 
 def test_embedding_gives_unit_vectors_once_per_text(spark):
@@ -180,3 +191,30 @@ def test_hashed_ngrams_are_unit_vectors_of_the_text_alone():
     assert np.allclose(many[2], many[3]) and not np.allclose(many[2], many[4])
     near, far = hashed_ngrams(["data engineers", "sales manager"], 256) @ hashed_ngrams(["data engineer"], 256)[0]
     assert near > 0.8 > far
+
+
+def test_pointers_into_documents_of_any_shape(spark):
+    docs = [
+        '{"a": [{"b": "x"}, "y", {"0": "z", "c/d": {"~": "t"}}], "0": "q", "n": 1, "t": true, "e": null}', '["p", ["q"]]', "not json", '"root"', "null", None,
+        json.dumps({"a.b": {"x y": "v", "": "empty", "it's": "one", '"': "two", "'" + '"': "three", "[0]": "four", "?": "five", "b\\c": "six", "00": "zeros"}})]
+    tokens = ["a", "0", "1", "2", "b", "c~1d", "~0", "a.b", "x y", "", "it's", '"', "'" + '"', "[0]", "?", "b\\c", "00", "01", "n", "t", "e", "9999999999", "-1", "~2"]
+    paths = ["", "x", None, *["/" + "/".join(p) for n in (1, 2, 3) for p in itertools.product(tokens, repeat=n) if n < 3 or p[0] == "a"], "/a/2/c~1d/~0"]
+
+    def plain(doc, path):
+        if path is None or not re.fullmatch("(/([^~/]|~0|~1)*)+", path) or doc in ("not json", None):
+            return None
+        value = json.loads(doc)
+        for token in path[1:].split("/"):
+            token = token.replace("~1", "/").replace("~0", "~")
+            if isinstance(value, dict) and token in value:
+                value = value[token]
+            elif isinstance(value, list) and re.fullmatch("0|[1-9][0-9]*", token) and int(token) < len(value):
+                value = value[int(token)]
+            else:
+                return None
+        return value if isinstance(value, str) else None
+
+    rows = spark.createDataFrame([(d, p) for d in docs for p in paths], "doc string, path string")
+    got = rows.withColumn("leaf", pointers.variant_text(F.try_parse_json("doc"), F.col("path"))).collect()
+    assert sum(r.leaf is not None for r in got) > 15  # those that name a text
+    assert [(r.doc, r.path, r.leaf) for r in got if r.leaf != plain(r.doc, r.path)] == []

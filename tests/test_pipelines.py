@@ -1,9 +1,11 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentweave.functions.scorers import NgramEmbedder, embed_texts, embed_units
+from talentweave.functions.scorers import ModelScorer, NgramEmbedder, embed_texts, embed_units
 from talentweave.operators import assemble, state
 from talentweave.plans import pipelines
 from talentweave.schemas import RESPONSIBILITY, RESUME
@@ -151,6 +153,129 @@ def test_analysis_runs(spark):
     assert [(r.resume_id, r.jd_id, r.delay_seconds) for r in out["retries"].collect()] == [(2, 2, 1.0)]
 
 
+def job_inputs(spark, n):
+    jd = jds(spark)
+    people = resumes(spark, *[(i, "x", "engineer", "build spark pipelines", "spark") for i in range(n)])
+    rows = [(i, f"target_{k + 1}", k + 1, "x", (1, 2, 77)[k], "semantic", "complete", True) for i in range(n) for k in range(1 + (i % 4 > 0) + (i == 5))]
+    bindings = spark.createDataFrame(
+        rows, "resume_id long, target_id string, target_pos int, requested_job_title string, selected_jd_id long, source string, analysis_scope string, human_confirmed boolean")
+    good = bindings.where("selected_jd_id < 3")
+    return assemble.analysis_inputs(good, assemble.jd_clean(jd), people), bindings
+
+
+class Service:
+    """Answers jobs by a table of how often each fails first and how; counts what it was asked."""
+
+    def __init__(self, spark, plan, break_in=None):
+        self.spark, self.plan, self.break_in, self.asked = spark, plan, break_in, []
+
+    def __call__(self, requests):
+        if requests.isEmpty():
+            jobs = []
+        else:
+            jobs = [(r.resume_id, r.jd_id, r.attempt) for r in requests.select("resume_id", "jd_id", "attempt").collect()]
+            self.asked.append(sorted(jobs))
+        if self.break_in == len(self.asked):
+            raise RuntimeError("service went away")
+        rows = []
+        for r, j, attempt in jobs:
+            fails, how = self.plan[r, j]
+            text = {"{": "{", "refusal": "", "wrong": report(j, ["target_9"])}.get(how) if attempt <= fails else good_report(j)
+            if not (attempt <= fails and how == "silence"):
+                rows.append((r, j, attempt, text, "no" if attempt <= fails and how == "refusal" else None, "7.5" if how == "{" else None))
+        rows.append((99, 1, 1, "{", None, None))  # of a job nobody asked for
+        return self.spark.createDataFrame(
+            rows, "resume_id long, jd_id long, event_id long, content string, refusal string, retry_after string").selectExpr(
+            "*", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "1 AS n_choices", "'stop' AS finish_reason", "false AS has_tool_calls")
+
+
+def good_report(jd_id):
+    return report(jd_id, [f"target_{jd_id}"], quote={1: "build spark pipelines", 2: "prepare meals"}[jd_id])
+
+
+def plain_run(plan, bindings, retries):
+    """What a queue of jobs does, one job after the other."""
+    out = {}
+    for r, j in sorted(bindings):
+        if (r, j) not in plan:
+            out[r, j] = ("failed", 1)
+            continue
+        fails, how = plan[r, j]
+        tries = 1
+        while tries <= fails and how != "refusal" and tries <= retries:
+            tries += 1
+        out[r, j] = ("failed" if tries <= fails else "succeeded", tries)
+    return out
+
+
+def test_analysis_to_the_end_equals_a_plain_queue(spark, tmp_path):
+    rng = random.Random(3)
+    inputs, bindings = job_inputs(spark, 9)
+    jobs = [(r.resume_id, r.selected_jd_id) for r in bindings.collect()]
+    plan = {job: (rng.randint(0, 4), rng.choice(["{", "refusal", "wrong", "silence"])) for job in jobs if job[1] < 3}
+    wanted, waits = plain_run(plan, jobs, 2), []
+    service = Service(spark, plan)
+    out = pipelines.analyze_to_end(inputs, bindings, service, str(tmp_path / "log"), wait=waits.append)
+    assert {(r.resume_id, r.jd_id): (r.status, r.attempts) for r in out["states"].collect()} == wanted
+    assert {s for s, _ in wanted.values()} == {"failed", "succeeded"} and len(service.asked) == 3
+    for n, asked in enumerate(service.asked, 1):
+        assert asked == sorted((*job, n) for job, (_, tries) in wanted.items() if tries >= n and job in plan)
+    # A service that says how long to wait is not asked sooner; otherwise delays double.
+    assert waits == [7.5 if any(plan[j][1] == "{" and wanted[j][1] > n for j in plan) else 2.0 ** (n - 1) for n in (1, 2)]
+    done = {r for r in range(9) if all(s == "succeeded" for (i, _), (s, _) in wanted.items() if i == r)}
+    reports = {r.resume_id: [a.report.jd_id for a in r.job_analyses] for r in out["outputs"].collect()}
+    assert reports == {r: [j for i, j in sorted(wanted) if i == r] for r in done} and done
+    codes = {r.code for r in out["attempts"].collect()}
+    assert {"no_input", "no_response", "invalid_json", "model_refusal", "report_validation_failed"} <= codes
+    # Once all jobs have ended nothing is asked again.
+    again = Service(spark, plan)
+    assert pipelines.analyze_to_end(inputs, bindings, again, str(tmp_path / "log"))["attempts"].count() == out["attempts"].count()
+    assert again.asked == []
+
+
+def test_a_broken_analysis_goes_on_where_it_broke(spark, tmp_path):
+    inputs, bindings = job_inputs(spark, 3)
+    plan = {(r.resume_id, r.selected_jd_id): (r.resume_id % 3, "{") for r in bindings.collect()}
+    first = Service(spark, plan, break_in=2)
+    with pytest.raises(RuntimeError):
+        pipelines.analyze_to_end(inputs, bindings, first, str(tmp_path / "log"))
+    second = Service(spark, plan)
+    out = pipelines.analyze_to_end(inputs, bindings, second, str(tmp_path / "log"))
+    assert second.asked[0] == first.asked[1] and len(second.asked) == 2
+    assert {(r.resume_id, r.jd_id): (r.status, r.attempts) for r in out["states"].collect()} == plain_run(plan, list(plan), 2)
+    nothing = pipelines.analyze_to_end(inputs.limit(0), bindings.limit(0), Service(spark, {}), str(tmp_path / "none"))
+    assert nothing["states"].count() == nothing["outputs"].count() == 0
+
+
+def test_a_failing_pair_touches_one_target_only(spark):
+    jd = jds(spark)
+    people = resumes(spark, (1, "spark person", "engineer", "build spark pipelines", "spark"), (2, "pipeline person", "engineer", "run spark", "s"),
+                     (3, "meal person", "cook", "meals", "knife"))
+    alias = spark.createDataFrame([], "alias_title string, standard_title string")
+
+    def scores(word, answer):
+        def score(pairs):
+            if any(word in a for a, _ in pairs):
+                if isinstance(answer, Exception):
+                    raise answer
+                return [answer if word in a else 0.5 for a, _ in pairs]
+            return [0.5] * len(pairs)
+
+        return ModelScorer(lambda: score, "test")
+
+    embed = lambda u: embed_units(u, lambda: NgramEmbedder(256))
+
+    def run(scorer):
+        found = pipelines.match_resumes(people, jd, alias, chunks(spark, jd), embed, dim=256, scorer=scorer).collect()
+        return {r.resume_id: r.asDict(recursive=True) for r in found}
+
+    sound = run(scores("nothing", 0.5))
+    for answer, told in ((ValueError("x"), "ValueError"), (7.0, "score_out_of_range"), (float("nan"), "score_out_of_range")):
+        got = run(scores("pipeline person", answer))
+        assert got[2]["status"] == "no_candidate" and got[2]["warnings"] == [state.SEMANTIC_FAILED + told]
+        assert all(got[i] == sound[i] for i in (1, 3)) and sound[2]["status"] == "needs_confirmation"
+
+
 def test_results_are_filed_by_run_date(spark, tmp_path):
     tables.write_results(spark.createDataFrame([(1, ["w"])], "resume_id long, warnings array<string>"), str(tmp_path / "out"), "2024-01-02")
     got = spark.read.json(str(tmp_path / "out")).first()

@@ -138,6 +138,16 @@ SELECT event_id, CASE event_id % 11 WHEN 0 THEN 0 ELSE 1 END AS n_choices,
   CASE event_id % 6 WHEN 0 THEN 'soon' WHEN 1 THEN '-3' WHEN 2 THEN ' 12.5 ' WHEN 3 THEN 'Infinity' WHEN 4 THEN NULL
     ELSE concat(event_id % 90, '') END AS retry_header,
   CAST(event_id % 4 AS INT) AS retry_count
+FROM events""",
+    "fx_json_docs": """
+SELECT event_id, CASE event_id % 7 WHEN 0 THEN props WHEN 1 THEN concat('[', props, ', "text of ', event_type, '", ["a b", {"c/d": "e~f"}], null]')
+  WHEN 2 THEN concat('{"01": "zero", "x": {"~y": ["p", "', event_type, '"]}, "": "none", "l": {"0": "object", "it''s": "q"}}') WHEN 3 THEN '"just text"'
+  WHEN 4 THEN concat('[', props) WHEN 5 THEN concat('{"m": [[{"z": "  "}, "', event_type, '"], 1, null, true], "x": "', event_type, '"}')
+  ELSE concat('{"m": {"0": {"0": {"z": "deep ', event_type, '"}}}, "l": ["', event_type, '"]}') END AS doc,
+  CASE CAST(floor(event_id / 7.0) AS BIGINT) % 18 WHEN 0 THEN '/1' WHEN 1 THEN '/2/0' WHEN 2 THEN '/2/1/c~1d' WHEN 3 THEN '/x/~0y/1' WHEN 4 THEN '/01' WHEN 5 THEN '/'
+  WHEN 6 THEN '/l/0' WHEN 7 THEN '/m/0/0/z' WHEN 8 THEN '/m/0/1' WHEN 9 THEN '/x' WHEN 10 THEN 'x' WHEN 11 THEN '/x/~2' WHEN 12 THEN '/l/it''s' WHEN 13 THEN '/l/00'
+  WHEN 14 THEN '/k' WHEN 15 THEN '/m/1' WHEN 16 THEN '' ELSE '/2/99999999999' END AS path,
+  CASE event_id % 5 WHEN 0 THEN 'e' WHEN 1 THEN event_type WHEN 2 THEN ' ' ELSE 'text' END AS quote
 FROM events""",
     "fx_report_json": """
 SELECT doc_id AS event_id, CASE doc_id % 14 WHEN 1 THEN '{}' WHEN 2 THEN replace(j, '"summary"', '"zzz": 1, "summary"')

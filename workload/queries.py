@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentweave.config import PROJECT, SKILLS, TITLE, WORK, RecallConfig, RerankConfig
+from talentweave.config import DIMENSION_WEIGHTS, PROJECT, SKILLS, TITLE, WORK, RecallConfig, RerankConfig
 from talentweave.functions import strict
 from talentweave.functions import text as X
 from talentweave.functions import vectors as V
-from talentweave.functions.scorers import JaccardScorer
+from talentweave.functions.scorers import JaccardScorer, ModelScorer
 from talentweave.operators import (
     assemble, exact, intents, passages, quality, query_units, recall, reports, rerank, runs, similarity, state,
 )
 from talentweave.plans import pipelines
-from talentweave.plans.storage import materialize
+from talentweave.plans.storage import materialize, shared_folder
 from talentweave.schemas import BASIC_INFO, REPORT
 from talentweave.sources import intake, responses, tables
+from talentweave.sources.store import ResultStore
 from workload import fixtures as fx
 from workload import reference_sql as R
 
@@ -223,6 +225,29 @@ def _(w):
         "doc_id", "document_hash", "from_cache")
 
 
+#: Text that an extractor can't handle gives no JSON; the rule reads the text, so copies fail alike.
+_EXTRACTED = "CASE WHEN length(text) % 11 = 0 THEN 'no answer' ELSE concat('{\"size\": ', length(text), ', \"start\": \"', left(source, 4), '\"}') END"
+
+
+@query("processed_documents", f"""
+SELECT f.doc_id, h AS document_hash, length(d.text) % 11 <> 0 AND h IN {_PROCESSED} AS from_cache, CASE WHEN length(d.text) % 11 = 0 THEN 'invalid_json' ELSE 'ok' END AS ingest_status,
+  CASE WHEN length(d.text) % 11 <> 0 THEN length(d.text) END AS size,
+  CASE WHEN length(d.text) % 11 <> 0 THEN left((SELECT source FROM documents s WHERE s.doc_id = coalesce(f.first_seen, f.doc_id)), 4) END AS start
+FROM (SELECT sha256(text) AS h, min(doc_id) AS doc_id, min(doc_id) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS first_seen FROM documents GROUP BY sha256(text)) f
+JOIN documents d ON d.doc_id = f.doc_id""")
+def _(w):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("start", T.StringType())])
+    store = ResultStore(w.spark, f"{shared_folder(w.spark)}/results-{uuid.uuid4().hex}")
+    extract = lambda rows: rows.withColumn("output_text", F.expr(_EXTRACTED))
+    documents = intake.with_hash(w.table("documents"), "text")
+    earlier = documents.join(w.table("labels"), "doc_id", "left_semi")
+    pipelines.process_documents(earlier, store, "doc_id", extract=extract, schema=schema)
+    return pipelines.process_documents(documents, store, "doc_id", extract=extract, schema=schema).select(
+        "doc_id", "document_hash", "from_cache", "ingest_status", "record.size", "record.start")
+
+
 @query("resume_json_ingest", """
 SELECT event_id, CASE WHEN t = '' THEN 'empty_output' WHEN NOT json_valid(t) THEN 'invalid_json'
   WHEN json_type(t) <> 'OBJECT' OR json_type(t, '$.k') NOT IN ('UBIGINT', 'BIGINT') THEN 'invalid_schema' ELSE 'ok' END AS ingest_status,
@@ -392,6 +417,18 @@ def _(w):
         "doc_id", "problem", "path", "quote")
 
 
+@query("evidence_pointer_variant", """
+SELECT event_id, leaf, CASE WHEN NOT starts_with(path, '/') THEN 'bad_start' WHEN NOT regexp_full_match(path, '(/([^~/]|~0|~1)*)+') THEN 'bad_escape'
+  WHEN leaf IS NULL THEN 'not_found' WHEN trim(leaf) = '' THEN 'blank' WHEN trim(quote) = '' THEN 'blank_quote' WHEN strpos(leaf, quote) = 0 THEN 'quote_not_found' END AS problem
+FROM (SELECT *, CASE WHEN json_valid(doc) AND regexp_full_match(path, '(/([^~/]|~0|~1)*)+') AND json_type(doc, path) = 'VARCHAR' THEN json_extract_string(doc, path) END AS leaf
+  FROM fx_json_docs)""")
+def _(w):
+    rows = w.view("fx_json_docs")
+    documents = rows.select("event_id", F.try_parse_json("doc").alias("resume"))
+    evidence = rows.select("event_id", F.lit("resume").alias("source"), "path", "quote")
+    return reports.resolve_evidence(evidence, documents, ["event_id"]).select("event_id", "leaf", "problem")
+
+
 _UNFENCED = "regexp_replace(regexp_replace(" + R.strip("output_text") + ", '^```(json)?', ''), '```$', '')"
 
 
@@ -843,6 +880,29 @@ def _(w):
     return decided.select("resume_id", "target_id", "status", "recommended_jd_id", "selected_jd_id", "needs_confirmation", r6("top_margin"))
 
 
+class _Failing:
+    """Token Jaccard that raises on some texts."""
+
+    def __call__(self, pairs):
+        if any((len(a) + len(b)) % 61 == 0 for a, b in pairs):
+            raise ValueError("unreadable pair")
+        sets = [[{t for t in x.lower().split(" ") if t} for x in pair] for pair in pairs]
+        return [len(a & b) / len(a | b) if a | b else 0.0 for a, b in sets]
+
+
+@query("rerank_isolated_errors", f"""
+SELECT d.resume_id, d.target_id, d.requested_job_title, d.recall_count, CASE WHEN b.target_id IS NOT NULL THEN 'ValueError' END AS error,
+  CASE WHEN b.target_id IS NULL THEN d.recommended_jd_id END AS recommended_jd_id, CASE WHEN b.target_id IS NULL THEN d.candidates ELSE '' END AS candidates
+FROM q_decided d LEFT JOIN (SELECT DISTINCT resume_id, target_id FROM (
+    SELECT resume_id, target_id, left_text, right_text FROM q_title_pairs UNION ALL SELECT resume_id, target_id, left_text, right_text FROM q_support_pairs)
+  WHERE (length({R.collapse('left_text')}) + length({R.collapse('right_text')})) % 61 = 0) b USING (resume_id, target_id)""")
+def _(w):
+    decided = pipelines.rerank_targets(w.titles, w.recalled, w.vectors, w.jd, scorer=ModelScorer(_Failing, "failing"))
+    return decided.select(
+        "resume_id", "target_id", "requested_job_title", "recall_count", "error", "recommended_jd_id",
+        F.array_join(F.coalesce(F.col("candidates.jd_id").cast("array<string>"), F.array()), ",").alias("candidates"))
+
+
 @query("check_rerank_input", "SELECT resume_id, target_id, count(*) AS n_candidates, count_if(jd_id IN (SELECT id FROM fx_jd)) AS n_scored, CASE WHEN any_value(resume_id) % 6 = 0 THEN 'title_differs' WHEN count_if(jd_id IN (SELECT id FROM fx_jd)) < count(*) THEN 'title_score_missing' END AS reason FROM q_recalled GROUP BY resume_id, target_id")
 def _(w):
     other = F.when(F.col("resume_id") % 6 == 0, F.concat("requested_job_title", F.lit("!"))).otherwise(F.col("requested_job_title"))
@@ -1229,6 +1289,20 @@ def _(w):
         (F.col("jd_id") + (k == 5).cast("int")).alias("report_jd_id"), tries.alias("retry_count"), errors.alias("errors")))
 
 
+@query("check_job_states_unknown", """
+SELECT resume_id, jd_id, status, CASE WHEN status IS NULL OR status = 'superb' THEN 'unknown_status' WHEN has_report IS NULL THEN 'report_iff_succeeded'
+  WHEN tries IS NULL THEN 'error_count' WHEN retryable IS NULL THEN 'retry_of_final_error' END AS rule
+FROM (SELECT DISTINCT resume_id, jd_id, CASE resume_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'superb' ELSE 'retry_pending' END AS status,
+  CASE WHEN resume_id % 6 <> 2 THEN FALSE END AS has_report, CASE WHEN resume_id % 6 <> 3 THEN 0 END AS tries, CASE WHEN resume_id % 6 <> 4 THEN TRUE END AS retryable FROM fx_attempts)
+WHERE status IS NULL OR status = 'superb' OR has_report IS NULL OR tries IS NULL OR retryable IS NULL""")
+def _(w):
+    k = F.col("resume_id") % 6
+    error = F.struct(F.lit(1).alias("attempt_number"), F.when(k != 4, True).alias("retryable"))
+    return runs.check_job_states(w.view("fx_attempts").select("resume_id", "jd_id").distinct().select(
+        "resume_id", "jd_id", F.when(k == 1, "superb").when(k > 1, "retry_pending").alias("status"), F.when(k != 2, False).alias("has_report"),
+        F.when(k != 3, 0).alias("retry_count"), F.array(error).alias("errors")))
+
+
 @query("check_job_cover", """
 SELECT coalesce(b.resume_id, j.resume_id) AS resume_id, coalesce(b.jd_id, j.jd_id) AS jd_id, CASE WHEN j.jd_id IS NULL THEN 'job_missing' ELSE 'job_not_bound' END AS rule
 FROM (SELECT DISTINCT resume_id, expected_jd_id AS jd_id FROM fx_bindings WHERE expected_jd_id IS NOT NULL) b
@@ -1267,3 +1341,56 @@ def _(w):
 def _(w):
     done = runs.final_outputs(w.job_states, runs.run_status(w.job_states))
     return done.select("resume_id", F.array_join(F.col("job_analyses.jd_id").cast("array<string>"), ",").alias("jd_ids"))
+
+
+def _analyzer(requests: DataFrame) -> DataFrame:
+    """Stand-in for a service: how it answers depends on the job and on the attempt."""
+    asked = F.from_json("payload", "resume struct<location:string>, jd struct<job_title:string>, target_matches array<struct<target_id:string>>")
+    kind, again = (F.col("resume_id") * 3 + F.col("jd_id")) % 5, F.col("attempt")
+    cite = F.array(
+        F.struct(F.lit("resume").alias("source"), F.lit("/location").alias("path"), F.col("a.resume.location").alias("quote")),
+        F.struct(F.lit("jd").alias("source"), F.lit("/job_title").alias("path"), F.col("a.jd.job_title").alias("quote")))
+    texts = F.array().cast("array<string>")
+    score = (F.lit(80) + F.col("jd_id") % 20).cast("double")
+    dimension = F.struct(
+        F.lit("matched").alias("status"), score.alias("score"), F.lit("r").alias("rationale"), cite.alias("evidence"), texts.alias("missing_information"))
+    question = F.struct(
+        F.lit("skills").alias("dimension"), F.lit("q").alias("question"), F.lit("p").alias("purpose"), cite.alias("evidence"), F.array(F.lit("e")).alias("evaluation_points"))
+    report = F.struct(
+        "jd_id", F.col("a.target_matches.target_id").alias("target_ids"), F.lit("s").alias("summary"), score.alias("overall_score"), F.lit("r").alias("overall_score_reason"),
+        F.struct(*[dimension.alias(n) for n in DIMENSION_WEIGHTS]).alias("dimensions"),
+        F.array().cast(REPORT["strengths"].dataType).alias("strengths"), F.array().cast(REPORT["gaps"].dataType).alias("gaps"),
+        F.array(question).alias("interview_questions"))
+    fails = (kind == 0) | ((kind == 1) & (again == 1)) | ((kind == 2) & (again < 3))
+    return requests.withColumn("a", asked).select(
+        "resume_id", "jd_id", again.cast("long").alias("event_id"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"),
+        F.lit(1).alias("n_choices"), F.when(kind == 3, "no").alias("refusal"), F.lit("stop").alias("finish_reason"), F.lit(False).alias("has_tool_calls"),
+        F.when(fails, F.when(kind == 2, F.lit("{")).otherwise(F.lit(" "))).otherwise(F.to_json(report)).alias("content"))
+
+
+@query("analysis_to_end", """
+SELECT resume_id, jd_id, status, attempts, attempts - 1 AS retry_count, attempts - (status = 'succeeded')::INT AS error_count, run_status, code,
+  CASE WHEN run_status = 'succeeded' THEN 80 + jd_id % 20 END::DOUBLE AS reported_score
+FROM (SELECT *, CASE WHEN bool_and(status = 'succeeded') OVER r THEN 'succeeded' WHEN bool_or(status = 'succeeded') OVER r THEN 'partial_failed' ELSE 'failed' END AS run_status
+  FROM (SELECT resume_id, jd_id, CASE k WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END AS attempts, CASE WHEN k IN (0, 3) THEN 'failed' ELSE 'succeeded' END AS status,
+    CASE k WHEN 0 THEN 'empty_output' WHEN 1 THEN 'empty_output' WHEN 2 THEN 'invalid_json' WHEN 3 THEN 'model_refusal' END AS code
+    FROM (SELECT DISTINCT resume_id, selected_jd_id AS jd_id, (resume_id * 3 + selected_jd_id) % 5 AS k FROM bindings)) WINDOW r AS (PARTITION BY resume_id))""", _INPUT_CTES)
+def _(w):
+    bindings = materialize(w.bindings, "bindings")
+    inputs = materialize(assemble.analysis_inputs(bindings, assemble.jd_clean(w.jd), w.resumes), "analysis-inputs")
+    found = pipelines.analyze_to_end(inputs, bindings, _analyzer, f"{shared_folder(w.spark)}/attempts-{uuid.uuid4().hex}")
+    reported = found["outputs"].select("resume_id", F.explode("job_analyses").alias("r")).select(
+        "resume_id", F.col("r.jd_id").alias("jd_id"), F.col("r.report.overall_score").alias("reported_score"))
+    codes = found["attempts"].groupBy("resume_id", "jd_id").agg(F.min("code").alias("code"))
+    keys = ["resume_id", "jd_id"]
+    return found["states"].join(found["run_status"].select("resume_id", "run_status"), "resume_id").join(reported, keys, "left").join(codes, keys).select(
+        *keys, "status", "attempts", "retry_count", "error_count", "run_status", "code", "reported_score")
+
+
+@query("results_by_date", "SELECT resume_id, run_date, n_resolved FROM (SELECT resume_id, '2024-01-0' || d AS run_date, count_if(status = 'resolved') AS n_resolved FROM o_state, range(1, 3) t(d) WHERE d = 1 OR resume_id % 2 = 0 GROUP BY ALL)")
+def _(w):
+    path = f"{shared_folder(w.spark)}/by-date-{uuid.uuid4().hex}"
+    rows = materialize(w.state.groupBy("resume_id").agg(F.count_if(F.col("status") == "resolved").alias("n_resolved")), "by-resume")
+    for date, part in (("2024-01-01", rows.limit(5)), ("2024-01-02", rows), ("2024-01-01", rows), ("2024-01-02", rows.where("resume_id % 2 = 0"))):
+        tables.write_results(part, path, date)
+    return w.spark.read.schema("resume_id bigint, n_resolved bigint, run_date string").json(path)
