@@ -9,6 +9,7 @@ from talentweave.functions import text as X
 
 # Bits of an identifier that are looked at together when the rows of one title are numbered.
 KEY_BITS = 21
+PAGE_ROWS = 20
 
 
 def title_index(jd: DataFrame) -> DataFrame:
@@ -124,6 +125,36 @@ def exact_candidates(matches: DataFrame, jd: DataFrame) -> DataFrame:
     ).join(ranked, F.col("normalized_title") == F.col("job_title")).drop("normalized_title")
 
 
+def candidate_pages(jd: DataFrame, page_size: int = PAGE_ROWS) -> DataFrame:
+    """The JDs of each title in pages of ``page_size`` by JD id: ``job_title, page, candidates``, pages counted from 0.
+
+    Every JD is in one page of its title, so the table is as large as the JDs, however many targets ask for a title.
+    """
+    if page_size < 1:
+        raise ValueError("a page has at least one row")
+    ranked = rank_in_group(
+        jd.where(F.col("job_title").isNotNull()).select(F.col("id").alias("jd_id"), "job_title", "department"),
+        "job_title", "jd_id", "candidate_rank",
+    )
+    page = F.floor((F.col("candidate_rank") - 1) / page_size).cast("int")
+    return ranked.groupBy("job_title", page.alias("page")).agg(
+        F.array_sort(F.collect_list(F.struct("candidate_rank", "jd_id", "department"))).alias("candidates"))
+
+
+def candidate_page(matches: DataFrame, pages: DataFrame, page: int | Column = 0) -> DataFrame:
+    """Each target with one page of its candidates; ``n_jds`` says how many there are in all.
+
+    ``page`` is a number or, where targets ask for different pages, an expression over ``matches``. There is one row per target, with no
+    candidates beyond the last page.
+    """
+    asked = matches.withColumn("_page", F.lit(page) if isinstance(page, int) else page)
+    kept = pages.where(F.col("page") == page) if isinstance(page, int) else pages
+    found = kept.select(F.col("job_title").alias("_title"), F.col("page").alias("_of"), "candidates")
+    joined = asked.join(found, (F.col("normalized_title") == F.col("_title")) & (F.col("_page") == F.col("_of")), "left")
+    none = F.array().cast(pages.schema["candidates"].dataType)
+    return joined.withColumn("candidates", F.coalesce("candidates", none)).withColumnRenamed("_page", "page").drop("_title", "_of")
+
+
 def listed_candidates(pairs: DataFrame, matches: DataFrame, jd: DataFrame) -> DataFrame:
     """Those (resume_id, target_id, jd_id) of ``pairs`` whose JD is an exact candidate of the target.
 

@@ -40,12 +40,6 @@ def embeddable(chunks: DataFrame, chunk_types: Sequence[str] | None = None) -> D
     return kept.where(F.col("chunk_type").isin(types)) if types else kept
 
 
-def with_exclusions(queries: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Attach the JDs rejected earlier for a target (``resume_id, target_id, jd_id``) to its queries."""
-    lists = rejected.groupBy(*TARGET_KEYS).agg(F.array_sort(F.collect_set("jd_id")).alias("excluded_jd_ids"))
-    return queries.join(lists, TARGET_KEYS, "left")
-
-
 def _matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of the usable rows and the positions of those rows."""
     usable = np.flatnonzero([v is not None and len(v) == dim for v in vectors])
@@ -59,33 +53,31 @@ def _matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return unit[good], usable[good]
 
 
-def _forbid(distance: np.ndarray, lists: pd.Series, jd_ids: np.ndarray) -> None:
-    """Move the chunks of each row's excluded JDs out of reach, all rows at once."""
-    held = [np.empty(0, "int64") if ids is None else np.asarray(ids, dtype="int64") for ids in lists]
-    sizes = [len(ids) for ids in held]
-    if not sum(sizes):
-        return
-    order = np.argsort(jd_ids, kind="stable")
-    first, last = (np.searchsorted(jd_ids[order], np.concatenate(held), side) for side in ("left", "right"))
-    n = last - first
-    column = order[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
-    distance[np.repeat(np.repeat(np.arange(len(held)), sizes), n), column] = np.inf
+def _forbid(distance: np.ndarray, strip: pd.DataFrame, forbidden: pd.DataFrame, chunk_ids: np.ndarray) -> None:
+    """Move the chunks that are forbidden to the targets of a strip of queries out of reach, all at once."""
+    rows = strip[TARGET_KEYS].assign(row=np.arange(len(strip)))
+    cells = rows.merge(forbidden, on=TARGET_KEYS)
+    wanted = cells["forbidden"].to_numpy(dtype="int64")
+    column = np.minimum(np.searchsorted(chunk_ids, wanted), len(chunk_ids) - 1)
+    here = chunk_ids[column] == wanted  # others have no usable vector
+    distance[cells["row"].to_numpy()[here], column[here]] = np.inf
 
 
-def _top_k(queries: pd.DataFrame, chunks: pd.DataFrame, unit_chunks: np.ndarray, k: int, dim: int) -> Iterator[pd.DataFrame]:
+def _top_k(
+    queries: pd.DataFrame, chunks: pd.DataFrame, unit_chunks: np.ndarray, k: int, dim: int, forbidden: pd.DataFrame | None = None,
+) -> Iterator[pd.DataFrame]:
     """The k nearest chunks of each query; ``chunks`` is ordered by chunk_id, which settles ties."""
     unit, kept = _matrix(queries["embedding"], dim)
     if not len(kept) or not len(chunks):
         return
-    excluded = queries["excluded_jd_ids"] if "excluded_jd_ids" in queries else None
     known = queries["kth"].to_numpy(dtype="float64", na_value=np.inf) if "kth" in queries else None
     chunk_ids, jd_ids = chunks["chunk_id"].to_numpy(), chunks["jd_id"].to_numpy()
     k = min(k, len(chunks))
     for start in range(0, len(kept), STRIP_ROWS):
         strip = kept[start:start + STRIP_ROWS]
         distance = np.round(1.0 - unit[start:start + STRIP_ROWS] @ unit_chunks.T, 12) + 0.0
-        if excluded is not None:
-            _forbid(distance, excluded.iloc[strip], jd_ids)
+        if forbidden is not None and len(forbidden):
+            _forbid(distance, queries.iloc[strip], forbidden, chunk_ids)
         limit = np.partition(distance, k - 1, axis=1)[:, k - 1:k]
         if known is not None:
             limit = np.minimum(limit, known[strip][:, None])
@@ -144,8 +136,14 @@ def _locate(rows: DataFrame, pivots, dim: int) -> DataFrame:
     return rows.withColumn("_at", nearest("embedding")).select("*", "_at.*").drop("_at").where("cell IS NOT NULL")
 
 
-def _grid_join(queries: DataFrame, chunks: DataFrame, blocks: dict[int, int], k: int, dim: int) -> DataFrame:
-    """Best k per (query, block) for queries and chunks that share a cell."""
+def _grid_join(
+    queries: DataFrame, chunks: DataFrame, blocks: dict[int, int], k: int, dim: int, forbidden: DataFrame | None = None,
+) -> DataFrame:
+    """Best k per (query, block) for queries and chunks that share a cell.
+
+    ``forbidden`` has rows (cell, target, chunk_id). Each goes to the one task that holds both the chunk's block and the shard of the
+    target, so however many chunks are forbidden to a target, no row and no task holds them all.
+    """
     spark = queries.sparkSession
     load = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     width = spark.sparkContext.defaultParallelism
@@ -159,10 +157,17 @@ def _grid_join(queries: DataFrame, chunks: DataFrame, blocks: dict[int, int], k:
     parts = max(1, min(grid, MAX_PARTITIONS))
     left = (
         queries.join(plan, "cell")
-        .withColumn("shard", F.pmod(F.xxhash64(*QUERY_KEYS), F.col("n_shards")).cast("int"))
+        .withColumn("shard", F.pmod(F.xxhash64(*TARGET_KEYS), F.col("n_shards")).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .drop("n_shards", "n_blocks").repartition(parts, *key)
+        .drop("n_shards", "n_blocks")
     )
+    if forbidden is not None:
+        asked = forbidden.join(queries.select("cell", *TARGET_KEYS).distinct(), ["cell", *TARGET_KEYS], "left_semi").join(plan, "cell")
+        left = left.unionByName(asked.select(
+            "cell", *TARGET_KEYS, F.pmod(F.xxhash64(*TARGET_KEYS), F.col("n_shards")).cast("int").alias("shard"),
+            F.pmod(F.xxhash64("chunk_id"), F.col("n_blocks")).cast("int").alias("block"), F.col("chunk_id").alias("forbidden"),
+        ), allowMissingColumns=True)
+    left = left.repartition(parts, *key)
     right = (
         chunks.join(plan, "cell")
         .withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("n_blocks")).cast("int"))
@@ -173,7 +178,11 @@ def _grid_join(queries: DataFrame, chunks: DataFrame, blocks: dict[int, int], k:
     def multiply(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         c = c.sort_values("chunk_id", ignore_index=True)
         unit, kept = _matrix(c["embedding"], dim)
-        found = list(_top_k(q, c.drop(columns="embedding").iloc[kept], unit, k, dim))
+        gone = None
+        if "forbidden" in q:
+            is_query = q["forbidden"].isna()
+            q, gone = q[is_query].reset_index(drop=True), q.loc[~is_query, [*TARGET_KEYS, "forbidden"]]
+        found = list(_top_k(q, c.drop(columns="embedding").iloc[kept], unit, k, dim, gone))
         return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=[*QUERY_KEYS, *LISTS])
 
     lists = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(multiply, _hit_schema(queries))
@@ -185,7 +194,9 @@ def _block_rows(rows: int, dim: int) -> int:
     return max(1, min(rows, BLOCK_BYTES // (8 * dim)))
 
 
-def _nearest(queries: DataFrame, chunks: DataFrame, n_chunks: int, block_rows: int, k: int, dim: int) -> DataFrame:
+def _nearest(
+    queries: DataFrame, chunks: DataFrame, n_chunks: int, block_rows: int, k: int, dim: int, rejected: DataFrame | None = None,
+) -> DataFrame:
     spark = queries.sparkSession
     n_cells = max(1, min(PIVOT_BYTES // (8 * dim), n_chunks // block_rows))
     pivots = spark.sparkContext.broadcast(_pick_pivots(chunks, n_cells, dim))
@@ -197,9 +208,13 @@ def _nearest(queries: DataFrame, chunks: DataFrame, n_chunks: int, block_rows: i
     }
     blocks = {cell: -(-n // block_rows) for cell, (n, _) in stats.items()}
     placed = placed.drop("angle")
+    forbidden = None
+    if rejected is not None:
+        pairs = rejected.select(*TARGET_KEYS, "jd_id").distinct()
+        forbidden = materialize(placed.select("cell", "chunk_id", "jd_id").join(pairs, "jd_id").drop("jd_id"), "forbidden-chunks")
 
     order = Window.partitionBy(*QUERY_KEYS).orderBy("distance", "chunk_id")
-    near = _grid_join(asked.drop("angle"), placed, blocks, k, dim).withColumn(
+    near = _grid_join(asked.drop("angle"), placed, blocks, k, dim, forbidden).withColumn(
         "chunk_rank", F.row_number().over(order)).where(F.col("chunk_rank") <= k)
     if len(pivots.value) <= 1:
         return near  # the one cell holds every chunk
@@ -233,7 +248,7 @@ def _nearest(queries: DataFrame, chunks: DataFrame, n_chunks: int, block_rows: i
         "onward-queries",
     )
     visits = onward.withColumn("cell", F.explode("cells")).drop("cells")
-    far = _grid_join(visits, placed, blocks, k, dim)
+    far = _grid_join(visits, placed, blocks, k, dim, forbidden)
     return near.unionByName(far).withColumn("chunk_rank", F.row_number().over(order)).where(F.col("chunk_rank") <= k)
 
 
@@ -245,17 +260,17 @@ def nearest_chunks(
     dim: int,
     chunk_types: Sequence[str] | None = None,
     block_rows: int = BLOCK_ROWS,
+    rejected: DataFrame | None = None,
 ) -> DataFrame:
     """``resume_id, target_id, query_id, chunk_id, jd_id, distance, chunk_rank, similarity``.
 
-    Queries carry ``embedding`` and, optionally, ``excluded_jd_ids``. Query and chunk vectors that are
+    Queries carry ``embedding``. ``rejected`` (resume_id, target_id, jd_id) names JDs that a target must not meet again. Query and chunk vectors that are
     NULL, of another dimension, not finite or of length zero take no part; ``check_vectors`` lists them.
     """
     if top_k <= 0:
         raise ValueError(f"top_k must be greater than 0, got {top_k}")
     usable = embeddable(chunks, chunk_types).select("chunk_id", "jd_id", "embedding")
-    extra = [c for c in ("excluded_jd_ids",) if c in queries.columns]
-    asked = queries.select(*QUERY_KEYS, "embedding", *extra)
+    asked = queries.select(*QUERY_KEYS, "embedding")
     n_chunks = usable.select("chunk_id").count()
-    hits = _nearest(asked, usable, n_chunks, _block_rows(block_rows, dim), top_k, dim)
+    hits = _nearest(asked, usable, n_chunks, _block_rows(block_rows, dim), top_k, dim, rejected)
     return hits.withColumn("similarity", F.lit(1.0) - F.col("distance"))

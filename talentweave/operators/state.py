@@ -15,7 +15,6 @@ ALL_REJECTED = "人工已拒绝当前全部候选 JD，需要重新描述目标
 SEMANTIC_FAILED = "语义匹配执行失败: "
 
 _TEXTS = "array<string>"
-_IDS = "array<bigint>"
 
 
 def exact_state(matches: DataFrame) -> DataFrame:
@@ -34,7 +33,7 @@ def exact_state(matches: DataFrame) -> DataFrame:
         n.cast("long").alias("n_candidates"),
         (n > 1).alias("requires_confirmation"),
         F.lit(None).cast("string").alias("rejection_reason"),
-        F.array().cast(_IDS).alias("rejected_jd_ids"),
+        F.lit(0).cast("long").alias("rejected_count"),
         F.when(n > 1, F.array(F.lit(MANY_EXACT))).otherwise(F.array().cast(_TEXTS)).alias("warnings"),
     )
 
@@ -115,21 +114,19 @@ def decision_rejects(judged: DataFrame, winners: DataFrame) -> DataFrame:
     )
 
 
-def rejected_candidate_lists(candidates: DataFrame, winners: DataFrame) -> DataFrame:
-    """Candidate ids of the targets whose candidates were rejected, as one list per target."""
+def rejected_candidates(candidates: DataFrame, winners: DataFrame) -> DataFrame:
+    """Candidates of the targets whose candidates were rejected, one row each: what must not be recalled again."""
     gone = winners.where(F.col("action") == "reject").select(*TARGET_KEYS)
-    return candidates.join(gone, TARGET_KEYS, "left_semi").groupBy(*TARGET_KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("candidate_rank", "jd_id")))["jd_id"].alias("_gone_ids")
-    )
+    return candidates.join(gone, TARGET_KEYS, "left_semi")
 
 
-def apply_decisions(state: DataFrame, candidates: DataFrame, winners: DataFrame) -> DataFrame:
+def apply_decisions(state: DataFrame, winners: DataFrame) -> DataFrame:
     """State after the winning review events; all other targets stay as they are.
 
-    ``candidates`` needs only the targets whose candidates were rejected.
+    A rejection concerns all candidates of a target. The state counts them (``rejected_count``); ``rejected_candidates`` names them.
     """
     w = winners.select(*TARGET_KEYS, F.col("action").alias("_action"), "chosen_jd_id", F.col("reason").alias("_reason"))
-    rows = state.join(w, TARGET_KEYS, "left").join(rejected_candidate_lists(candidates, winners), TARGET_KEYS, "left")
+    rows = state.join(w, TARGET_KEYS, "left")
     confirmed, rejected = F.col("_action") == "confirm", F.col("_action") == "reject"
     return rows.withColumns({
         "status": F.when(confirmed, "resolved").when(rejected, "needs_manual_resolution").otherwise(F.col("status")),
@@ -137,14 +134,12 @@ def apply_decisions(state: DataFrame, candidates: DataFrame, winners: DataFrame)
         "resolution_method": F.when(confirmed, "human_confirmed").otherwise(F.col("resolution_method")),
         "requires_confirmation": F.when(confirmed | rejected, F.lit(False)).otherwise(F.col("requires_confirmation")),
         "rejection_reason": F.when(rejected, X.strip(F.col("_reason"))).otherwise(F.col("rejection_reason")),
-        "rejected_jd_ids": F.when(
-            rejected, F.array_distinct(F.concat("rejected_jd_ids", F.coalesce("_gone_ids", F.array().cast(_IDS))))
-        ).otherwise(F.col("rejected_jd_ids")),
+        "rejected_count": F.col("rejected_count") + F.when(rejected, F.col("n_candidates")).otherwise(0),
         "warnings": F.when(
             rejected, F.array_distinct(F.concat("warnings", F.array(F.lit(ALL_REJECTED))))
         ).otherwise(F.col("warnings")),
         "n_candidates": F.when(rejected, F.lit(0).cast("long")).otherwise(F.col("n_candidates")),
-    }).drop("_action", "chosen_jd_id", "_reason", "_gone_ids")
+    }).drop("_action", "chosen_jd_id", "_reason")
 
 
 def match_rollup(state: DataFrame) -> DataFrame:

@@ -29,14 +29,14 @@ Hook = Callable[[DataFrame], DataFrame]
 
 def recall_targets(
     queries: DataFrame, chunks: DataFrame, *, dim: int, cfg: RecallConfig = RecallConfig(),
-    chunk_types: list[str] | None = None, units: DataFrame | None = None,
+    chunk_types: list[str] | None = None, units: DataFrame | None = None, rejected: DataFrame | None = None,
 ) -> DataFrame:
-    """Ranked JD candidates of every target from its embedded queries.
+    """Ranked JD candidates of every target from its embedded queries, without those ``rejected`` (resume_id, target_id, jd_id).
 
     ``units`` are the same queries before they were embedded, where that is cheaper to read.
     """
     weighted = recall.with_effective_weights(queries.drop("embedding") if units is None else units, cfg)
-    hits = similarity.nearest_chunks(queries, chunks, top_k=cfg.top_k, dim=dim, chunk_types=chunk_types)
+    hits = similarity.nearest_chunks(queries, chunks, top_k=cfg.top_k, dim=dim, chunk_types=chunk_types, rejected=rejected)
     evidence = recall.query_evidence(recall.best_chunk_per_query(hits, cfg), weighted)
     return recall.ranked_candidates(recall.recall_candidates(evidence, cfg), cfg.top_n)
 
@@ -87,10 +87,8 @@ def semantic_match(
     failed = embedded.where(F.col("error").isNotNull()).groupBy(*TARGET_KEYS).agg(
         F.min(F.struct("query_order", "error"))["error"].alias("error"))
     queries = embedded.drop("error").join(failed, TARGET_KEYS, "left_anti")
-    if rejected is not None:
-        queries = similarity.with_exclusions(queries, rejected)
     recalled = materialize(
-        recall_targets(queries, chunks, dim=dim, cfg=recall_cfg, units=units).join(
+        recall_targets(queries, chunks, dim=dim, cfg=recall_cfg, units=units, rejected=rejected).join(
             arrays.select(*TARGET_KEYS, F.col("clean_title").alias("requested_job_title")), TARGET_KEYS
         ),
         "recalled",

@@ -38,23 +38,25 @@ def vectors(spark, n_queries, n_chunks, dim=8, seed=5):
     chunks = [(i, i % 17, "t", True, [float(x) for x in v]) for i, v in enumerate(chunk)]
     chunks += [(9001, 1, "t", True, None), (9002, 1, "t", True, [1.0]), (9003, 1, "t", True, [float("nan")] * dim),
                (9004, 1, "t", True, [0.0] * dim), (9005, 1, "t", False, chunks[0][4])]
-    queries = [(i // 3, "target_1", f"q{i}", [float(x) for x in v], [i % 17] if i % 2 else None) for i, v in enumerate(query)]
+    queries = [(i // 3, "target_1", f"q{i}", [float(x) for x in v]) for i, v in enumerate(query)]
+    gone = {(i // 3, "target_1", i % 17) for i in range(n_queries) if i % 2} | {(0, "target_1", 999), (10**6, "target_1", 1)}
+    rejected = spark.createDataFrame([*gone, *gone], "resume_id long, target_id string, jd_id long")
     c = spark.createDataFrame(chunks, "chunk_id long, jd_id long, chunk_type string, is_embedding_target boolean, embedding array<double>")
-    q = spark.createDataFrame(queries, "resume_id long, target_id string, query_id string, embedding array<double>, excluded_jd_ids array<bigint>")
+    q = spark.createDataFrame(queries, "resume_id long, target_id string, query_id string, embedding array<double>")
     unit_c = chunk / np.linalg.norm(chunk, axis=1, keepdims=True)
     expected = {}
-    for (_, _, name, v, gone) in queries:
+    for (resume, target, name, v) in queries:
         u = np.array(v) / np.linalg.norm(v)
         d = np.round(1 - unit_c @ u, 12)
-        order = sorted((d[i], i) for i in range(n_chunks) if not (gone and i % 17 in gone))
+        order = sorted((d[i], i) for i in range(n_chunks) if (resume, target, i % 17) not in gone)
         expected[name] = [i for _, i in order[:9]]
-    return q, c, expected
+    return q, c, expected, rejected
 
 
 @pytest.mark.parametrize("block_rows", [100_000, 40, 13])
 def test_similarity_forms_equal_brute_force(spark, block_rows):
-    q, c, expected = vectors(spark, 60, 240)
-    hits = similarity.nearest_chunks(q, c, top_k=9, dim=8, block_rows=block_rows)
+    q, c, expected, rejected = vectors(spark, 60, 240)
+    hits = similarity.nearest_chunks(q, c, top_k=9, dim=8, block_rows=block_rows, rejected=rejected)
     got = defaultdict(list)
     for r in hits.orderBy("query_id", "chunk_rank").collect():
         got[r.query_id].append(r.chunk_id)
@@ -62,9 +64,42 @@ def test_similarity_forms_equal_brute_force(spark, block_rows):
     assert got == expected
 
 
+def test_pages_of_a_title_with_many_jds_and_many_targets(spark):
+    jd = spark.range(5000).select((F.col("id") * 7).alias("id"), F.when(F.col("id") % 50 == 0, "rare").otherwise("hot").alias("job_title"), F.lit("d").alias("department"))
+    jd = jd.unionByName(spark.createDataFrame([(90_000, None, "d")], "id long, job_title string, department string"))
+    targets = spark.range(4000).select(
+        F.col("id").alias("resume_id"), F.lit("target_1").alias("target_id"), F.lit(1).alias("target_pos"),
+        F.when(F.col("id") == 5, "rare").when(F.col("id") == 6, "none").otherwise("hot").alias("requested_job_title"))
+    matches = exact.exact_match(targets, jd, spark.createDataFrame([], "alias_title string, standard_title string"))
+    ids = {t: sorted(7 * i for i in range(5000) if (i % 50 == 0) == (t == "rare")) for t in ("rare", "hot")}
+    pages = exact.candidate_pages(jd, 30)
+    for page in (0, 3, 163, 200):
+        found = exact.candidate_page(matches, pages, page)
+        rows = {r.resume_id: r for r in found.where("resume_id < 8").collect()}
+        assert found.count() == 4000 and rows[6].n_jds == 0 and rows[6].candidates == []
+        for i, title in ((5, "rare"), (7, "hot")):
+            assert rows[i].n_jds == len(ids[title]) and [c.jd_id for c in rows[i].candidates] == ids[title][30 * page:30 * page + 30]
+            assert [c.candidate_rank for c in rows[i].candidates] == list(range(30 * page + 1, min(30 * page + 30, len(ids[title])) + 1))
+    own = exact.candidate_page(matches, pages, F.col("resume_id") % 2).where("resume_id IN (7, 8)").collect()
+    assert {r.resume_id: r.candidates[0].candidate_rank for r in own} == {7: 31, 8: 1}
+    with pytest.raises(ValueError):
+        exact.candidate_pages(jd, 0)
+
+
+def test_a_target_may_have_rejected_nearly_all(spark):
+    rng = np.random.default_rng(8)
+    chunks = spark.createDataFrame([(i, i, "t", True, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(3000, 4)))],
+                                   "chunk_id long, jd_id long, chunk_type string, is_embedding_target boolean, embedding array<double>")
+    q = spark.createDataFrame([(i, "target_1", "a", [1.0, 0.0, 0.0, 0.0]) for i in (1, 2)],
+                              "resume_id long, target_id string, query_id string, embedding array<double>")
+    rejected = spark.range(2995).select(F.lit(1).cast("long").alias("resume_id"), F.lit("target_1").alias("target_id"), F.col("id").alias("jd_id"))
+    hits = similarity.nearest_chunks(q, chunks, top_k=9, dim=4, block_rows=100, rejected=rejected).collect()
+    assert {r.jd_id for r in hits if r.resume_id == 1} == set(range(2995, 3000)) and sum(r.resume_id == 2 for r in hits) == 9
+
+
 def test_fewer_chunks_than_k(spark):
-    q, c, _ = vectors(spark, 3, 5)
-    hits = similarity.nearest_chunks(q.drop("excluded_jd_ids"), c, top_k=9, dim=8)
+    q, c, *_ = vectors(spark, 3, 5)
+    hits = similarity.nearest_chunks(q, c, top_k=9, dim=8)
     assert hits.groupBy("query_id").count().where("count = 5").count() == 3
     with pytest.raises(ValueError):
         similarity.nearest_chunks(q, c, top_k=0, dim=8)

@@ -28,14 +28,15 @@ def events(spark, *rows):
 def review(spark, s, c, decisions):
     judged = state.judged_decisions(s, c, decisions)
     winners = state.winning_decisions(judged)
-    after = {(r.resume_id, r.target_id): r for r in state.apply_decisions(s, c, winners).collect()}
+    gone = {(r.resume_id, r.target_id, r.jd_id) for r in state.rejected_candidates(c, winners).collect()}
+    after = {(r.resume_id, r.target_id): r for r in state.apply_decisions(s, winners).collect()}
     rejects = {r.event_id: r.reason_code for r in state.decision_rejects(judged, winners).collect()}
-    return after, rejects
+    return after, rejects, gone
 
 
 def test_review_events(spark):
     s, c = base(spark)
-    after, rejects = review(spark, s, c, events(
+    after, rejects, pairs = review(spark, s, c, events(
         spark,
         (5, 1, "target_2", "confirm", 21, None), (4, 1, "target_2", "confirm", 99, None), (6, 1, "target_2", "reject", None, "late"),
         (1, 2, " target_1 ", "reject", None, "  not \n"), (2, 2, "target_1", "confirm", 20, None),
@@ -46,7 +47,7 @@ def test_review_events(spark):
     assert (done.status, done.selected_jd_id, done.resolution_method, done.requires_confirmation) == ("resolved", 21, "human_confirmed", False)
     gone = after[2, "target_1"]
     assert (gone.status, gone.selected_jd_id, gone.n_candidates, gone.rejection_reason) == ("needs_manual_resolution", None, 0, "not")
-    assert gone.rejected_jd_ids == [20, 21] and gone.warnings[-1] == state.ALL_REJECTED
+    assert gone.rejected_count == 2 and pairs == {(2, "target_1", 20), (2, "target_1", 21)} and gone.warnings[-1] == state.ALL_REJECTED
     assert after[4, "target_1"].status == "needs_confirmation" and after[1, "target_1"].selected_jd_id == 10
     assert rejects == {1: "jd_not_a_candidate", 2: "target_not_pending", 4: "target_not_pending", 5: "target_not_pending",
                        6: "unknown_target", 7: "blank_target_id", 8: "target_not_pending", 9: "unknown_action"}

@@ -121,11 +121,17 @@ class Work:
         ).drop("_v")
 
     def after_review(self, action: str | None = None) -> DataFrame:
+        judged = self.judged if action is None else self.judged.where(F.col("action") == action)
+        return state.apply_decisions(self.kept_state, state.winning_decisions(judged))
+
+    def rejected_ids(self, action: str | None = None) -> DataFrame:
+        """Rejected JDs of each target as text, for display."""
         judged = self.judged if action is None else self.judged.where(F.col("action") == action)
         winners = materialize(state.winning_decisions(judged), "winners")
         rejected = winners.where("action = 'reject'").select("resume_id", "target_id")
-        lost = exact.exact_candidates(self.kept_matches.join(rejected, ["resume_id", "target_id"], "left_semi"), self.jd)
-        return state.apply_decisions(self.kept_state, lost, winners)
+        candidates = exact.exact_candidates(self.kept_matches.join(rejected, ["resume_id", "target_id"], "left_semi"), self.jd)
+        return state.rejected_candidates(candidates, winners).groupBy("resume_id", "target_id").agg(
+            F.array_join(F.array_sort(F.collect_list("jd_id")).cast("array<string>"), ",").alias("rejected_jd_ids"))
 
     @cached_property
     def bindings(self) -> DataFrame:
@@ -513,6 +519,27 @@ def _(w):
     return w.exact_candidates.select("resume_id", "target_id", "match_type", "jd_id", "job_title", "department", "candidate_rank")
 
 
+_PAGE = """
+SELECT m.resume_id, m.target_id, m.n_jds, {p} AS page, coalesce(string_agg(c.jd_id || ' ' || c.candidate_rank, ',' ORDER BY c.candidate_rank), '') AS candidates
+FROM o_match m LEFT JOIN o_exact_cands c ON c.resume_id = m.resume_id AND c.target_id = m.target_id AND (c.candidate_rank - 1) // 4 = {p} GROUP BY ALL"""
+
+
+def _pages(w, page) -> DataFrame:
+    listed = F.transform("candidates", lambda c: F.concat_ws(" ", c["jd_id"].cast("string"), c["candidate_rank"].cast("string")))
+    return exact.candidate_page(w.matches, exact.candidate_pages(w.jd, 4), page).select(
+        "resume_id", "target_id", "n_jds", "page", F.array_join(listed, ",").alias("candidates"))
+
+
+@query("candidate_first_page", _PAGE.format(p="0"))
+def _(w):
+    return _pages(w, 0)
+
+
+@query("candidate_asked_page", _PAGE.format(p="m.resume_id % 3"))
+def _(w):
+    return _pages(w, (F.col("resume_id") % 3).cast("int"))
+
+
 @query("lookup_titles", "SELECT id, job_title FROM fx_jd WHERE job_title IN (SELECT requested_job_title FROM o_targets) ORDER BY job_title, id")
 def _(w):
     return exact.lookup_by_titles(w.jd, w.targets, "requested_job_title").select("id", "job_title")
@@ -568,8 +595,7 @@ def _(w):
 def _(w):
     rejected = w.table("events").select(
         F.col("user_id").alias("resume_id"), F.lit("target_1").alias("target_id"), (F.col("event_id") % 40).alias("jd_id"))
-    queries = similarity.with_exclusions(w.vectors, rejected)
-    return _hit_rows(similarity.nearest_chunks(queries, w.chunks, top_k=30, dim=DIM))
+    return _hit_rows(w.hits(rejected=rejected))
 
 
 # ---- query units ----------------------------------------------------------------------------------
@@ -991,18 +1017,19 @@ FROM o_state s LEFT JOIN winners w USING (resume_id, target_id)""",
 _REVIEWED = _STATE + ", rejection_reason, rejected_jd_ids, warnings"
 
 
-def _reviewed(rows: DataFrame) -> DataFrame:
-    return rows.select(*_STATE.split(", "), "rejection_reason", joined("rejected_jd_ids", ","), joined("warnings"))
+def _reviewed(w, action: str) -> DataFrame:
+    rows = w.after_review(action).join(w.rejected_ids(action), ["resume_id", "target_id"], "left").na.fill("", ["rejected_jd_ids"])
+    return rows.select(*_STATE.split(", "), "rejection_reason", "rejected_jd_ids", joined("warnings"))
 
 
 @query("confirm", f"SELECT {_REVIEWED} FROM after_review", _winner_sql("action = 'confirm'"))
 def _(w):
-    return _reviewed(w.after_review("confirm"))
+    return _reviewed(w, "confirm")
 
 
 @query("reject", f"SELECT {_REVIEWED} FROM after_review", _winner_sql("action = 'reject'"))
 def _(w):
-    return _reviewed(w.after_review("reject"))
+    return _reviewed(w, "reject")
 
 
 @query("confirm_rejects", """
