@@ -97,15 +97,18 @@ def mixed(
 ) -> DataFrame:
     """``docs`` with ``_row, _size, _at, _source_size, _target, _laps`` (array of lap and words taken in it).
 
-    Texts are moved once, to meet what was found for their rows; without ``keep_text`` they are left out.
+    Texts are moved once, to meet what was found for their rows; without ``keep_text`` they are left out. Columns of ``docs`` with the
+    new names are replaced, others stay whatever their names.
     """
-    stored = _stored(docs, id_col, text_col, keep_text)
-    placed = _placed(stored, id_col, source_col)
-    found = _with_targets(placed, source_col, weights, share, max_repeats).withColumn("_laps", _laps(max_repeats))
-    if not keep_text:
-        return found
-    own = found.select(F.col("_row").alias("_of"), "_at", "_source_size", "_target", "_laps")
-    return stored.drop("_hash", "_tie").join(own, F.col("_row") == F.col("_of")).drop("_of")
+    made = ["_row", "_size", "_at", "_source_size", "_target", "_laps"]
+    rows, (own, text, source) = boxed(docs, id_col, text_col, source_col)
+    stored = _stored(rows, own, text, keep_text)
+    found = _with_targets(_placed(stored, own, source), source, weights, share, max_repeats).withColumn("_laps", _laps(max_repeats))
+    if keep_text:
+        parts = found.select(F.col("_row").alias("_of"), "_at", "_source_size", "_target", "_laps")
+        found = stored.join(parts, F.col("_row") == F.col("_of"))
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in made and (keep_text or c != text_col)]
+    return found.select(*kept, *made)
 
 
 def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

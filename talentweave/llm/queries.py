@@ -105,7 +105,9 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     ), rounds AS (
         SELECT 0 AS n, host, kind, score FROM seeds WHERE score > 0
         UNION ALL
-        SELECT n + 1, b, kind, sum(share * score) FROM (SELECT * FROM rounds WHERE n < 30) r JOIN ways USING (kind) WHERE a = host GROUP BY n, b, kind
+        SELECT n + 1, b, kind, sum(share * score)
+        FROM (SELECT *, sum(score) OVER (PARTITION BY kind) * 0.85 / (1 - 0.85) AS rest FROM rounds) r JOIN ways USING (kind)
+        WHERE a = host AND rest > 1e-6 GROUP BY n, b, kind
     ), scores AS (
         SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust
         FROM rounds GROUP BY host
@@ -115,7 +117,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     FROM ruled r LEFT JOIN scores s ON r.host = s.host
 """)
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    found = urls.judged(table(spark, folder, "pages"), max_rounds=urls.MAX_ROUNDS)
+    found = urls.judged(table(spark, folder, "pages"))
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -139,21 +139,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with ``_fp`` (signed), ``_component`` (smallest id that can be reached) and ``_kept``.
 
     One row of each component has ``_kept``: that with the smallest id. Without ``keep_text`` the text is left out.
-    Columns of ``docs`` with these names are replaced.
+    Columns of ``docs`` with these names are replaced, others stay whatever their names.
     """
-    signed = docs.withColumns({"_fp": fingerprint(F.col(text_col)), "_row": F.monotonically_increasing_id()})
-    signed = materialize(signed if keep_text else signed.drop(text_col), "fingerprints")
-    first = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    made = ["_fp", "_component", "_kept"]
+    rows, (own, text) = boxed(docs, id_col, text_col)
+    signed = rows.withColumns({"_fp": fingerprint(F.col(text)), "_row": F.monotonically_increasing_id()})
+    signed = materialize(signed if keep_text else signed.drop(text), "fingerprints")
+    first = F.struct(F.col(own).isNull().alias("no_id"), F.col(own).alias("id"), F.col("_row").alias("row"))
     prints = materialize(signed.groupBy(F.col("_fp").alias("fp")).agg(F.min(first).alias("first")), "prints")
     roots = components(links(prints.select("fp"), **options), "a", "b")
     placed = prints.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     heads = placed.groupBy("root").agg(F.min("first").alias("head"))
     named = placed.join(heads, "root").select("fp", F.col("head.id").alias("_component"), F.col("head.row").alias("_head"))
-    return (
-        signed.join(named, F.col("_fp") == F.col("fp")).withColumn("_kept", F.col("_row") == F.col("_head"))
-        .drop("fp", "_head", "_row")
-    )
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in made and (keep_text or c != text_col)]
+    return signed.join(named, F.col("_fp") == F.col("fp")).select(
+        *kept, "_fp", "_component", (F.col("_row") == F.col("_head")).alias("_kept"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

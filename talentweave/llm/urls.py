@@ -39,7 +39,6 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 DAMPING = 0.85
 THRESHOLD = 0.5
-MAX_ROUNDS = 30  # of the registered query, as in its reference SQL
 REST = 1e-6  # of a score: less than this is left when a series ends
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,8 +73,12 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return linked.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("pages"))
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, max_rounds: int | None = None) -> DataFrame:
-    """``host, trust, distrust`` from seeds of these names and edges ``src, dst, pages``; without ``max_rounds`` to the end."""
+def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """``host, trust, distrust`` from seeds of these names and edges ``src, dst, pages``.
+
+    Each round writes one table: of every host reached so far its sum and what came last. A kind of score goes on until less than
+    ``REST`` of all its scores together can still arrive, so the number of rounds depends on the logarithm of the seeds alone.
+    """
     edges = materialize(edges, "host-edges")
     out = edges.groupBy(F.col("src").alias("of")).agg(F.sum("pages").alias("all"))
     come = edges.groupBy(F.col("dst").alias("of")).agg(F.sum("pages").alias("all"))
@@ -85,30 +88,28 @@ def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, max
         .unionByName(edges.join(come, F.col("dst") == F.col("of")).select(
             F.col("dst").alias("a"), F.col("src").alias("b"), F.lit("distrust").alias("kind"), share)),
         "host-ways")
-    sent = seeds.select("host", F.inline(F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.col(k).cast("double").alias("score")) for k in ("trust", "distrust")]))).where("score > 0")
-    parts = []
+    scores = seeds.select("host", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.col(k).cast("double").alias("last"), F.col(k).cast("double").alias("score")) for k in ("trust", "distrust")
+    ]))).where("last > 0")
     while True:
-        sent = materialize(sent, "host-scores")
-        parts.append(sent)
-        # What an increment adds in this and all later rounds is at most its sum times damping / (1 - damping).
-        left = {r["kind"]: r["rest"] * damping / (1 - damping) for r in sent.groupBy("kind").agg(F.sum("score").alias("rest")).collect()}
+        scores = materialize(scores, "host-scores")
+        # What came last adds in this and all later rounds at most its sum times damping / (1 - damping).
+        left = {r["kind"]: r["rest"] * damping / (1 - damping) for r in scores.groupBy("kind").agg(F.sum("last").alias("rest")).collect()}
         going = [k for k, rest in left.items() if rest > REST]
-        if not going or len(parts) - 1 == max_rounds:
+        if not going:
             break
-        arrived = ways.withColumnRenamed("kind", "way").join(
-            sent.where(F.col("kind").isin(going)), (F.col("a") == F.col("host")) & (F.col("way") == F.col("kind")))
-        sent = arrived.groupBy(F.col("b").alias("host"), "kind").agg(F.sum(F.col("share") * F.col("score")).alias("score"))
-    total = parts[0]
-    for part in parts[1:]:
-        total = total.unionByName(part)
+        moving = scores.where(F.col("kind").isin(going) & (F.col("last") > 0)).withColumnRenamed("kind", "way").drop("score")
+        sent = ways.join(moving, (F.col("a") == F.col("host")) & (F.col("way") == F.col("kind"))).select(
+            F.col("b").alias("host"), "kind", (F.col("share") * F.col("last")).alias("last"))
+        scores = scores.withColumn("last", F.lit(0.0)).unionByName(sent.withColumn("score", F.col("last"))).groupBy("host", "kind").agg(
+            F.sum("last").alias("last"), F.sum("score").alias("score"))
     of = {k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")}
-    return total.groupBy("host").agg(*of.values())
+    return scores.groupBy("host").agg(*of.values())
 
 
 def judged(
     pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url",
-    html_col: str = "html", max_rounds: int | None = None,
+    html_col: str = "html",
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` for every page."""
     url = F.col(url_col)
@@ -117,7 +118,7 @@ def judged(
     seeds = ruled.where("host <> ''").groupBy("host").agg(
         F.avg((F.coalesce(F.col("_rule.verdict"), F.lit("")) == ALLOW).cast("int")).alias("trust"),
         F.avg((F.coalesce(F.col("_rule.verdict"), F.lit("")) == BLOCK).cast("int")).alias("distrust"))
-    scores = propagated(seeds, host_edges(pages, url_col, html_col), max_rounds=max_rounds).withColumnRenamed("host", "_host")
+    scores = propagated(seeds, host_edges(pages, url_col, html_col)).withColumnRenamed("host", "_host")
     bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     return ruled.join(scores, F.col("host") == F.col("_host"), "left").select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"),

@@ -142,3 +142,14 @@ def test_registered_query(spark, tables):
     prints = {r.doc_id: plain_fingerprint(r.text) for r in docs}
     assert {r.doc_id: r.fingerprint for r in got} == {i: f"{p:016x}" for i, p in prints.items()}
     assert {r.doc_id: r.component_id for r in got} == plain_components(prints)
+
+
+def test_other_columns_keep_their_names_and_values(spark):
+    names = ["fp", "first", "_head", "root", "node", "_row", "_fp", "key", "c0"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(["a b c d", "a b c d", None, "x y z"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    found = simhash.near_groups(docs)
+    assert found.columns == ["doc_id", "text", *[n for n in names if n != "_fp"], "_fp", "_component", "_kept"]
+    got = {r.doc_id: r for r in found.collect()}
+    assert all(got[i][n] == f"{n}{i}" for i in range(4) for n in names if n != "_fp") and [got[i]._component for i in range(4)] == [0, 0, 2, 3]
+    assert simhash.one_of_each(docs).columns == docs.columns and simhash.one_of_each(docs).count() == 3

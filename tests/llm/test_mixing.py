@@ -109,3 +109,15 @@ def test_repeated_rows_and_empty_table(spark):
     assert sum(len(r.text.split()) for r in out.collect()) == wanted
     assert mixing.repeated_rows(rows(spark, [])).count() == 0
     assert mixing.mixed(rows(spark, [(1, None, "a"), (2, " ", None)])).count() == 2
+
+
+def test_other_columns_keep_their_names_and_values(spark):
+    names = ["_of", "_hash", "_tie", "_bucket", "_base", "_local", "slot", "c0", "_at"]
+    data = [(i, "w " * (i + 1), "ab"[i % 2], *[f"{n}{i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for keep in (True, False):
+        found = mixing.mixed(docs, keep_text=keep)
+        kept = [n for n in names if n != "_at"]
+        assert found.columns == ["doc_id", *["text"] * keep, "source", *kept, "_row", "_size", "_at", "_source_size", "_target", "_laps"]
+        got = {r.doc_id: r for r in found.collect()}
+        assert all(got[i][n] == f"{n}{i}" for i in range(12) for n in kept) and all(got[i]._size == i + 1 for i in range(12))

@@ -4,9 +4,12 @@ import random
 from collections import Counter
 from hashlib import md5, sha256
 
+import duckdb
 import pytest
 
+from compare import difference
 from talentweave.llm import fixity, sharding, urls
+from talentweave.llm.queries import ORACLES, QUERIES
 
 PAGES = "page_id bigint, url string, html string, host string, trust double"
 
@@ -179,3 +182,29 @@ def test_offsets_of_a_hot_file(spark):
         assert fixity.with_offsets(records).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).max() < 3000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_registered_query_on_linked_pages_equals_sql(spark, tmp_path):
+    """A chain of more hops than thirty, and hosts that share their links, among many seeds without any link."""
+    rng = random.Random(9)
+    pages = [(f"http://seed{i}.com/", "") for i in range(300)]
+    pages += [("http://bad.net/es/", ""), *[(f"http://c{i}.org/", link(f"c{i - 1}.org" if i else "bad.net")) for i in range(33)]]
+    hosts = [f"m{i}.{end}" for i in range(8) for end in ("net", "org", "com")]
+    for _ in range(150):
+        k = rng.randrange(len(hosts))
+        pages.append((f"http://{hosts[k]}/{rng.choice(['es', 'fr', 'en'])}/", link(*rng.sample(hosts[k + 1:], min(2, len(hosts) - k - 1)))))
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    rows.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert difference(spark, con, str(tmp_path), QUERIES["op3_url_trust"], ORACLES["op3_url_trust"]) is None
+    got = {r.host: r for r in urls.judged(rows.where("url LIKE '%bad.net%' OR url LIKE 'http://c%' OR url LIKE '%seed%'")).collect()}
+    # Each hop of the chain passes on 0.85 of what it gets; the fifth one is under the threshold of one half.
+    assert [got[f"c{i}.org"].verdict for i in range(6)] == ["block"] * 4 + ["allow"] * 2
+    assert [got[f"c{i}.org"].distrust for i in range(33)] == [pytest.approx(0.85 ** (i + 1)) for i in range(33)]
+
+
+def test_very_long_urls_and_pages(spark):
+    long = "http://" + "a" * 200_000 + ".net/es/" + "b" * 200_000
+    got = judge(spark, [(long, link(*["x.org"] * 50_000)), ("http://x.org/", "y" * 3_000_000), (None, None)])
+    assert got[0].rule == "net/es/" and got[0].verdict == "block" and got[1].verdict == "allow" and len(got[0].path) == 200_004
