@@ -6,7 +6,7 @@ target holds at most (its queries x top_k) rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from talentweave.config import TARGET_KEYS, TITLE, RecallConfig
@@ -189,6 +189,25 @@ def check_query_units(units: DataFrame) -> DataFrame:
     return facts.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*TARGET_KEYS, "n_units", "reason")
 
 
+def unit_problems(cfg: RecallConfig = RecallConfig()) -> dict[str, Column]:
+    """Conditions under which one embedded query unit can't be used, by reason: what can be seen in its own row."""
+    return {
+        "blank_target_id": X.is_blank(F.col("target_id")),
+        "title_not_unique": X.is_blank(F.col("requested_job_title")),
+        "blank_query_id": X.is_blank(F.col("query_id")),
+        "blank_text": X.is_blank(F.col("text")),
+        "unknown_query_type": ~F.col("query_type").isin(*cfg.type_weights),
+        "bad_weight": ~(X.is_finite(F.col("weight")) & (F.col("weight") > 0)),
+    }
+
+
+def observed_units(units: DataFrame, cfg: RecallConfig = RecallConfig()) -> tuple[DataFrame, Observation]:
+    """``units`` that count themselves while they are used: all of them (``rows``) and those with a problem, by reason."""
+    seen = Observation()
+    counts = [F.count_if(F.coalesce(wrong, F.lit(True))).alias(reason) for reason, wrong in unit_problems(cfg).items()]
+    return units.observe(seen, F.count(F.lit(1)).alias("rows"), *counts), seen
+
+
 def check_recall_input(queries: DataFrame, hits: DataFrame, cfg: RecallConfig = RecallConfig()) -> DataFrame:
     """One row per target with the first aggregation rule it breaks, ``reason`` NULL when it is sound."""
     known = F.col("query_type").isin(*cfg.type_weights)

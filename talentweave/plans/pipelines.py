@@ -70,20 +70,33 @@ def rerank_targets(
 def semantic_match(
     targets: DataFrame, resumes: DataFrame, jd: DataFrame, chunks: DataFrame, embed: Hook, *, dim: int, scorer=None,
     rejected: DataFrame | None = None, query_cfg: QueryConfig = QueryConfig(), recall_cfg: RecallConfig = RecallConfig(),
-    rerank_cfg: RerankConfig = RerankConfig(), passage_cfg: PassageConfig = PassageConfig(),
+    rerank_cfg: RerankConfig = RerankConfig(), passage_cfg: PassageConfig = PassageConfig(), strict_input: bool = False,
+    notes: dict[str, int] | None = None,
 ) -> DataFrame:
     """One decision row per open target, with its kept candidates and the warnings of both stages.
 
     ``embed`` adds ``embedding`` to the query units, and may add ``error`` where it failed. ``rejected`` (resume_id,
     target_id, jd_id) keeps JDs a person has turned down from coming back. A unit that failed, or whose vector is unusable,
     or a pair that got no score gives its target the column ``error`` and no candidates; other targets are not touched.
+
+    Units are counted while they pass: ``notes`` gets how many break a rule, by reason (``recall.unit_problems``), and how many
+    ``embed`` lost or added (``units_lost``, ``units_added``); with ``strict_input`` such units end the run with a ValueError.
     """
     arrays = materialize(query_units.unit_arrays(targets, resumes, query_cfg), "query-units")
     units = query_units.explode_units(arrays)
     embedded = embed(units)
     told = F.col("error") if "error" in embedded.columns else F.lit(None).cast("string")
-    embedded = materialize(
-        embedded.withColumn("error", F.coalesce(told, V.vector_problem(F.col("embedding"), dim))), "embedded-units")
+    counted, seen = recall.observed_units(
+        embedded.withColumn("error", F.coalesce(told, V.vector_problem(F.col("embedding"), dim))), recall_cfg)
+    embedded = materialize(counted, "embedded-units")
+    found = dict(seen.get)
+    change = found.pop("rows") - units.count()
+    found |= {"units_lost": max(0, -change), "units_added": max(0, change)}
+    broken = {reason: n for reason, n in found.items() if n}
+    if notes is not None:
+        notes.update(broken)
+    if broken and strict_input:
+        raise ValueError(f"query units break rules: {broken}")
     failed = embedded.where(F.col("error").isNotNull()).groupBy(*TARGET_KEYS).agg(
         F.min(F.struct("query_order", "error"))["error"].alias("error"))
     queries = embedded.drop("error").join(failed, TARGET_KEYS, "left_anti")

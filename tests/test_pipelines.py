@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talentweave.functions.scorers import ModelScorer, NgramEmbedder, embed_texts, embed_units
-from talentweave.operators import assemble, state
+from talentweave.operators import assemble, query_units, state
 from talentweave.plans import pipelines
 from talentweave.schemas import RESPONSIBILITY, RESUME
 from talentweave.sources import intake, tables
@@ -276,6 +276,32 @@ def test_a_failing_pair_touches_one_target_only(spark):
         assert all(got[i] == sound[i] for i in (1, 3)) and sound[2]["status"] == "needs_confirmation"
 
 
+def test_broken_units_are_counted_while_they_pass(spark):
+    jd = jds(spark)
+    people = resumes(spark, (1, "spark person", "engineer", "build spark pipelines", "spark"), (2, "pipeline person", "engineer", "run spark", "s"))
+    targets = spark.createDataFrame([(i, "target_1", 1, t) for i, t in ((1, "spark person"), (2, "pipeline person"))],
+                                    "resume_id long, target_id string, target_pos int, requested_job_title string")
+    sound = lambda u: embed_units(u, lambda: NgramEmbedder(256))
+    first = (F.col("resume_id") == 1) & (F.col("query_order") == 1)
+
+    def blank(units):
+        made = sound(units).withColumn("text", F.when(first, F.lit(" ")).otherwise(F.col("text")))
+        return made.withColumn("weight", F.when(F.col("resume_id") == 2, F.lit(float("nan"))).otherwise(F.col("weight")))
+
+    def run(embed, **options):
+        notes = {}
+        pipelines.semantic_match(targets, people, jd, chunks(spark, jd), embed, dim=256, notes=notes, **options)
+        return notes
+
+    units = query_units.explode_units(query_units.unit_arrays(targets, people))
+    of_two = units.where("resume_id = 2").count()
+    assert run(sound, strict_input=True) == {}
+    assert run(blank) == {"blank_text": 1, "bad_weight": of_two}
+    assert run(lambda u: sound(u).where(~first)) == {"units_lost": 1}
+    with pytest.raises(ValueError, match="units_added"):
+        run(lambda u: sound(u).unionByName(sound(u).where(first)), strict_input=True)
+
+
 def test_results_are_filed_by_run_date(spark, tmp_path):
     tables.write_results(spark.createDataFrame([(1, ["w"])], "resume_id long, warnings array<string>"), str(tmp_path / "out"), "2024-01-02")
     got = spark.read.json(str(tmp_path / "out")).first()
