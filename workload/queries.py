@@ -952,6 +952,22 @@ SELECT s.resume_id, s.target_id, s.requested_job_title, s.selected_jd_id,
 FROM o_state s LEFT JOIN m_decided d USING (resume_id, target_id) LEFT JOIN u_warnings u USING (resume_id, target_id)"""
 
 
+@query("semantic_input_notes", """
+SELECT * FROM (SELECT 'blank_text' AS reason, count(*) AS n FROM u_all WHERE resume_id % 7 = 0 AND query_order = 1
+  UNION ALL SELECT 'bad_weight', count(*) FROM u_all WHERE resume_id % 5 = 0 AND NOT (resume_id % 11 = 0 AND resume_id % 35 > 0 AND query_order = 2) UNION ALL SELECT 'units_lost', count(*) FROM u_all WHERE resume_id % 11 = 0 AND resume_id % 35 > 0 AND query_order = 2)
+WHERE n > 0""")
+def _(w):
+    r, order, notes = F.col("resume_id"), F.col("query_order"), {}
+
+    def embed(units):
+        made = w.embed(units).where(~((r % 11 == 0) & (r % 35 > 0) & (order == 2)))
+        return made.withColumns({
+            "text": F.when((r % 7 == 0) & (order == 1), " ").otherwise(F.col("text")), "weight": F.when(r % 5 == 0, 0.0).otherwise(F.col("weight"))})
+
+    pipelines.semantic_match(w.open_targets, w.resumes, w.jd, w.chunks, embed, dim=DIM, notes=notes)
+    return w.spark.createDataFrame(sorted(notes.items()), "reason string, n bigint")
+
+
 @query("match_resumes", _WHOLE_MATCH)
 def _(w):
     result = pipelines.match_resumes(
