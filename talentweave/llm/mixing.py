@@ -97,8 +97,8 @@ def mixed(
 ) -> DataFrame:
     """``docs`` with ``_row, _size, _at, _source_size, _target, _laps`` (array of lap and words taken in it).
 
-    Texts are moved once, to meet what was found for their rows; without ``keep_text`` they are left out. Columns of ``docs`` with the
-    new names are replaced, others stay whatever their names.
+    Texts are moved once, to meet what was found for their rows; without ``keep_text`` just the ids and sources of
+    ``docs`` are kept. Columns of ``docs`` with the new names are replaced, others stay whatever their names.
     """
     made = ["_row", "_size", "_at", "_source_size", "_target", "_laps"]
     rows, (own, text, source) = boxed(docs, id_col, text_col, source_col)
@@ -107,7 +107,7 @@ def mixed(
     if keep_text:
         parts = found.select(F.col("_row").alias("_of"), "_at", "_source_size", "_target", "_laps")
         found = stored.join(parts, F.col("_row") == F.col("_of"))
-    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in made and (keep_text or c != text_col)]
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in made and (keep_text or c in (id_col, source_col))]
     return found.select(*kept, *made)
 
 

