@@ -97,6 +97,35 @@ def test_a_target_may_have_rejected_nearly_all(spark):
     assert {r.jd_id for r in hits if r.resume_id == 1} == set(range(2995, 3000)) and sum(r.resume_id == 2 for r in hits) == 9
 
 
+def test_what_moves_does_not_depend_on_the_number_of_cells(spark, monkeypatch):
+    """A query goes to each slab and a chunk to each shard once, however small the blocks are."""
+    q, c, expected, rejected = vectors(spark, 60, 240)
+    monkeypatch.setattr(similarity, "TASK_PAIRS", 4000)
+    shards, slabs = similarity.grid(60, 244, 9, 8, spark.sparkContext.defaultParallelism)
+    assert 1 < shards * slabs <= 4
+    hits = similarity.nearest_chunks(q, c, top_k=9, dim=8, block_rows=2, rejected=rejected)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert f"hashpartitioning(shard#" in plan and f", {shards * slabs})" in plan
+    got = defaultdict(list)
+    for r in hits.orderBy("query_id", "chunk_rank").collect():
+        got[r.query_id].append(r.chunk_id)
+    assert got == expected
+
+
+def test_slabs_and_shards_are_bounded():
+    for queries, chunks, dim in ((10**7, 10**5, 64), (10**5, 10**7, 64), (6 * 10**5, 6 * 10**5, 1024)):
+        shards, slabs = similarity.grid(queries, chunks, 30, dim, 12)
+        assert queries * (4 * dim + 720) <= shards * similarity.SHARD_BYTES and chunks * 4 * dim <= slabs * similarity.SLAB_BYTES
+
+
+def test_a_pivot_without_a_usable_vector_loses_no_chunk(spark):
+    chunks = spark.createDataFrame(
+        [(i, i, "t", True, [1.0, float(i)] if i % 20 == 7 else [float("nan"), 1.0]) for i in range(40)],
+        "chunk_id long, jd_id long, chunk_type string, is_embedding_target boolean, embedding array<double>")
+    q = spark.createDataFrame([(1, "target_1", "a", [1.0, 0.0])], "resume_id long, target_id string, query_id string, embedding array<double>")
+    assert [r.chunk_id for r in similarity.nearest_chunks(q, chunks, top_k=3, dim=2).orderBy("chunk_rank").collect()] == [7, 27]
+
+
 def test_fewer_chunks_than_k(spark):
     q, c, *_ = vectors(spark, 3, 5)
     hits = similarity.nearest_chunks(q, c, top_k=9, dim=8)
