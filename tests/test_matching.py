@@ -112,6 +112,26 @@ def test_what_moves_does_not_depend_on_the_number_of_cells(spark, monkeypatch):
     assert got == expected
 
 
+def test_hits_are_dealt_once_on_their_way_to_the_ranking(spark):
+    q, c, *_ = vectors(spark, 30, 60)
+    kinds = F.array(F.lit(TITLE), F.lit(WORK), F.lit(SKILLS))
+    weighted = recall.with_effective_weights(q.select("resume_id", "target_id", "query_id", F.lit(1.0).alias("weight"), F.lit(0).alias("query_order"), F.element_at(
+        kinds, (F.expr("CAST(substring(query_id, 2) AS INT)") % 3 + 1)).alias("query_type")))
+    hits = similarity.nearest_chunks(q, c, top_k=9, dim=8)
+    ranked = recall.ranked_candidates(recall.recall_candidates(recall.query_evidence(recall.best_chunk_per_query(hits), weighted)), 10)
+    exchanges = [p._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") for p in (hits, ranked)]
+    assert exchanges[1] == exchanges[0] + 1  # that of the weights
+
+
+def test_evidence_keeps_queries_that_repeat(spark):
+    best = spark.createDataFrame([(1, "t", "a", 7, 1, 3, 0.5, 2), (1, "t", "b", 7, 1, 3, 0.5, 2), (2, "t", "a", 7, 1, 3, 0.5, 2)],
+                                 "resume_id long, target_id string, query_id string, jd_id long, chunk_rank int, chunk_id long, similarity double, chunk_hits long")
+    facts = spark.createDataFrame([(1, "t", "a", TITLE, 0, 0.7, 3, w) for w in (0.2, 0.4)] + [(1, "t", "c", TITLE, 1, 0.7, 3, 0.1)],
+                                  "resume_id long, target_id string, query_id string, query_type string, query_order int, penalty double, n_queries long, effective_weight double")
+    got = recall.query_evidence(best, facts).collect()
+    assert sorted((r.resume_id, r.query_id, r.weighted_similarity, r.n_queries) for r in got) == [(1, "a", 0.1, 3), (1, "a", 0.2, 3)]
+
+
 def test_slabs_and_shards_are_bounded():
     for queries, chunks, dim in ((10**7, 10**5, 64), (10**5, 10**7, 64), (6 * 10**5, 6 * 10**5, 1024)):
         shards, slabs = similarity.grid(queries, chunks, 30, dim, 12)
