@@ -766,8 +766,9 @@ LEFT JOIN (SELECT resume_id, target_id, count(*) AS r, count_if(similarity >= 0.
 USING (resume_id, target_id)""")
 def _(w):
     cfg = RecallConfig(minimum_similarity=0.1)
-    kept = recall.query_evidence(recall.best_chunk_per_query(w.hits(), cfg), w.weighted)
-    return recall.recall_summary(w.weighted, w.hits(), recall.recall_candidates(kept, cfg), cfg)
+    hits = materialize(w.hits(), "hits")  # read twice
+    kept = recall.query_evidence(recall.best_chunk_per_query(hits, cfg), w.weighted)
+    return recall.recall_summary(w.weighted, hits, recall.recall_candidates(kept, cfg), cfg)
 
 
 @query("check_recall_input", """
