@@ -1,6 +1,8 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with equal sets are one class, and only one text of each class is compared. Classes meet where they share a band: four of 128
+Texts with equal sets are one class, and only one text of each class is compared. SimHash fingerprints of these shingles, op1's operator, link
+first: pivot tables find those within two bits, and their texts are verified on whole sets. As texts at 0.8 may be further apart than
+that, classes meet too where they share a band: four of 128
 minimum hashes in a row, 32 bands. A pair at 0.8 misses all bands with probability (1 - 0.8^4)^32, or 5e-8, a nearer one even less
 often. A fingerprint of 512 bytes (the smallest hash of each of 512 parts of a set; of a small set that is nearly all of it)
 tells which of these to verify: those whose share of equal bytes is within five standard deviations of 0.8. Verification
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
+from talentweave.llm import simhash
 from talentweave.llm.columns import boxed, unboxed
 from talentweave.llm.components import components
 from talentweave.plans.storage import materialize
@@ -182,6 +185,17 @@ def _beside(pairs: DataFrame, rows: DataFrame, *values: str) -> DataFrame:
     return pairs
 
 
+def _signed(classes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of classes with SimHash fingerprints within two bits: by pivot tables, one class for each fingerprint, and others beside it."""
+    own = classes.select("node", F.col("first.fp").alias("fp"))
+    led = materialize(own.groupBy("fp").agg(F.min("node").alias("lead")), "simhash-leads")
+    found = simhash.links(led.select("fp"))
+    for end in ("a", "b"):
+        found = found.join(led.select(F.col("fp").alias(f"_{end}"), F.col("lead").alias(f"lead_{end}")), F.col(end) == F.col(f"_{end}"))
+    beside = own.join(led, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    return found.select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b")).unionByName(beside)
+
+
 def met_classes(prints: DataFrame) -> DataFrame:
     """``key, n, node``: members of every bucket that several classes share, and their number."""
     listed = prints.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("key"))
@@ -308,15 +322,17 @@ def one_of_each(
 ) -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their group of linked texts."""
     rows, (own, text) = boxed(docs, id_col, text_col)
-    stored = materialize(rows.withColumns({"_row": F.monotonically_increasing_id(), "_print": _prints(F.col(text))}), "signed")
-    first = F.struct(F.col(own).isNull().alias("no_id"), F.col(own).alias("id"), F.col("_row").alias("row"))
+    made = {"_row": F.monotonically_increasing_id(), "_print": _prints(F.col(text)), "_fp": simhash.fingerprint(F.col(text), SHINGLE_WORDS)}
+    stored = materialize(rows.withColumns(made), "signed")
+    first = F.struct(F.col(own).isNull().alias("no_id"), F.col(own).alias("id"), F.col("_row").alias("row"), F.col("_fp").alias("fp"))
     least = stored.groupBy(F.col("_print.digest").alias("digest")).agg(F.min(first).alias("first"))
     classes = materialize(least.withColumn("node", F.col("first.row")), "classes")
     chosen = classes.select("node")
     prints = stored.select(F.col("_row").alias("node"), "_print.size", "_print.bands", "_print.print").join(chosen, "node")
     prints = materialize(prints, "class-prints")
     met = materialize(met_classes(prints), "bands-met")
-    meeting = met.select("node").distinct()
+    near_prints = materialize(_signed(classes), "simhash-pairs")
+    meeting = met.select("node").unionByName(near_prints.select(F.col("a").alias("node"))).unionByName(near_prints.select(F.col("b").alias("node"))).distinct()
     sets = materialize(stored.select(F.col("_row").alias("node"), text).join(meeting, "node").select("node", _sets(F.col(text)).alias("found")), "shingle-sets")
     crowded = met.where(F.col("n") > bucket_rows)
     carried = sets.join(crowded.select("node").distinct(), "node").select("node", _carried(F.col("found")).alias("_c")).select("node", "_c.*")
@@ -326,11 +342,12 @@ def one_of_each(
         near = materialize(pairs, "near-pairs")
         return materialize(_beside(near, sets, "found").where(_jaccard("found_a", "found_b") >= similarity).select("a", "b"), "near-links")
 
-    links = verified(_paired(met.where(F.col("n") <= bucket_rows), prints, similarity).unionByName(_led(crowd, similarity)).distinct())
+    paired = _paired(met.where(F.col("n") <= bucket_rows), prints, similarity)
+    links = verified(near_prints.unionByName(paired).unionByName(_led(crowd, similarity)).distinct())
     found = components(links, "a", "b")
     links = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(_crossing(crowd, found, similarity, block)))
     roots = components(links, "a", "b").withColumnRenamed("node", "_node")
     heads = classes.join(roots, F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(
         F.min("first").alias("head"))
     kept = heads.select(F.col("head.row").alias("_head"))
-    return unboxed(stored.drop("_print").join(kept, F.col("_row") == F.col("_head")), docs)
+    return unboxed(stored.drop("_print", "_fp").join(kept, F.col("_row") == F.col("_head")), docs)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from talentweave.llm import near_copies
@@ -47,6 +48,17 @@ def test_stage_links_from_similarity_0_8_on(spark):
     assert kept(corpus_pipeline.without_near_copies(spark, docs, "")) == [3, 5]
 
 
+def test_simhash_fingerprints_link_by_pivot_tables_and_are_verified(spark, monkeypatch):
+    """Without any band, op1's step alone links texts within two bits, but only at a similarity of 0.8."""
+    words = [f"w{i}" for i in range(40_000)]
+    near = [*words[:-1], "other"]
+    rows = [(3, " ".join(words)), (7, " ".join(near)), (5, " ".join(reversed(words))), (8, "a a a a a a a b"), (9, "a a a a a a a c")]
+    prints = [near_copies.simhash._fingerprint(t.encode(), 5) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2
+    monkeypatch.setattr(near_copies, "met_classes", lambda prints: prints.select(F.lit(1).cast("long").alias("key"), F.lit(1).cast("long").alias("n"), "node").limit(0))
+    assert kept(near_copies.one_of_each(frame(spark, rows))) == [3, 5, 8, 9]
+
+
 def edited(rng, words, edits):
     words = list(words)
     for _ in range(edits):
