@@ -132,6 +132,15 @@ def test_evidence_keeps_queries_that_repeat(spark):
     assert sorted((r.resume_id, r.query_id, r.weighted_similarity, r.n_queries) for r in got) == [(1, "a", 0.1, 3), (1, "a", 0.2, 3)]
 
 
+def test_a_rejected_jd_stays_away_where_its_chunks_repeat(spark):
+    chunks = spark.createDataFrame([(i, i, "t", True, [1.0, float(i)]) for i in (1, 2, 2, 3)],
+                                   "chunk_id long, jd_id long, chunk_type string, is_embedding_target boolean, embedding array<double>")
+    q = spark.createDataFrame([(r, "target_1", "a", [1.0, 0.0]) for r in (1, 2)], "resume_id long, target_id string, query_id string, embedding array<double>")
+    rejected = spark.createDataFrame([(1, "target_1", 2), (1, None, 3), (None, "target_1", 3), (1, "target_1", None)], "resume_id long, target_id string, jd_id long")
+    hits = similarity.nearest_chunks(q, chunks, top_k=5, dim=2, rejected=rejected).orderBy("resume_id", "chunk_rank").collect()
+    assert [(r.resume_id, r.jd_id) for r in hits] == [(1, 1), (1, 3), (2, 1), (2, 2), (2, 2), (2, 3)]
+
+
 def test_slabs_and_shards_are_bounded():
     for queries, chunks, dim in ((10**7, 10**5, 64), (10**5, 10**7, 64), (6 * 10**5, 6 * 10**5, 1024)):
         shards, slabs = similarity.grid(queries, chunks, 30, dim, 12)
