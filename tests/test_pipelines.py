@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from talentweave.functions.scorers import ModelScorer, NgramEmbedder, embed_texts, embed_units
 from talentweave.operators import assemble, query_units, state
 from talentweave.plans import pipelines
+from talentweave.plans.storage import list_names, shared_folder
 from talentweave.schemas import RESPONSIBILITY, RESUME
 from talentweave.sources import intake, tables
 from talentweave.streaming.decisions import current_winners, start_decisions, stream_rejects
@@ -67,6 +68,19 @@ def test_rejected_candidates_do_not_come_back(spark):
     assert 1 not in [c.jd_id for c in second.candidates]
 
 
+def test_vectors_are_dropped_once_candidates_are_stored(spark):
+    """The embedded units and the cells of chunks took most of the disk until the session ended."""
+    jd, embed = jds(spark), lambda u: embed_units(u, lambda: NgramEmbedder(256))
+    people = resumes(spark, (1, "spark engineer", "data engineer", "build spark pipelines", "spark"))
+    targets = spark.createDataFrame([(1, "target_1", 1, "spark engineer")], "resume_id long, target_id string, target_pos int, requested_job_title string")
+    before = set(list_names(spark, shared_folder(spark)))
+    decided = pipelines.semantic_match(targets, people, jd, chunks(spark, jd), embed, dim=256)
+    left = set(list_names(spark, shared_folder(spark))) - before
+    assert not [name for name in left if name.startswith(("embedded-units", "chunk-cells"))]
+    row = decided.first()
+    assert row.recommended_jd_id == 1 and row.error is None
+
+
 def test_a_failing_unit_touches_one_target_only(spark):
     jd = jds(spark)
     people = resumes(spark, (1, "spark person", "engineer", "build spark pipelines", "spark"), (2, "pipeline person", "engineer", "run spark", "s"),
