@@ -30,7 +30,7 @@ PIVOT_BYTES = 1 << 26  # all pivots together; cells beyond that many grow instea
 SLAB_BYTES = 1 << 25  # vectors of the chunks of a task
 SHARD_BYTES = 1 << 26  # vectors and hits of the queries of a task
 PANEL_ROWS = 8192  # chunks multiplied at a time inside a task
-STRIP_ROWS = 512  # queries multiplied at a time inside a task
+STRIP_ROWS = 256  # queries multiplied at a time inside a task
 EXACT_ROWS = 1 << 14  # pairs measured in double precision at a time
 TASK_PAIRS = 1 << 22  # a search of so many pairs isn't split further
 ANGLE_SLACK = 1e-6
@@ -60,15 +60,14 @@ def _matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Vectors:
-    """The usable vectors of a column: as they came, their lengths, and as unit vectors in single precision."""
+    """The usable vectors of a column, as they came, and their lengths; a column in one piece isn't copied."""
 
     def __init__(self, column: pa.ChunkedArray, dim: int):
         usable = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), dim), False).to_numpy(zero_copy_only=False))
         rows = column.take(pa.array(usable)) if len(usable) < len(column) else column
         parts = [chunk.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for chunk in rows.chunks]
-        raw = np.concatenate(parts) if parts else np.empty((0, dim), "float32")
+        raw = parts[0] if len(parts) == 1 else np.concatenate([np.empty((0, dim), "float32"), *parts])
         norms, good = np.empty(len(raw)), np.empty(len(raw), bool)
-        single = np.empty(raw.shape, "float32")
         with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
             for start in range(0, len(raw), PANEL_ROWS):
                 part = slice(start, start + PANEL_ROWS)
@@ -76,21 +75,27 @@ class _Vectors:
                 norms[part] = np.sqrt((own * own).sum(axis=1))
                 own /= norms[part, None]
                 good[part] = np.isfinite(own).all(axis=1) & np.isfinite(norms[part])
-                single[part] = own
         if not good.all():
-            raw, norms, single, usable = raw[good], norms[good], single[good], usable[good]
-        self.raw, self.norms, self.single, self.place = raw, norms, single, usable
+            raw, norms, usable = raw[good], norms[good], usable[good]
+        self.raw, self.norms, self.place = raw, norms, usable
 
     def __len__(self) -> int:
         return len(self.raw)
 
     def ordered(self, order: np.ndarray) -> _Vectors:
-        self.raw, self.norms, self.single, self.place = self.raw[order], self.norms[order], self.single[order], self.place[order]
+        self.raw, self.norms, self.place = self.raw[order], self.norms[order], self.place[order]
         return self
 
     def unit(self, rows: np.ndarray | slice) -> np.ndarray:
         return self.raw[rows].astype("float64") / self.norms[rows, None]
 
+    def single(self) -> np.ndarray:
+        """All unit vectors in single precision."""
+        out = np.empty(self.raw.shape, "float32")
+        for start in range(0, len(out), PANEL_ROWS):
+            out[start:start + PANEL_ROWS] = self.unit(slice(start, start + PANEL_ROWS))
+        return out
+
 
 def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All whole numbers from each ``low`` up to its ``high``, and the number of the range each is from."""
@@ -165,14 +170,16 @@ def _best(queries: _Vectors, chunks: _Vectors, cell: np.ndarray, rank: np.ndarra
     """Distances and ranks of the k nearest chunks of each query, infinite where there are fewer. Chunks are ordered by cell; ``rank`` settles ties."""
     pieces = _Pieces(chunks, cell, min(block_rows, PANEL_ROWS))
     slack = np.float32((queries.raw.shape[1] + 16) * 2.0**-23)  # more than two products in single precision are wrong by
-    where = np.empty(len(rank), "int64")
+    where = np.empty(len(rank), "int32")
     where[rank] = np.arange(len(rank))
-    distances, ranks = np.full((len(queries), k), np.inf), np.zeros((len(queries), k), "int64")
+    distances, ranks = np.full((len(queries), k), np.inf), np.zeros((len(queries), k), "int32")
+    held = chunks.single()
     for start in range(0, len(queries), STRIP_ROWS):
         strip = np.arange(start, min(len(queries), start + STRIP_ROWS))
-        single = queries.single[strip]
+        unit = queries.unit(strip)
+        single = unit.astype("float32")
         top, own = distances[start:start + STRIP_ROWS], ranks[start:start + STRIP_ROWS]  # views
-        least = pieces.nearest(queries.unit(strip))
+        least = pieces.nearest(unit)
         near = np.minimum.reduceat(least, [a for a, _ in pieces.panels], axis=1).mean(axis=0)
         gone = rejected.of(queries.place[strip]) if rejected is not None else None
         for p in np.argsort(near, kind="stable"):
@@ -182,7 +189,7 @@ def _best(queries: _Vectors, chunks: _Vectors, cell: np.ndarray, rank: np.ndarra
                 continue
             low, high = pieces.starts[a:b][needed], pieces.ends[a:b][needed]
             columns = slice(low[0], high[-1]) if needed.all() else _ranges(low, high)[0]
-            likeness = single @ chunks.single[columns].T
+            likeness = single @ held[columns].T
             if gone is not None and len(gone[0]):
                 known = jd[columns]
                 order = np.argsort(known, kind="stable")
@@ -211,7 +218,9 @@ def _best(queries: _Vectors, chunks: _Vectors, cell: np.ndarray, rank: np.ndarra
             place = np.arange(len(r)) - np.searchsorted(r, r)
             kept = place < k
             top[r[kept], place[kept]], own[r[kept], place[kept]] = found[kept], c[kept]
-    return distances, where[ranks]
+    for start in range(0, len(ranks), PANEL_ROWS):
+        ranks[start:start + PANEL_ROWS] = where[ranks[start:start + PANEL_ROWS]]
+    return distances, ranks
 
 
 def _search(k: int, dim: int, block_rows: int, pivots):
@@ -226,12 +235,14 @@ def _search(k: int, dim: int, block_rows: int, pivots):
         held = held.sort_by("chunk_id")
         queries, chunks = _Vectors(asked["embedding"], dim), _Vectors(held["embedding"], dim)
         if not len(queries) or not len(chunks):
-            return _hit_table(keys.slice(0, 0), held.slice(0, 0), np.empty((0, 1)), np.empty((0, 1), "int64"))
+            return _hit_table(keys.slice(0, 0), held.slice(0, 0), np.empty((0, 1)), np.empty((0, 1), "int32"))
+        held = held.drop_columns(["embedding"])
         cell = held["cell"].to_numpy()[chunks.place]
         order = np.argsort(cell, kind="stable")  # before, the place of a chunk is that of its id
         if len(pivots.value) > 1:  # neighbours make strips that need the same cells
             around = pivots.value.T.astype("float32")
-            home = [(queries.single[start:start + STRIP_ROWS] @ around).argmax(axis=1) for start in range(0, len(queries), STRIP_ROWS)]
+            home = [
+                (queries.unit(slice(start, start + STRIP_ROWS)).astype("float32") @ around).argmax(axis=1) for start in range(0, len(queries), STRIP_ROWS)]
             queries.ordered(np.argsort(np.concatenate(home), kind="stable"))
         chunks.ordered(order)
         jd = held["jd_id"].fill_null(np.iinfo("int64").min).to_numpy()[chunks.place]
@@ -244,9 +255,9 @@ def _search(k: int, dim: int, block_rows: int, pivots):
 def _hit_table(keys: pa.Table, chunks: pa.Table, distances: np.ndarray, at: np.ndarray) -> pa.Table:
     found = np.isfinite(distances)
     ends = np.concatenate([[0], np.cumsum(found.sum(axis=1))]).astype("int32")
-    rows = chunks.take(pa.array(at[found])).combine_chunks()
+    rows, at = chunks.combine_chunks(), pa.array(at[found])  # of a slab; its columns are in one piece, and so are the hits
     fields = {"distance": pa.array(distances[found], pa.float64())} | {
-        c: pa.concat_arrays(rows[c].chunks) if rows[c].num_chunks else pa.array([], pa.int64()) for c in ("chunk_id", "jd_id")}
+        c: rows[c].chunk(0).take(at) if rows[c].num_chunks else pa.array([], pa.int64()) for c in ("chunk_id", "jd_id")}
     hits = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
     return keys.append_column("hits", hits)
 

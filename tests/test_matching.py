@@ -1,7 +1,10 @@
 import random
+import tracemalloc
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -319,3 +322,23 @@ def test_decisions(spark, scores, options, status, recommended, warning):
 
 def test_recall_config_keeps_weights():
     assert RecallConfig().type_weights[TITLE] == 0.40
+
+
+def test_a_search_task_holds_few_copies_of_its_vectors():
+    """8,000 queries and 32,000 chunks of 16 numbers are 2.6 MB in single precision; all else is hits and what one strip of queries needs."""
+    rng = np.random.default_rng(1)
+
+    def vectors(n):
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="int32") * 16), pa.array(rng.standard_normal(n * 16, dtype="float32")))
+
+    asked = pa.table({"resume_id": np.arange(8000), "target_id": ["t"] * 8000, "query_id": [str(i) for i in range(8000)], "embedding": vectors(8000)})
+    held = pa.table({"chunk_id": np.arange(32000), "jd_id": np.arange(32000), "embedding": vectors(32000), "cell": np.arange(32000, dtype="int32") % 4})
+    search = similarity._search(5, 16, 8192, SimpleNamespace(value=rng.standard_normal((4, 16))))
+    tracemalloc.start()
+    try:
+        hits = search(asked, held)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert hits.num_rows == 8000
+    assert peak < 80e6  # 106 MB when strips were twice as long and queries were held in two precisions
