@@ -17,6 +17,7 @@ from talentweave.functions.rows import explode_rows
 from talentweave.functions.scorers import SCORE_ERROR, JaccardScorer
 from talentweave.operators.passages import selected_passages
 from talentweave.operators.recall import RANK_DIGITS, _by_value
+from talentweave.plans.storage import materialize
 
 # Decision warnings.
 NO_RECALL = "粗召回阶段没有产生候选JD"
@@ -30,6 +31,12 @@ MARGIN_LOW = "前两名岗位解析分差不足，需要人工确认"
 CANDIDATE_KEYS = [*TARGET_KEYS, "jd_id"]
 
 
+def recalled_jds(jd: DataFrame, recalled: DataFrame) -> DataFrame:
+    """JDs that were recalled for any target. No other needs a document, and JDs may be many times as many."""
+    ids = materialize(recalled.select(F.col("jd_id").alias("id")).distinct(), "recalled-jds")
+    return jd.join(ids, "id", "left_semi")
+
+
 def missing_documents(recalled: DataFrame, documents: DataFrame) -> DataFrame:
     return recalled.join(documents.select("jd_id"), "jd_id", "left_anti")
 

@@ -50,8 +50,7 @@ def rerank_targets(
     With a scorer that may fail rows have ``error``; a target with a pair that has no score gets no candidates, other targets are not touched.
     """
     scorer = scorer or JaccardScorer()
-    wanted = jd.join(recalled.select(F.col("jd_id").alias("id")), "id", "left_semi")
-    documents = materialize(passages.jd_documents(wanted, passage_cfg), "jd-documents")
+    documents = materialize(passages.jd_documents(rerank.recalled_jds(jd, recalled), passage_cfg), "jd-documents")
     titles = rerank.title_scores(recalled, documents, scorer)
     pairs = rerank.support_pairs(recalled, queries, documents, cfg, scorer.prepare)
     best = rerank.best_scores(rerank.score_pairs(pairs, scorer))

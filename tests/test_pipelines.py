@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talentweave.functions.scorers import ModelScorer, NgramEmbedder, embed_texts, embed_units
-from talentweave.operators import assemble, query_units, state
+from talentweave.operators import assemble, query_units, rerank, state
 from talentweave.plans import pipelines
 from talentweave.plans.storage import list_names, shared_folder
 from talentweave.schemas import RESPONSIBILITY, RESUME
@@ -81,6 +81,29 @@ def test_vectors_are_dropped_once_candidates_are_stored(spark):
     assert row.recommended_jd_id == 1 and row.error is None
 
 
+def test_only_recalled_jds_get_documents(spark):
+    wide = "resume_id long, target_id string, "
+    targets = spark.createDataFrame([(1, "target_1", "Dev"), (2, "target_1", "Dev")], wide + "requested_job_title string")
+    found = spark.createDataFrame(
+        [(1, "target_1", 3, "Dev"), (1, "target_1", 900, "Dev"), (2, "target_1", 3, "Dev"), (2, "target_1", None, "Dev")], wide + "jd_id long, requested_job_title string")
+    jd = spark.range(500).select(F.col("id"), F.concat(F.lit("Dev "), "id").alias("job_title"))
+    stored = list_names(spark, shared_folder(spark))
+    work = Work(spark, "")
+    work.__dict__ |= {"recalled": found, "titles": targets, "jd": _bare(jd)}
+    assert [(r.jd_id, r.job_title) for r in work.documents.collect()] == [(3, "Dev 3")]
+    assert {(r.resume_id, r.jd_id) for r in rerank.missing_documents(found, work.documents).collect()} == {(1, 900), (2, None)}
+    new = [n for n in list_names(spark, shared_folder(spark)) if n not in stored]
+    sizes = sorted(spark.read.parquet(f"{shared_folder(spark)}/{n}").count() for n in new)
+    assert sizes == [1, 3]  # documents, and ids of recalled JDs
+
+
+def _bare(jd):
+    """JDs of an id and a title only."""
+    none = {c: F.lit(None).cast("string") for c in ("department", "minimum_education", "education_background", "work_experience_raw")}
+    kind = f"array<{RESPONSIBILITY.simpleString()}>"
+    return jd.withColumns(none | {"responsibilities": F.lit(None).cast(kind), "competencies": F.lit(None).cast("array<string>")})
+
+
 def test_a_failing_unit_touches_one_target_only(spark):
     jd = jds(spark)
     people = resumes(spark, (1, "spark person", "engineer", "build spark pipelines", "spark"), (2, "pipeline person", "engineer", "run spark", "s"),

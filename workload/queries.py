@@ -91,7 +91,8 @@ class Work:
         "resume_id", "target_id", "requested_job_title"))
     recalled = cached_property(lambda self: materialize(recall.ranked_candidates(self.candidates, 10).join(
         self.titles, ["resume_id", "target_id"]), "recalled"))
-    documents = cached_property(lambda self: materialize(passages.jd_documents(self.jd), "jd-documents"))
+    documents = cached_property(lambda self: materialize(
+        passages.jd_documents(rerank.recalled_jds(self.jd, self.recalled)), "jd-documents"))
     # What review needs several times over.
     kept_matches = cached_property(lambda self: materialize(self.matches, "matches"))
     kept_state = cached_property(lambda self: state.exact_state(self.kept_matches))
