@@ -1,6 +1,7 @@
 """Packing round trips, and the factorisation machine on held-out documents."""
 
 import random
+import tracemalloc
 from zlib import crc32
 
 import numpy as np
@@ -8,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from talentweave.llm import packing, quality
+from talentweave.llm import packing, quality, words
 from talentweave.llm.columns import id_remainder
 from talentweave.llm.queries import QUERIES, vocabulary
 from talentweave.llm.words import gathered, numbered, slices, subwords
@@ -18,6 +19,8 @@ ODD = [
     "😀 family 👨‍👩‍👧", "日本語 テキスト", "<|endoftext|> a<|startoftext|>b", "w" * 5000, "The quick. " * 4000, "İstanbul ΑΣ ΣΑΣ",
 ]
 
+POOL = pa.proxy_memory_pool(pa.default_memory_pool())  # outlives what is taken from it
+
 
 def plain_ids(texts):
     t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
@@ -34,6 +37,42 @@ def test_subwords_of_words_equal_subwords_of_texts(spark, tables):
     assert sum(len(s) for s in slices(pa.array(texts))) == len(texts)
 
 
+def test_words_keep_the_order_of_their_first_appearance(monkeypatch):
+    texts = pa.array([*ODD, *(f"w{i % 50} Same  again, {i}!" for i in range(300)), None, *ODD])
+    whole = [*numbered(texts, lower=True), *subwords(numbered(texts, lower=True)[2], vocabulary("word_bpe_49k.json"))]
+    for name, size in (("SPLIT_BYTES", 64), ("STEP_WORDS", 7), ("STEP_IDS", 5)):
+        monkeypatch.setattr(words, name, size)
+    ends, word, different = numbered(texts, lower=True)
+    ids, starts = subwords(different, vocabulary("word_bpe_49k.json"))
+    for a, b in zip(whole, (ends, word, different, ids, starts)):
+        assert (a.equals(b) if isinstance(a, pa.Array) else a.dtype == b.dtype and (a == b).all())
+    text = [(x or "").lower() if (x or "").isascii() else x for x in texts.to_pylist()]
+    for i in (2, 3, 20, 100):
+        assert different.take(pa.array(word[ends[i]:ends[i + 1]])).to_pylist() == text[i].split()
+
+
+def test_splitting_and_tokenising_hold_little_beside_word_numbers():
+    """Arrow's and numpy's memory, above what is returned, for 16 MB of text and 20,000 different words."""
+    texts = pa.array([" ".join(f"w{(i * 977 + j * 31) % 20_000}" for j in range(500)) for i in range(5000)])
+    before = pa.default_memory_pool()
+    pa.set_memory_pool(POOL)
+    try:
+        ends, word, different = numbered(texts, lower=True)
+    finally:
+        pa.set_memory_pool(before)
+    assert len(word) == 2_500_000 and len(different) == 20_000
+    assert POOL.max_memory() < 40 << 20
+    starts = np.arange(len(different) + 1)
+    tracemalloc.start()
+    try:
+        ids, _ = gathered(np.arange(len(different), dtype="uint32"), starts, word)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (ids == word).all()
+    assert peak < 56 << 20
+
+
 def test_pieces_join_to_the_documents(spark):
     rng = random.Random(5)
     texts = ODD + [" ".join(rng.choice(["alpha", "beta", "Gamma.", "δ"]) for _ in range(rng.randint(0, 300))) for _ in range(150)]
