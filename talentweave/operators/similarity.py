@@ -232,22 +232,26 @@ def _search(k: int, dim: int, block_rows: int, pivots):
             rejected = _Rejected(asked)
             asked = asked.filter(pc.is_null(asked["forbidden"]))
         keys = asked.select(QUERY_KEYS)
-        held = held.sort_by("chunk_id")
         queries, chunks = _Vectors(asked["embedding"], dim), _Vectors(held["embedding"], dim)
         if not len(queries) or not len(chunks):
             return _hit_table(keys.slice(0, 0), held.slice(0, 0), np.empty((0, 1)), np.empty((0, 1), "int32"))
-        held = held.drop_columns(["embedding"])
-        cell = held["cell"].to_numpy()[chunks.place]
-        order = np.argsort(cell, kind="stable")  # before, the place of a chunk is that of its id
+        asked, held = keys, held.drop_columns(["embedding"])
+        # A chunk's rank is the place of its id. Numbers are sorted, and vectors move once, into the order of cells.
+        by_id = held.take(pa.array(chunks.place)).append_column("at", pa.array(np.arange(len(chunks)))).sort_by("chunk_id")
+        by_id, at = by_id.drop_columns(["at"]), by_id["at"].to_numpy()
+        cell = by_id["cell"].to_numpy()
+        order = np.argsort(cell, kind="stable")
         if len(pivots.value) > 1:  # neighbours make strips that need the same cells
             around = pivots.value.T.astype("float32")
             home = [
                 (queries.unit(slice(start, start + STRIP_ROWS)).astype("float32") @ around).argmax(axis=1) for start in range(0, len(queries), STRIP_ROWS)]
             queries.ordered(np.argsort(np.concatenate(home), kind="stable"))
-        chunks.ordered(order)
-        jd = held["jd_id"].fill_null(np.iinfo("int64").min).to_numpy()[chunks.place]
+        chunks.ordered(at[order])
+        jd = by_id["jd_id"].fill_null(np.iinfo("int64").min).to_numpy()[order]
         distances, at = _best(queries, chunks, cell[order], order, jd, min(k, len(chunks)), block_rows, rejected)
-        return _hit_table(keys.take(pa.array(queries.place)), held.select(["chunk_id", "jd_id"]).take(pa.array(chunks.place)), distances, at)
+        place = pa.array(queries.place)
+        del queries, chunks, rejected  # vectors aren't needed beside the hits
+        return _hit_table(keys.take(place), by_id.select(["chunk_id", "jd_id"]).take(pa.array(order)), distances, at)
 
     return search
 

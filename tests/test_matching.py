@@ -342,3 +342,35 @@ def test_a_search_task_holds_few_copies_of_its_vectors():
         tracemalloc.stop()
     assert hits.num_rows == 8000
     assert peak < 80e6  # 106 MB when strips were twice as long and queries were held in two precisions
+
+
+POOL = pa.proxy_memory_pool(pa.default_memory_pool())  # outlives what is taken from it
+
+
+def test_a_search_task_sorts_numbers_not_vectors():
+    """10 MB of chunk vectors, of which some have equal ids, meet few queries: Arrow copies none of them."""
+    rng = np.random.default_rng(2)
+
+    def vectors(n):
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="int32") * 64), pa.array(rng.standard_normal(n * 64, dtype="float32")))
+
+    n = 40_000
+    ids = rng.permutation(n)
+    asked = pa.table({"resume_id": np.arange(20), "target_id": ["t"] * 20, "query_id": [str(i) for i in range(20)], "embedding": vectors(20)})
+    held = pa.table({"chunk_id": ids // 2, "jd_id": ids, "embedding": vectors(n), "cell": ids.astype("int32") % 4})
+    search = similarity._search(5, 64, 8192, SimpleNamespace(value=rng.standard_normal((4, 64))))
+    before = pa.default_memory_pool()
+    pa.set_memory_pool(POOL)
+    try:
+        hits = search(asked, held)
+    finally:
+        pa.set_memory_pool(before)
+    unit = [np.stack(t["embedding"].to_pylist()) for t in (asked, held)]
+    unit = [v / np.sqrt((v * v).sum(axis=1))[:, None] for v in unit]
+    distance = np.round(1 - unit[0] @ unit[1].T, 12)
+    for row in hits.to_pylist():
+        own = distance[int(row["query_id"])]
+        best = np.lexsort((ids // 2, own))[:5]
+        found = sorted((round(h["distance"], 9), h["chunk_id"], h["jd_id"]) for h in row["hits"])
+        assert found == [(round(own[i], 9), ids[i] // 2, ids[i]) for i in best]
+    assert POOL.max_memory() < 8e6
