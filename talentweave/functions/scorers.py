@@ -20,7 +20,8 @@ SCORE_ERROR = "score_error"  # column in which a scorer says why a pair has no s
 class JaccardScorer:
     """Share of common distinct tokens (lower case, split on single spaces); 0 when both texts are empty.
 
-    ``prepare`` turns a text into its token set once, before pairs are formed.
+    ``prepare`` turns a text into its token set once, before pairs are formed. Where a text has to move first, ``shorten`` makes a
+    text of its tokens, and ``expand`` makes the token set of that, with nothing but a split: ``expand(shorten(c))`` is ``prepare(c)``.
     """
 
     model_name = "token-jaccard"
@@ -28,6 +29,12 @@ class JaccardScorer:
     def prepare(self, c: Column) -> Column:
         return F.array_remove(F.array_distinct(F.split(F.lower(X.collapse_ws(c)), " ")), "")
 
+    def shorten(self, c: Column) -> Column:
+        return F.array_join(self.prepare(c), " ")
+
+    def expand(self, c: Column) -> Column:
+        return F.array_remove(F.split(c, " "), "")
+
     def score(self, rows: DataFrame, left: str, right: str, out: str) -> DataFrame:
         common = F.size(F.array_intersect(left, right))
         return rows.withColumn("_common", common).withColumn(
@@ -61,6 +68,12 @@ class ModelScorer:
     def prepare(self, c: Column) -> Column:
         return X.collapse_ws(c)
 
+    def shorten(self, c: Column) -> Column:
+        return self.prepare(c)
+
+    def expand(self, c: Column) -> Column:
+        return c
+
     def score(self, rows: DataFrame, left: str, right: str, out: str) -> DataFrame:
         held, size = model_of(self.factory), self.batch_size
 

@@ -1,7 +1,8 @@
 """From retrieved chunks to ranked JD candidates per target.
 
 All groupings share the hash partitioning on the target, so one exchange serves the whole file, and none is needed for
-hits that ``nearest_chunks`` has dealt by target. A target holds at most (its queries x top_k) rows.
+hits that ``nearest_chunks`` has dealt by target. A target holds at most (its queries x top_k) rows. Hits that come as one list per query
+stay lists until a target's candidates are ranked (``recall_lists``), and only those that can be kept become rows.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from talentweave.config import TARGET_KEYS, TITLE, RecallConfig
 from talentweave.functions import text as X
 from talentweave.functions.rows import explode_rows
+from talentweave.operators.recall_lists import list_candidates, list_foremost
 
 # Scores are compared after rounding to this many digits: the order in which a cluster adds
 # numbers must not decide a rank.
@@ -62,11 +64,19 @@ def type_weight_plan(weighted: DataFrame) -> DataFrame:
 def usable_hits(hits: DataFrame, cfg: RecallConfig = RecallConfig()) -> DataFrame:
     if cfg.minimum_similarity is None:
         return hits
+    if "hits" in hits.columns:
+        return hits.withColumn("hits", F.filter("hits", lambda h: (F.lit(1.0) - h["distance"]) >= cfg.minimum_similarity))
     return hits.where(F.col("similarity") >= cfg.minimum_similarity)
 
 
 def best_chunk_per_query(hits: DataFrame, cfg: RecallConfig = RecallConfig()) -> DataFrame:
-    """Best chunk of each (target, query, JD). Chunk rank follows similarity, so the lowest rank wins."""
+    """Best chunk of each (target, query, JD). Chunk rank follows similarity, so the lowest rank wins.
+
+    Hits in lists stay lists of all that are usable: the best of each JD is taken from them where all lists of a target are judged
+    (``recall_candidates``), by ``recall_lists.best_of``.
+    """
+    if "hits" in hits.columns:
+        return usable_hits(hits, cfg)
     return usable_hits(hits, cfg).groupBy(*TARGET_KEYS, "query_id", "jd_id").agg(
         F.min("chunk_rank").alias("chunk_rank"),
         F.min_by("chunk_id", "chunk_rank").alias("chunk_id"),
@@ -77,18 +87,44 @@ def best_chunk_per_query(hits: DataFrame, cfg: RecallConfig = RecallConfig()) ->
 
 def query_evidence(best: DataFrame, weighted: DataFrame) -> DataFrame:
     """What each best chunk adds. Facts come to a target as one row, so hits that are dealt by target stay where they are,
-    and are not sorted."""
+    and are not sorted. A list of hits meets the facts of its query as a list."""
     names = ["query_type", "query_order", "penalty", "n_queries", "effective_weight"]
     facts = weighted.groupBy(*TARGET_KEYS).agg(F.collect_list(F.struct("query_id", *names)).alias("_facts"))
     own = F.filter("_facts", lambda f: f["query_id"] == F.col("query_id"))
     rows = best.join(facts.hint("shuffle_hash"), TARGET_KEYS).withColumn("_own", own).drop("_facts")
-    return explode_rows(rows, best.columns, "_own", "f").select(
-        *TARGET_KEYS, "query_id", *[c for c in best.columns if c not in (*TARGET_KEYS, "query_id")], *[F.col(f"f.{n}").alias(n) for n in names],
-        (F.col("similarity") * F.col("f.effective_weight")).alias("weighted_similarity"))
+    evidence = explode_rows(rows, best.columns, "_own", "f").select(
+        *TARGET_KEYS, "query_id", *[c for c in best.columns if c not in (*TARGET_KEYS, "query_id")], *[F.col(f"f.{n}").alias(n) for n in names])
+    if "hits" in best.columns:
+        return evidence
+    return evidence.withColumn("weighted_similarity", F.col("similarity") * F.col("effective_weight"))
+
+
+def _first_seen(evidence: DataFrame) -> tuple[list[Column], Column]:
+    """Aggregates that find the least (query_order, chunk_rank), and the pair made of them.
+
+    Pairs of whole numbers are packed into one: a struct would make Spark sort all evidence to aggregate it.
+    """
+    kinds = dict(evidence.dtypes)
+    if kinds["query_order"] != "int" or kinds["chunk_rank"] != "int":
+        return [F.min(F.struct("query_order", "chunk_rank")).alias("_seen")], F.col("_seen")
+    # The order is the upper half and the rank the lower; NULL comes first, as in a struct.
+    half, least = F.lit(1 << 32), F.lit(-(1 << 31))
+    rank = F.coalesce(F.col("chunk_rank").cast("long"), least) - least
+    known = F.col("query_order").isNotNull()
+    both = F.when(known, F.col("query_order").cast("long") * half + rank)
+    order = F.when(F.col("_lone").isNull(), F.shiftright("_both", 32).cast("int"))
+    low = F.coalesce("_lone", F.col("_both") - F.shiftright("_both", 32) * half) + least
+    pair = F.struct(order.alias("query_order"), F.nullif(low, least).cast("int").alias("chunk_rank"))
+    return [F.min(both).alias("_both"), F.min(F.when(~known, rank)).alias("_lone")], pair
 
 
 def recall_candidates(evidence: DataFrame, cfg: RecallConfig = RecallConfig()) -> DataFrame:
-    """Scores of every (target, JD)."""
+    """Scores of every (target, JD). Evidence in lists gives one row per target, with its candidates as ``candidates``."""
+    if "hits" in evidence.columns:
+        facts = F.struct("query_order", "penalty", "n_queries", "effective_weight", (F.col("query_type") == TITLE).alias("is_title"), "hits")
+        lists = evidence.groupBy(*TARGET_KEYS).agg(F.collect_list(facts).alias("_evidence"))
+        return lists.select(*TARGET_KEYS, list_candidates(cfg.best_weight)("_evidence").alias("candidates"))
+    seen, first_seen = _first_seen(evidence)
     scored = evidence.groupBy(*TARGET_KEYS, "jd_id").agg(
         F.max(F.when(F.col("query_type") == TITLE, F.col("similarity"))).alias("title_query_similarity"),
         F.max("similarity").alias("best_similarity"),
@@ -98,16 +134,18 @@ def recall_candidates(evidence: DataFrame, cfg: RecallConfig = RecallConfig()) -
         F.first("n_queries").alias("total_query_count"),
         F.count("*").alias("matched_query_count"),
         F.sum("chunk_hits").alias("chunk_hit_count"),
-        F.min(F.struct("query_order", "chunk_rank")).alias("first_seen"),
+        *seen,
     )
     aggregate = F.col("best_similarity") * cfg.best_weight + F.col("evidence_score") * (1.0 - cfg.best_weight)
     return (
-        scored.withColumn("weighted_query_coverage", X.clamp01(F.col("_matched") / F.col("_penalty")))
-        .withColumn("aggregate_score", aggregate)
-        .drop("_matched", "_penalty")
+        _covered(scored.withColumn("first_seen", first_seen)).withColumn("aggregate_score", aggregate).drop("_seen", "_both", "_lone")
     )
 
 
+def _covered(candidates: DataFrame) -> DataFrame:
+    return candidates.withColumn("weighted_query_coverage", X.clamp01(F.col("_matched") / F.col("_penalty"))).drop("_matched", "_penalty")
+
+
 def type_breakdown(candidates: DataFrame, evidence: DataFrame, plan: DataFrame) -> DataFrame:
     """Contribution of every active query kind to every candidate, also where nothing matched."""
     matched = evidence.groupBy(*TARGET_KEYS, "jd_id", "query_type").agg(
@@ -135,6 +173,11 @@ def check_contribution_sum(candidates: DataFrame, breakdown: DataFrame) -> DataF
 
 
 def ranked_candidates(candidates: DataFrame, top_n: int) -> DataFrame:
+    """The ``top_n`` best candidates of each target; of candidates in lists only those that can be among them become rows."""
+    if "aggregate_score" not in candidates.columns:
+        near = candidates.select(*TARGET_KEYS, list_foremost(top_n)("candidates").alias("_near"))
+        candidates = _covered(explode_rows(near, TARGET_KEYS, "_near", "c").select(*TARGET_KEYS, "c.*"))
+
     def high(name: str) -> Column:
         return F.desc_nulls_last(F.round(F.col(name), RANK_DIGITS))
 

@@ -68,15 +68,20 @@ def document_passages(documents: DataFrame, cfg: RerankConfig = RerankConfig(),
 
 
 def support_pairs(
-    recalled: DataFrame, queries: DataFrame, documents: DataFrame, cfg: RerankConfig = RerankConfig(), prepare=None
+    recalled: DataFrame, queries: DataFrame, documents: DataFrame, cfg: RerankConfig = RerankConfig(), prepare=None, scorer=None
 ) -> DataFrame:
     """Résumé evidence against chosen JD passages, at most ``max_passages`` per (query, JD).
 
     With ``prepare`` both sides carry the form their scorer works on (``left_ready``, ``right_ready``), made once per passage
-    and once per (query, JD): evidence moves to the JDs as text, which is a fraction of its prepared form.
+    and once per (query, JD): evidence moves to the JDs as text, which is a fraction of its prepared form. A ``scorer`` that has ``shorten``
+    and ``expand`` beside ``prepare`` does all but the last step once per query, before evidence meets the recalled JDs.
     """
+    if scorer is not None:
+        prepare = scorer.prepare
+    split = hasattr(scorer, "shorten") and hasattr(scorer, "expand")
     asked = queries.where((F.col("query_type") != TITLE) & ~X.is_blank(F.col("resume_evidence_text"))).select(
-        *TARGET_KEYS, "query_id", "query_type", "query_order", F.col("resume_evidence_text").alias("left_text")
+        *TARGET_KEYS, "query_id", "query_type", "query_order", F.col("resume_evidence_text").alias("left_text"),
+        *([scorer.shorten(F.col("resume_evidence_text")).alias("_short")] if split else []),
     )
     pairs = recalled.select(*CANDIDATE_KEYS).join(asked, TARGET_KEYS).join(
         document_passages(documents, cfg, prepare), ["jd_id", "query_type"]
@@ -84,7 +89,8 @@ def support_pairs(
     keep = [*CANDIDATE_KEYS, "query_id", "query_type", "query_order", "left_text"]
     ready_left, ready_right = [], []
     if prepare is not None:
-        ready_left, ready_right = [prepare(F.col("left_text")).alias("left_ready")], [F.col("p.right_ready").alias("right_ready")]
+        ready = scorer.expand(F.col("_short")) if split else prepare(F.col("left_text"))
+        ready_left, ready_right = [ready.alias("left_ready")], [F.col("p.right_ready").alias("right_ready")]
     exploded = explode_rows(pairs, [*keep, *ready_left], "chosen", "p", "passage_pos")
     return exploded.select(
         *keep, *(["left_ready"] if ready_left else []), "passage_pos", F.col("p.section").alias("section"), F.col("p.text").alias("right_text"), *ready_right

@@ -174,6 +174,9 @@ def _best(queries: _Vectors, chunks: _Vectors, cell: np.ndarray, rank: np.ndarra
     where[rank] = np.arange(len(rank))
     distances, ranks = np.full((len(queries), k), np.inf), np.zeros((len(queries), k), "int32")
     held = chunks.single()
+    # Likenesses and what passes of them, in the same memory for every panel: taking fresh memory costs more than filling it.
+    most = max(high - low for low, high in ((pieces.starts[a], pieces.ends[b - 1]) for a, b in pieces.panels))
+    room, marks = (np.empty(min(STRIP_ROWS, len(queries)) * most, kind) for kind in ("float32", bool))
     for start in range(0, len(queries), STRIP_ROWS):
         strip = np.arange(start, min(len(queries), start + STRIP_ROWS))
         unit = queries.unit(strip)
@@ -189,7 +192,8 @@ def _best(queries: _Vectors, chunks: _Vectors, cell: np.ndarray, rank: np.ndarra
                 continue
             low, high = pieces.starts[a:b][needed], pieces.ends[a:b][needed]
             columns = slice(low[0], high[-1]) if needed.all() else _ranges(low, high)[0]
-            likeness = single @ held[columns].T
+            width = high[-1] - low[0] if needed.all() else len(columns)
+            likeness = np.matmul(single, held[columns].T, out=room[:len(strip) * width].reshape(len(strip), width))
             if gone is not None and len(gone[0]):
                 known = jd[columns]
                 order = np.argsort(known, kind="stable")
@@ -201,7 +205,8 @@ def _best(queries: _Vectors, chunks: _Vectors, cell: np.ndarray, rank: np.ndarra
             if len(short) and likeness.shape[1] > k:
                 part = np.partition(likeness if len(short) == len(strip) else likeness[short], likeness.shape[1] - k, axis=1)
                 limit[short] = np.maximum(limit[short], part[:, likeness.shape[1] - k] - 2 * slack)
-            r, c = np.divmod(np.flatnonzero(likeness >= limit[:, None]), likeness.shape[1])
+            passes = np.greater_equal(likeness, limit[:, None], out=marks[:likeness.size].reshape(likeness.shape))
+            r, c = np.divmod(np.flatnonzero(passes), likeness.shape[1])
             if not len(r):
                 continue
             c = c + columns.start if isinstance(columns, slice) else columns[c]
@@ -352,8 +357,10 @@ def nearest_chunks(
     chunk_types: Sequence[str] | None = None,
     block_rows: int = BLOCK_ROWS,
     rejected: DataFrame | None = None,
+    as_lists: bool = False,
 ) -> DataFrame:
-    """``resume_id, target_id, query_id, chunk_id, jd_id, distance, chunk_rank, similarity``.
+    """``resume_id, target_id, query_id, chunk_id, jd_id, distance, chunk_rank, similarity``; with ``as_lists`` one row per query, its hits
+    by rank as ``hits`` (distance, chunk_id, jd_id).
 
     Queries carry ``embedding``. ``rejected`` (resume_id, target_id, jd_id) names JDs that a target must not meet again. Query and chunk vectors that are
     NULL, of another dimension, not finite or of length zero take no part; ``check_vectors`` lists them.
@@ -364,6 +371,8 @@ def nearest_chunks(
     asked = queries.select(*QUERY_KEYS, "embedding")
     n_chunks = usable.select("chunk_id").count()
     lists = _nearest(asked, usable, n_chunks, _block_rows(block_rows, dim), top_k, dim, rejected)
+    if as_lists:
+        return lists
     hits = explode_rows(lists, QUERY_KEYS, "hits", "h", "rank")
     return hits.select(
         *QUERY_KEYS, "h.chunk_id", "h.jd_id", "h.distance", (F.col("rank") + 1).alias("chunk_rank"),

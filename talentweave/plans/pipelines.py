@@ -36,7 +36,7 @@ def recall_targets(
     ``units`` are the same queries before they were embedded, where that is cheaper to read.
     """
     weighted = recall.with_effective_weights(queries.drop("embedding") if units is None else units, cfg)
-    hits = similarity.nearest_chunks(queries, chunks, top_k=cfg.top_k, dim=dim, chunk_types=chunk_types, rejected=rejected)
+    hits = similarity.nearest_chunks(queries, chunks, top_k=cfg.top_k, dim=dim, chunk_types=chunk_types, rejected=rejected, as_lists=True)
     evidence = recall.query_evidence(recall.best_chunk_per_query(hits, cfg), weighted)
     return recall.ranked_candidates(recall.recall_candidates(evidence, cfg), cfg.top_n)
 
@@ -52,7 +52,7 @@ def rerank_targets(
     scorer = scorer or JaccardScorer()
     documents = materialize(passages.jd_documents(rerank.recalled_jds(jd, recalled), passage_cfg), "jd-documents")
     titles = rerank.title_scores(recalled, documents, scorer)
-    pairs = rerank.support_pairs(recalled, queries, documents, cfg, scorer.prepare)
+    pairs = rerank.support_pairs(recalled, queries, documents, cfg, scorer=scorer)
     best = rerank.best_scores(rerank.score_pairs(pairs, scorer))
     failed = None
     if SCORE_ERROR in titles.columns:

@@ -87,9 +87,11 @@ class Work:
     best = cached_property(lambda self: recall.best_chunk_per_query(self.hits()))
     evidence = cached_property(lambda self: recall.query_evidence(self.best, self.weighted))
     candidates = cached_property(lambda self: recall.recall_candidates(self.evidence))
+    candidate_lists = cached_property(lambda self: recall.recall_candidates(
+        recall.query_evidence(recall.best_chunk_per_query(self.hits(as_lists=True)), self.weighted)))
     titles = cached_property(lambda self: self.vectors.where(F.col("query_type") == TITLE).select(
         "resume_id", "target_id", "requested_job_title"))
-    recalled = cached_property(lambda self: materialize(recall.ranked_candidates(self.candidates, 10).join(
+    recalled = cached_property(lambda self: materialize(recall.ranked_candidates(self.candidate_lists, 10).join(
         self.titles, ["resume_id", "target_id"]), "recalled"))
     documents = cached_property(lambda self: materialize(
         passages.jd_documents(rerank.recalled_jds(self.jd, self.recalled)), "jd-documents"))
@@ -100,7 +102,7 @@ class Work:
         "resume_id", "target_id", "jd_id", "left_text", "right_text"))
     support_pairs = cached_property(lambda self: rerank.support_pairs(self.recalled, self.vectors, self.documents))
     scored = cached_property(lambda self: rerank.score_pairs(rerank.support_pairs(
-        self.recalled, self.vectors, self.documents, prepare=JaccardScorer().prepare)))
+        self.recalled, self.vectors, self.documents, scorer=JaccardScorer())))
     best_passages = cached_property(lambda self: rerank.best_passages(self.scored))
     type_scores = cached_property(lambda self: rerank.support_type_scores(rerank.best_scores(self.scored)))
     rerank_candidates = cached_property(lambda self: rerank.rerank_candidates(
@@ -721,7 +723,7 @@ def _(w):
 
 @query("recall_ranked", f"SELECT {_CAND_SQL}, recall_rank FROM q_recalled")
 def _(w):
-    return recall.ranked_candidates(w.candidates, 10).select(*_CAND.split(", "), *[r6(c) for c in _CAND_SCORES], "recall_rank")
+    return recall.ranked_candidates(w.candidate_lists, 10).select(*_CAND.split(", "), *[r6(c) for c in _CAND_SCORES], "recall_rank")
 
 
 _BREAKDOWN = """
