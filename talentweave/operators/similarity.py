@@ -4,8 +4,8 @@ Chunks are spread over cells around pivot vectors, of which there are about as m
 crowded one, are dealt to slabs, and queries to shards; both are bounded in bytes, whatever the size of a block, and a task holds one slab and
 one shard. So a query is copied once per slab and a chunk once per shard, however many cells there are, and the numbers of both are chosen so that
 few bytes move. Inside a task a strip of queries meets the cells in the order of their angles; the k-th best hit so far and the triangle
-inequality on angles decide which cells it needs. Products in single precision tell which chunks can be among the k best, and those
-are measured in double precision. A task gives back k hits per query as one row, and rows of a query are merged where its target is, so that
+inequality on angles decide which cells it needs. Products in single precision tell which chunks can be among the k best, and what is
+left of those after the last cell is measured in double precision. A task gives back k hits per query as one row, and rows of a query are merged where its target is, so that
 what follows needs no exchange by target. Nothing but pivots and counts per cell comes to the driver.
 """
 
@@ -32,6 +32,7 @@ SHARD_BYTES = 1 << 26  # vectors and hits of the queries of a task
 PANEL_ROWS = 8192  # chunks multiplied at a time inside a task
 STRIP_ROWS = 256  # queries multiplied at a time inside a task
 EXACT_ROWS = 1 << 14  # pairs measured in double precision at a time
+WAITING_PAIRS = 1 << 18  # pairs that wait to be measured
 TASK_PAIRS = 1 << 22  # a search of so many pairs isn't split further
 ANGLE_SLACK = 1e-6
 MAX_PARTITIONS = 1 << 16  # beyond it a task gets several slabs and shards, one after another
@@ -165,6 +166,33 @@ class _Rejected:
         return owner, self.jd[at]
 
 
+def _passing(r: np.ndarray, c: np.ndarray, value: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    kept = value >= limit[r]
+    return r[kept], c[kept], value[kept]
+
+
+def _settle(waiting: list, limit: np.ndarray, queries: _Vectors, chunks: _Vectors, start: int, rank: np.ndarray, top: np.ndarray, own: np.ndarray) -> None:
+    """Measure the pairs that wait in double precision, unless their likeness has fallen below the limit, and merge them into the best hits."""
+    if not waiting:
+        return
+    k = top.shape[1]
+    r, c, _ = _passing(*(np.concatenate(x) for x in zip(*waiting)), limit)
+    waiting.clear()
+    found = _measured(queries, r + start, chunks, c)
+    keep = found <= top[r, -1]
+    r, c, found = r[keep], c[keep], found[keep]
+    rows = np.unique(r)
+    old = np.nonzero(np.isfinite(top[rows]))
+    r = np.concatenate([rows[old[0]], r])
+    found = np.concatenate([top[rows][old], found])
+    c = np.concatenate([own[rows][old], rank[c]])
+    order = np.lexsort((c, found, r))
+    r, c, found = r[order], c[order], found[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    kept = place < k
+    top[r[kept], place[kept]], own[r[kept], place[kept]] = found[kept], c[kept]
+
+
 def _best(queries: _Vectors, chunks: _Vectors, cell: np.ndarray, rank: np.ndarray, jd: np.ndarray, k: int, block_rows: int,
           rejected: _Rejected | None) -> tuple[np.ndarray, np.ndarray]:
     """Distances and ranks of the k nearest chunks of each query, infinite where there are fewer. Chunks are ordered by cell; ``rank`` settles ties."""
@@ -182,12 +210,15 @@ def _best(queries: _Vectors, chunks: _Vectors, cell: np.ndarray, rank: np.ndarra
         unit = queries.unit(strip)
         single = unit.astype("float32")
         top, own = distances[start:start + STRIP_ROWS], ranks[start:start + STRIP_ROWS]  # views
+        leading = np.full((len(strip), k), -np.inf, "float32")  # the k greatest likenesses so far
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # places of queries and chunks, and their likenesses
         least = pieces.nearest(unit)
         near = np.minimum.reduceat(least, [a for a, _ in pieces.panels], axis=1).mean(axis=0)
         gone = rejected.of(queries.place[strip]) if rejected is not None else None
         for p in np.argsort(near, kind="stable"):
             a, b = pieces.panels[p]
-            needed = (least[:, a:b] <= top[:, -1:]).any(axis=0)
+            limit = leading.min(axis=1) - 2 * slack
+            needed = (least[:, a:b] <= np.minimum(top[:, -1], 1.0 - limit)[:, None]).any(axis=0)
             if not needed.any():
                 continue
             low, high = pieces.starts[a:b][needed], pieces.ends[a:b][needed]
@@ -199,30 +230,28 @@ def _best(queries: _Vectors, chunks: _Vectors, cell: np.ndarray, rank: np.ndarra
                 order = np.argsort(known, kind="stable")
                 at, pair = _ranges(np.searchsorted(known, gone[1], sorter=order), np.searchsorted(known, gone[1], "right", sorter=order))
                 likeness[gone[0][pair], order[at]] = -np.inf
-            limit = (1.0 - top[:, -1]).astype("float32") - slack
-            short = np.flatnonzero(~np.isfinite(top[:, -1]))
-            limit[short] = -2.0
-            if len(short) and likeness.shape[1] > k:
-                part = np.partition(likeness if len(short) == len(strip) else likeness[short], likeness.shape[1] - k, axis=1)
-                limit[short] = np.maximum(limit[short], part[:, likeness.shape[1] - k] - 2 * slack)
+            short = np.flatnonzero(~np.isfinite(limit))
+            if len(short):
+                limit[short] = -2.0
+                if width > k:
+                    part = np.partition(likeness if len(short) == len(strip) else likeness[short], width - k, axis=1)
+                    limit[short] = np.maximum(limit[short], part[:, width - k] - 2 * slack)
             passes = np.greater_equal(likeness, limit[:, None], out=marks[:likeness.size].reshape(likeness.shape))
-            r, c = np.divmod(np.flatnonzero(passes), likeness.shape[1])
+            r, c = np.divmod(np.flatnonzero(passes), width)
             if not len(r):
                 continue
+            value = likeness[r, c]
             c = c + columns.start if isinstance(columns, slice) else columns[c]
-            found = _measured(queries, r + start, chunks, c)
-            keep = found <= top[r, -1]
-            r, c, found = r[keep], c[keep], found[keep]
-            rows = np.unique(r)
-            old = np.nonzero(np.isfinite(top[rows]))
-            r = np.concatenate([rows[old[0]], r])
-            found = np.concatenate([top[rows][old], found])
-            c = np.concatenate([own[rows][old], rank[c]])
-            order = np.lexsort((c, found, r))
-            r, c, found = r[order], c[order], found[order]
             place = np.arange(len(r)) - np.searchsorted(r, r)
-            kept = place < k
-            top[r[kept], place[kept]], own[r[kept], place[kept]] = found[kept], c[kept]
+            widest = place.max() + 1
+            beside = np.full((len(strip), k + widest), -np.inf, "float32")
+            beside[:, :k] = leading
+            beside[r, k + place] = value
+            leading = np.partition(beside, widest, axis=1)[:, widest:]
+            waiting.append(_passing(r, c, value, leading.min(axis=1) - 2 * slack))
+            if sum(len(w[0]) for w in waiting) > WAITING_PAIRS:
+                _settle(waiting, leading.min(axis=1) - 2 * slack, queries, chunks, start, rank, top, own)
+        _settle(waiting, leading.min(axis=1) - 2 * slack, queries, chunks, start, rank, top, own)
     for start in range(0, len(ranks), PANEL_ROWS):
         ranks[start:start + PANEL_ROWS] = where[ranks[start:start + PANEL_ROWS]]
     return distances, ranks

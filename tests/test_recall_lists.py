@@ -93,3 +93,32 @@ def test_evidence_is_tokenised_before_it_meets_jds(spark):
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     above = plan[:plan.index("Join")]
     assert "regexp_replace(left_text" not in above and "regexp_replace(resume_evidence_text" in plan
+
+
+@pytest.mark.parametrize("waiting", [1, 1 << 18])
+def test_hits_are_measured_once_per_strip(monkeypatch, waiting):
+    """Of 40 panels few pairs are measured, whatever waits; ties go to the lesser rank."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(similarity, "PANEL_ROWS", 50)
+    monkeypatch.setattr(similarity, "WAITING_PAIRS", waiting)
+    rng = np.random.default_rng(3)
+    raw = rng.normal(size=(2000, 8)).astype("float32")
+    raw[1500:1700] = raw[100]  # one vector many times
+    asked = np.concatenate([rng.normal(size=(40, 8)), raw[100:101]]).astype("float32")
+
+    def vectors(rows):
+        return similarity._Vectors(pa.chunked_array([pa.FixedSizeListArray.from_arrays(pa.array(rows.reshape(-1)), 8).cast(pa.list_(pa.float32()))]), 8)
+
+    measured, of = [], similarity._measured
+    monkeypatch.setattr(similarity, "_measured", lambda a, r, h, c: measured.append(len(r)) or of(a, r, h, c))
+    rank = rng.permutation(2000)
+    distances, places = similarity._best(vectors(asked), vectors(raw), np.arange(2000) // 100, rank, np.zeros(2000, "int64"), 9, 50, None)
+    unit = [x.astype("float64") / np.linalg.norm(x.astype("float64"), axis=1, keepdims=True) for x in (asked, raw)]
+    exact = np.round(1.0 - unit[0] @ unit[1].T, 12) + 0.0
+    for i, row in enumerate(exact):
+        best = np.lexsort((rank, row))[:9]
+        assert places[i].tolist() == best.tolist() and np.allclose(distances[i], row[best], atol=1e-12)
+    if waiting > 1:
+        assert sum(measured) < 1500 and len(measured) == 1
