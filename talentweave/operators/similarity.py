@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentweave.config import TARGET_KEYS
@@ -35,6 +35,7 @@ EXACT_ROWS = 1 << 14  # pairs measured in double precision at a time
 WAITING_PAIRS = 1 << 18  # pairs that wait to be measured
 TASK_PAIRS = 1 << 22  # a search of so many pairs isn't split further
 ANGLE_SLACK = 1e-6
+LISTED_TASKS = 1 << 10  # of so many tasks each has a partition of its own
 MAX_PARTITIONS = 1 << 16  # beyond it a task gets several slabs and shards, one after another
 QUERY_KEYS = [*TARGET_KEYS, "query_id"]
 HIT = "struct<distance:double,chunk_id:bigint,jd_id:bigint>"
@@ -340,6 +341,16 @@ def grid(n_queries: int, n_chunks: int, k: int, dim: int, width: int) -> tuple[i
     return min(forms, key=lambda f: n_chunks * f[0] * chunk + n_queries * f[1] * (chunk + query))
 
 
+def _task_number(spark: SparkSession, number: Column, parts: int) -> Column:
+    """A number for each of the tasks 0 to parts - 1 that Spark deals to a partition of its own; by the hash of ``number`` some get several, others none."""
+    if parts > LISTED_TASKS:
+        return number
+    tried = F.col("id").cast("int")
+    rows = spark.range(0, parts * 24, 1, 1).select(tried.alias("n"), F.pmod(F.hash(tried), F.lit(parts)).alias("at")).collect()
+    own = {r["at"]: r["n"] for r in reversed(rows)}
+    return F.get(F.array(*[F.lit(own[p]) for p in range(parts)]), number) if len(own) == parts else number
+
+
 def _nearest(
     queries: DataFrame, chunks: DataFrame, n_chunks: int, block_rows: int, k: int, dim: int, rejected: DataFrame | None = None,
 ) -> DataFrame:
@@ -369,10 +380,11 @@ def _nearest(
         .withColumn("shard", every_shard)
     )
     parts = min(shards * slabs, MAX_PARTITIONS)
-    left, right = (t.repartition(parts, "shard", "slab") for t in (left, right))
+    task = _task_number(spark, F.col("shard") * slabs + F.col("slab"), parts)
+    left, right = (t.withColumn("task", task).drop("shard", "slab").repartition(parts, "task") for t in (left, right))
     kinds = dict(queries.dtypes)
     fields = ", ".join(f"{c} {kinds[c]}" for c in QUERY_KEYS) + f", hits array<{HIT}>"
-    lists = left.groupBy("shard", "slab").cogroup(right.groupBy("shard", "slab")).applyInArrow(_search(k, dim, block_rows, pivots), fields)
+    lists = left.groupBy("task").cogroup(right.groupBy("task")).applyInArrow(_search(k, dim, block_rows, pivots), fields)
     merged = lists.repartition(*TARGET_KEYS).groupBy(*QUERY_KEYS).agg(F.flatten(F.collect_list("hits")).alias("hits"))
     return merged.withColumn("hits", F.slice(F.sort_array("hits"), 1, k))
 

@@ -122,3 +122,10 @@ def test_hits_are_measured_once_per_strip(monkeypatch, waiting):
         assert places[i].tolist() == best.tolist() and np.allclose(distances[i], row[best], atol=1e-12)
     if waiting > 1:
         assert sum(measured) < 1500 and len(measured) == 1
+
+
+@pytest.mark.parametrize("parts", [1, 7, 16, 60])
+def test_every_search_task_has_a_partition_of_its_own(spark, parts):
+    task = similarity._task_number(spark, F.col("id").cast("int"), parts)
+    dealt = spark.range(parts).withColumn("task", task).repartition(parts, "task").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert dealt == parts
