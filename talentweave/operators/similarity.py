@@ -380,11 +380,12 @@ def _nearest(
         .withColumn("shard", every_shard)
     )
     parts = min(shards * slabs, MAX_PARTITIONS)
+    # From here on ``shard`` is the number of a task: of a shard and the slab it meets.
     task = _task_number(spark, F.col("shard") * slabs + F.col("slab"), parts)
-    left, right = (t.withColumn("task", task).drop("shard", "slab").repartition(parts, "task") for t in (left, right))
+    left, right = (t.withColumn("shard", task).drop("slab").repartition(parts, "shard") for t in (left, right))
     kinds = dict(queries.dtypes)
     fields = ", ".join(f"{c} {kinds[c]}" for c in QUERY_KEYS) + f", hits array<{HIT}>"
-    lists = left.groupBy("task").cogroup(right.groupBy("task")).applyInArrow(_search(k, dim, block_rows, pivots), fields)
+    lists = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(_search(k, dim, block_rows, pivots), fields)
     merged = lists.repartition(*TARGET_KEYS).groupBy(*QUERY_KEYS).agg(F.flatten(F.collect_list("hits")).alias("hits"))
     return merged.withColumn("hits", F.slice(F.sort_array("hits"), 1, k))
 
